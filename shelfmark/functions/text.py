@@ -53,7 +53,8 @@ def letters_only(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n neighbouring tokens as arrays."""
-    count = F.size(tokens) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(tokens, i, n))
+    """All runs of n neighbouring tokens as arrays. ``tokens`` has to be a plain column:
+    entries are picked by index, as ``slice`` inside a lambda copies the whole list."""
+    last = F.size(tokens) - n
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array(*[F.get(tokens, i + j) for j in range(n)]))

@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, where a lambda would compute a
+    captured expression again for every array entry."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -21,8 +27,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v / |v|; NULL for a zero vector."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(as_double(v), lambda x: x / length))
+    return let(norm(v), lambda length: F.when(length > 0, F.transform(as_double(v), lambda x: x / length)))
 
 
 def cosine(a: Column, b: Column) -> Column:

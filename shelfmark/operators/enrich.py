@@ -99,8 +99,8 @@ def keyword_extract(
     Candidates are scored inside their document's row and only k of them leave it.
     """
     tokens = docs.select("pid", corpus_words(F.col("document"), stopwords).alias("w")).filter(F.size("w") > 0)
-    hashed = tokens.withColumn("b", F.transform("w", lambda w: bucket(w, dim)))
-    counts = hashed.select("pid", F.explode("b").alias("b")).groupBy("pid", "b").agg(F.count(F.lit(1)).alias("n"))
+    hashed = tokens.select("pid", F.transform("w", lambda w: F.struct(w.alias("w"), bucket(w, dim).alias("b"))).alias("t"))
+    counts = hashed.select("pid", F.explode("t.b").alias("b")).groupBy("pid", "b").agg(F.count(F.lit(1)).alias("n"))
     sparse = counts.groupBy("pid").agg(
         F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"),
         F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("length"),
@@ -109,8 +109,6 @@ def keyword_extract(
         "pid", "length", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0)).cast("double")).alias("v")
     )
     both = hashed.join(dense, "pid")
-    pairs = F.arrays_zip("w", "b")
-
     def scored(gram: Column) -> Column:
         dot = F.aggregate(gram, F.lit(0.0), lambda acc, t: acc + F.get("v", t["b"]))
         own = F.aggregate(
@@ -119,8 +117,18 @@ def keyword_extract(
         text = F.array_join(F.transform(gram, lambda t: t["w"]), " ")
         return F.struct((-F.round(dot / (F.sqrt(own) * F.col("length")), 6)).alias("minus"), text.alias("keyword"))
 
-    grams = F.concat(*[X.ngrams(pairs, n) for n in range(n_range[0], n_range[1] + 1)])
-    best = F.slice(F.array_sort(F.array_distinct(F.transform(grams, scored))), 1, k)
+    grams = F.concat(*[X.ngrams(F.col("t"), n) for n in range(n_range[0], n_range[1] + 1)])
+    ordered = F.array_sort(F.transform(grams, scored))
+    # Copies of a candidate are neighbours in sorted order: one walk drops them and stops
+    # growing at k, where array_distinct would compare all pairs of structs.
+    none = F.slice(ordered, 1, 0)
+    best = F.aggregate(
+        ordered,
+        none,
+        lambda kept, g: F.when((F.size(kept) >= k) | F.coalesce(F.try_element_at(kept, F.lit(-1)) == g, F.lit(False)), kept).otherwise(
+            F.concat(kept, F.array(g))
+        ),
+    )
     return both.select("pid", F.posexplode(best).alias("at", "best")).select(
         "pid", (F.col("at") + 1).alias("rank"), F.col("best.keyword").alias("keyword"), (-F.col("best.minus")).alias("score")
     )

@@ -149,8 +149,9 @@ def rank_tfidf(postings: DataFrame, parsed: DataFrame, n_docs: Column, stats: Da
     with_df = postings.select("term", "pid", "tf").join(stats, "term")
     matched = matched_postings(with_df, parsed, stats, ["tf", "df"])
     weight = F.aggregate(
-        "hits", F.lit(0.0), lambda acc, h: acc + h["tf"] * F.ln((n_docs + F.lit(1.0)) / (h["df"] + F.lit(1.0)))
+        "hits", F.lit(0.0), lambda acc, h: acc + h["tf"] * F.ln((F.col("_docs") + F.lit(1.0)) / (h["df"] + F.lit(1.0)))
     )
+    matched = matched.withColumn("_docs", n_docs)
     return matched.select("query_id", "pid", weight.alias("score"))
 
 

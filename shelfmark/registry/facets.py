@@ -39,7 +39,8 @@ def facet_share(spark, sf_dir):
 @query(
     "price_stats",
     f"""WITH {LISTS} SELECT query_id, round(min(price), 2) AS min_price, round(max(price), 2) AS max_price,
-    round(avg(price), 2) AS avg_price FROM lists GROUP BY 1""",
+    (2 * CAST(sum(CAST(price AS DECIMAL(18, 4))) * 10000 AS BIGINT) + 100 * count(price)) // (200 * count(price)) / 100.0::DOUBLE AS avg_price
+    FROM lists GROUP BY 1""",
 )
 def price_stats(spark, sf_dir):
     return facets.price_stats(lists(spark, sf_dir))

@@ -130,7 +130,7 @@ def chunk_gap_report(spark, sf_dir):
 @query(
     "hydrate_results",
     """WITH r AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey AS pid FROM orders)
-    SELECT query_id, rank, pid, p_name AS name, p_brand AS brand, CAST(p_retailprice AS VARCHAR) AS price
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, pid, p_name AS name, p_brand AS brand, CAST(p_retailprice AS VARCHAR) AS price
     FROM r JOIN part ON p_partkey = pid WHERE rank <= 20""",
 )
 def hydrate_results(spark, sf_dir):
@@ -179,8 +179,8 @@ def fuse_full_outer(spark, sf_dir):
     """WITH r AS (SELECT l_orderkey AS query_id, l_partkey AS pid, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, l_partkey) AS rank FROM (
           SELECT l_orderkey, l_partkey, max(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2)) WHERE rank <= 3),
-      t AS (SELECT l_orderkey AS query_id, arg_min(l_partkey, l_linenumber * 1000000000 + l_partkey) AS target FROM lineitem GROUP BY 1)
-    SELECT t.query_id, target, r.rank, r.rank IS NOT NULL AS hit FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.pid = t.target""",
+      t AS (SELECT l_orderkey AS query_id, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS target FROM lineitem GROUP BY 1)
+    SELECT t.query_id, target, CAST(r.rank AS INTEGER) AS rank, r.rank IS NOT NULL AS hit FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.pid = t.target""",
 )
 def hit_test(spark, sf_dir):
     from shelfmark.functions.ranking import top_k

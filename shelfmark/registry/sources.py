@@ -20,7 +20,7 @@ WITH_RAW = f"WITH raw AS ({RAW})"
 @query("scan_products_csv", f"{WITH_RAW} SELECT {NULLED} FROM raw")
 def scan_products_csv(spark, sf_dir):
     path = scratch_path(spark, "raw-csv")
-    raw_products(spark, sf_dir).select(*RAW_COLUMNS).write.option("header", True).option("escape", '"').csv(path)
+    raw_products(spark, sf_dir).select(*RAW_COLUMNS).write.options(**products.CSV_OPTIONS).csv(path)
     return products.scan_products_csv(spark, path)
 
 
@@ -28,8 +28,8 @@ def scan_products_csv(spark, sf_dir):
 def scan_benchmark_csv(spark, sf_dir):
     """The benchmark as a CSV with a byte order mark and line breaks inside quotes."""
     path = scratch_path(spark, "benchmark-csv")
-    marked = phrased(spark, sf_dir).withColumnRenamed("item_id", "﻿item_id")
-    marked.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    marked = phrased(spark, sf_dir).withColumnRenamed("item_id", "\ufeffitem_id")
+    marked.write.options(**products.CSV_OPTIONS).csv(path)
     scanned = products.scan_benchmark_csv(spark, path)
     return scanned.withColumn("basic_query", F.nullif("basic_query", F.lit("")))
 

@@ -10,7 +10,6 @@ from shelfmark.operators.nearest import BlockSizes, nearest
 from shelfmark.registry.base import (
     NAME_QUERIES,
     VECTORS,
-    derived,
     name_queries,
     query,
     ranked_sql,

@@ -12,6 +12,9 @@ from shelfmark.schema import RAW_COLUMNS
 
 _BOM = "\ufeff"
 
+# Text is written as it is: quotes doubled, outer blanks kept.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """All columns as text, by header name. Quoted line breaks need ``multi_line``, which
@@ -38,7 +41,7 @@ def scan_parquet_columns(spark: SparkSession, path: str, columns: Sequence[str])
 def write_clean_products(df: DataFrame, path: str, file_format: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if file_format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     elif file_format == "parquet":
         writer.parquet(path)
     else:
@@ -56,4 +59,4 @@ def product_table_jdbc(df: DataFrame, url: str, table: str, properties: dict[str
 
 
 def summary_write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
