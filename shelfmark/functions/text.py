@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,13 +32,21 @@ def is_stopword(word: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
 
 def stem(word: Column) -> Column:
     """Plural stripping after Harman (1991): the first rule that applies, once."""
-    cut = F.length(word)
+
+
+    def ends(*tails: str) -> Column:
+        hit = word.endswith(tails[0])
+        for tail in tails[1:]:
+            hit = hit | word.endswith(tail)
+        return hit
+
+    length = F.length(word)
     return (
-        F.when(cut <= 3, word)
-        .when(word.rlike("ies$") & ~word.rlike("[ea]ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("es$") & ~word.rlike("[aeo]es$"), F.regexp_replace(word, "es$", "e"))
-        .when(word.rlike("s$") & ~word.rlike("[us]s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
+        F.when((length <= 3) | ~ends("s"), word)
+        .when(ends("ies") & ~ends("eies", "aies"), F.concat(F.left(word, length - 3), F.lit("y")))
+        .when(ends("es") & ~ends("aes", "ees", "oes"), F.left(word, length - 1))
+        .when(ends("us", "ss"), word)
+        .otherwise(F.left(word, length - 1))
     )
 
 
@@ -55,6 +63,11 @@ def letters_only(text: Column) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n neighbouring tokens as arrays. ``tokens`` has to be a plain column:
     entries are picked by index, as ``slice`` inside a lambda copies the whole list."""
+    return map_ngrams(tokens, n, lambda *gram: F.array(*gram))
+
+
+def map_ngrams(tokens: Column, n: int, fn: Callable[..., Column]) -> Column:
+    """``fn(token, ..., token)`` for each run of n tokens."""
     last = F.size(tokens) - n
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array(*[F.get(tokens, i + j) for j in range(n)]))
+    return F.transform(starts, lambda i: fn(*[F.get(tokens, i + j) for j in range(n)]))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
 from shelfmark.functions import vectors as V
+from shelfmark.session import spread
 
 BATCH_ROWS = 100
 
@@ -28,7 +29,8 @@ def encode_text_hashed(df: DataFrame, column: str, dim: int = 256) -> DataFrame:
     Counting is by (pid, bucket), summed before the shuffle, so a long text is no
     heavier than a short one.
     """
-    hits = df.select("pid", F.explode(X.words(F.col(column))).alias("_w")).select("pid", bucket(F.col("_w"), dim).alias("b"))
+    rows = spread(df.select("pid", column), "pid")
+    hits = rows.select("pid", F.explode(X.words(F.col(column))).alias("_w")).select("pid", bucket(F.col("_w"), dim).alias("b"))
     counts = hits.groupBy("pid", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
     sparse = counts.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as X
 from shelfmark.functions.text import STOPWORDS
 from shelfmark.operators.encode import bucket
+from shelfmark.session import spread
 
 # The words and patterns of each tag family.
 TAG_FAMILIES = {
@@ -52,7 +55,7 @@ def top_ngrams(
     df: DataFrame, column: str, n_range: tuple[int, int] = (1, 1), k: int = 20, stopwords: Sequence[str] = STOPWORDS
 ) -> DataFrame:
     """The k most frequent n-grams for n in the range; equal counts go by text."""
-    lists = df.select(corpus_words(F.col(column), stopwords).alias("_w"))
+    lists = spread(df.select(column), column).select(corpus_words(F.col(column), stopwords).alias("_w"))
     grams = F.concat(*[X.ngrams(F.col("_w"), n) for n in range(n_range[0], n_range[1] + 1)])
     rows = lists.select(F.explode(grams).alias("_g"))
     counts = rows.groupBy(F.array_join("_g", " ").alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
@@ -98,7 +101,8 @@ def keyword_extract(
     The document vector is counted by (pid, bucket) and joined back as a dense array.
     Candidates are scored inside their document's row and only k of them leave it.
     """
-    tokens = docs.select("pid", corpus_words(F.col("document"), stopwords).alias("w")).filter(F.size("w") > 0)
+    rows = spread(docs.select("pid", "document"), "pid")
+    tokens = rows.select("pid", corpus_words(F.col("document"), stopwords).alias("w")).filter(F.size("w") > 0)
     hashed = tokens.select("pid", F.transform("w", lambda w: F.struct(w.alias("w"), bucket(w, dim).alias("b"))).alias("t"))
     counts = hashed.select("pid", F.explode("t.b").alias("b")).groupBy("pid", "b").agg(F.count(F.lit(1)).alias("n"))
     sparse = counts.groupBy("pid").agg(
@@ -109,16 +113,16 @@ def keyword_extract(
         "pid", "length", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0)).cast("double")).alias("v")
     )
     both = hashed.join(dense, "pid")
-    def scored(gram: Column) -> Column:
-        dot = F.aggregate(gram, F.lit(0.0), lambda acc, t: acc + F.get("v", t["b"]))
-        own = F.aggregate(
-            gram, F.lit(0.0), lambda acc, t: acc + F.size(F.filter(gram, lambda u: u["b"] == t["b"]))
-        )
-        text = F.array_join(F.transform(gram, lambda t: t["w"]), " ")
+    def scored(*gram: Column) -> Column:
+        dot = reduce(Column.__add__, [F.get("v", t["b"]) for t in gram])
+        # Words that share a bucket add up before squaring.
+        shared = [(a["b"] == b["b"]).cast("int") * 2 for a, b in combinations(gram, 2)]
+        own = reduce(Column.__add__, shared, F.lit(len(gram)))
+        text = F.concat_ws(" ", *[t["w"] for t in gram])
         return F.struct((-F.round(dot / (F.sqrt(own) * F.col("length")), 6)).alias("minus"), text.alias("keyword"))
 
-    grams = F.concat(*[X.ngrams(F.col("t"), n) for n in range(n_range[0], n_range[1] + 1)])
-    ordered = F.array_sort(F.transform(grams, scored))
+    grams = F.concat(*[X.map_ngrams(F.col("t"), n, scored) for n in range(n_range[0], n_range[1] + 1)])
+    ordered = F.array_sort(grams)
     # Copies of a candidate are neighbours in sorted order: one walk drops them and stops
     # growing at k, where array_distinct would compare all pairs of structs.
     none = F.slice(ordered, 1, 0)

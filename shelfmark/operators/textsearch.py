@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as X
 from shelfmark.functions.ranking import normalize_top, top_k
 from shelfmark.functions.text import STOPWORDS
+from shelfmark.session import spread
 
 
 def token_rows(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
     """(pid, position, term). Positions start at 1 and count stopwords too."""
-    rows = docs.select("pid", F.posexplode(X.words(F.col("document"))).alias("_at", "_word"))
+    rows = spread(docs.select("pid", "document"), "pid").select("pid", F.posexplode(X.words(F.col("document"))).alias("_at", "_word"))
     kept = rows.filter(~X.is_stopword(F.col("_word"), stopwords))
     term = X.stem(F.col("_word")) if stemming else F.col("_word")
     return kept.select("pid", (F.col("_at") + 1).alias("position"), term.alias("term"))

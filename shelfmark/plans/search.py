@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import facets, hybrid, rerank
 from shelfmark.operators.hybrid import Catalog, Component
 from shelfmark.operators.vectors import fuse_query_embedding
+from shelfmark.session import pinned
 
 TOP_K = 100
 
@@ -43,7 +44,8 @@ def respond(
 
     ``reply`` turns payload rows (query_id, payload, n_items) into (query_id, n_items, reply).
     """
-    results = facets.hydrate_results(ranked, products)
+    # Top-k rows only, read by every branch below.
+    results = pinned(facets.hydrate_results(ranked, products))
     reasoning = None
     if reply is not None:
         shown = results.filter(F.col("rank") <= rerank.RERANK_WINDOW).groupBy("query_id").agg(

@@ -10,6 +10,7 @@ from shelfmark.functions.ranking import top_k
 from shelfmark.operators import evaluate, textsearch
 from shelfmark.operators.ids import hit_test
 from shelfmark.registry.base import DOCUMENTS, derived, documents, query, ranked_sql, search_sql, table
+from shelfmark.session import staged
 
 # Phrasings: long words only, medium words, the whole passage.
 PHRASED = """phrased AS (SELECT item_id, text AS natural_query,
@@ -54,7 +55,7 @@ def tested(spark, sf_dir, k=40):
     queries = long.select(
         F.concat("query_type", F.lit("/"), F.col("item_id").cast("string")).alias("query_id"), "item_id", "query_type", F.col("query").alias("text")
     )
-    postings = textsearch.text_index(documents(spark, sf_dir))
+    postings = staged(textsearch.text_index(documents(spark, sf_dir)), "postings")
     found = top_k(textsearch.rank_frequency(postings, textsearch.parse_queries(queries)), k)
     # A document that holds a passage word for word also holds all of its words, so only
     # the pairs of the all-terms match are compared as text.

@@ -19,6 +19,7 @@ from shelfmark.registry.base import (
 )
 from shelfmark.registry.ids import SCORED, scored_events
 from shelfmark.registry.text import FREQUENCY
+from shelfmark.session import pinned, staged
 
 K = 40
 CONFIG = [
@@ -31,7 +32,7 @@ def catalog(spark, sf_dir) -> hybrid.Catalog:
     goods = products(spark, sf_dir)
     return hybrid.Catalog(
         products=goods,
-        postings=textsearch.text_index(goods),
+        postings=staged(textsearch.text_index(goods), "postings"),
         vectors={"fusion_embedding": vectors(spark, sf_dir).select("pid", "embedding")},
     )
 
@@ -50,7 +51,7 @@ HYBRID = f"""WITH products AS ({PRODUCTS}), {NAME_QUERIES}, {VECTORS},
 
 def hybrid_results(spark, sf_dir):
     parts = hybrid.build_components(CONFIG)
-    return hybrid.hybrid_search(name_queries(spark, sf_dir), catalog(spark, sf_dir), parts, [0.5, 0.5], K)
+    return hybrid.hybrid_search(pinned(name_queries(spark, sf_dir)), catalog(spark, sf_dir), parts, [0.5, 0.5], K)
 
 
 @query("hybrid_search", f"{HYBRID} SELECT query_id, pid, score, CAST(rank AS INTEGER) AS rank FROM ranked")
@@ -102,7 +103,8 @@ RESULTS = f"""{HYBRID}, results AS (SELECT query_id, ranked.pid, CAST(rank AS IN
 
 
 def results(spark, sf_dir):
-    return hybrid_results(spark, sf_dir).join(products(spark, sf_dir).drop("document"), "pid")
+    found = hybrid_results(spark, sf_dir).join(products(spark, sf_dir).drop("document"), "pid")
+    return pinned(found)
 
 
 # Replies of every kind a model gives, by the length of the query text.
@@ -119,7 +121,11 @@ REPLIES = f"""{RESULTS}, replies AS (SELECT query_id, n_items, {REPLY} AS reply
 
 
 def replies(spark, sf_dir):
-    shown = results(spark, sf_dir).filter(F.col("rank") <= 30).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_items"))
+    return replies_to(results(spark, sf_dir))
+
+
+def replies_to(found):
+    shown = found.filter(F.col("rank") <= 30).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_items"))
     return shown.withColumn("reply", F.expr(REPLY))
 
 
@@ -156,8 +162,9 @@ def rerank_audit(spark, sf_dir):
     SELECT query_id, pid, rank AS old_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, rank) AS INTEGER) AS rank FROM placed""",
 )
 def rerank_apply(spark, sf_dir):
-    orders = rerank.rerank_parse_reply(replies(spark, sf_dir))
-    return rerank.rerank_apply(results(spark, sf_dir), orders).select("query_id", "pid", "old_rank", "rank")
+    found = results(spark, sf_dir)
+    orders = rerank.rerank_parse_reply(replies_to(found))
+    return rerank.rerank_apply(found, orders).select("query_id", "pid", "old_rank", "rank")
 
 
 @query(
@@ -182,7 +189,7 @@ def retrieve_by_modality(spark, sf_dir):
     """The whole search plan on requests of all modalities."""
     from shelfmark.plans.search import respond, retrieve
 
-    names = name_queries(spark, sf_dir)
+    names = pinned(name_queries(spark, sf_dir))
     long_name = F.length("query_id") > 9
     requests = names.select(
         "query_id",

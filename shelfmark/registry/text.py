@@ -20,6 +20,7 @@ from shelfmark.registry.base import (
     table,
     tokens_sql,
 )
+from shelfmark.session import staged
 
 SEARCH = f"WITH {search_sql(DOCUMENTS, BENCHMARK)}"
 
@@ -45,7 +46,9 @@ def stem_s(spark, sf_dir):
 
 
 def searched(spark, sf_dir):
-    return ops.text_index(documents(spark, sf_dir)), ops.parse_queries(benchmark(spark, sf_dir))
+    """The stored postings of all documents, and the parsed passages."""
+    postings = staged(ops.text_index(documents(spark, sf_dir)), "postings")
+    return postings, ops.parse_queries(benchmark(spark, sf_dir))
 
 
 @query("match_all_terms", f"{SEARCH} SELECT query_id, pid, CAST(n AS INTEGER) AS n_terms FROM pairs")
@@ -109,5 +112,6 @@ def name_texts(spark, sf_dir):
       ELSE score / max(score) OVER (PARTITION BY query_id) END, 6) AS score FROM ({ranked_sql('freq', 10)})""",
 )
 def text_topk(spark, sf_dir):
-    scored = ops.rank_frequency(ops.text_index(products(spark, sf_dir)), ops.parse_queries(name_texts(spark, sf_dir)))
+    postings = staged(ops.text_index(products(spark, sf_dir)), "postings")
+    scored = ops.rank_frequency(postings, ops.parse_queries(name_texts(spark, sf_dir)))
     return ops.text_topk(scored, 10).withColumn("score", F.round("score", 6))

@@ -50,6 +50,23 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back: the branches
+    then share one computation, columnar files and their statistics."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy row work all cores when the input has fewer files than there are
+    task slots (a small or badly split table). Larger inputs stay where they are: their
+    scan is parallel already and a shuffle of the raw rows would cost more than it gains.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots, *keys)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
