@@ -122,15 +122,14 @@ def keyword_extract(
         return F.struct((-F.round(dot / (F.sqrt(own) * F.col("length")), 6)).alias("minus"), text.alias("keyword"))
 
     grams = F.concat(*[X.map_ngrams(F.col("t"), n, scored) for n in range(n_range[0], n_range[1] + 1)])
-    ordered = F.array_sort(grams)
-    # Copies of a candidate are neighbours in sorted order: one walk drops them and stops
-    # growing at k, where array_distinct would compare all pairs of structs.
-    none = F.slice(ordered, 1, 0)
+    # One walk keeps the k best distinct candidates: most are worse than the last one
+    # kept, so neither all are sorted nor all pairs compared.
+    none = F.array().cast("array<struct<minus: double, keyword: string>>")
     best = F.aggregate(
-        ordered,
+        grams,
         none,
-        lambda kept, g: F.when((F.size(kept) >= k) | F.coalesce(F.try_element_at(kept, F.lit(-1)) == g, F.lit(False)), kept).otherwise(
-            F.concat(kept, F.array(g))
+        lambda kept, g: F.when((F.size(kept) >= k) & (g >= F.get(kept, F.lit(k - 1))), kept).otherwise(
+            F.slice(F.array_sort(F.array_distinct(F.concat(kept, F.array(g)))), 1, k)
         ),
     )
     return both.select("pid", F.posexplode(best).alias("at", "best")).select(

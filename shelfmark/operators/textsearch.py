@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as X
 from shelfmark.functions.ranking import normalize_top, top_k
 from shelfmark.functions.text import STOPWORDS
-from shelfmark.session import spread
+from shelfmark.session import clustered
 
 
 def token_rows(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
     """(pid, position, term). Positions start at 1 and count stopwords too."""
-    rows = spread(docs.select("pid", "document"), "pid").select("pid", F.posexplode(X.words(F.col("document"))).alias("_at", "_word"))
+    rows = clustered(docs.select("pid", "document"), "pid").select("pid", F.posexplode(X.words(F.col("document"))).alias("_at", "_word"))
     kept = rows.filter(~X.is_stopword(F.col("_word"), stopwords))
     term = X.stem(F.col("_word")) if stemming else F.col("_word")
     return kept.select("pid", (F.col("_at") + 1).alias("position"), term.alias("term"))
 
 
 def text_index(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
-    """Postings of ``docs(pid, document)``. The grouping key is (term, pid), so a word
-    that is in every document is spread like any other, and a group is no longer than
-    its document."""
+    """Postings of ``docs(pid, document)``. Texts are hashed by pid while they are still
+    whole, which is less to move than their tokens; the grouping by (term, pid) then
+    happens in place. A word that is in every document is spread like any other, and a
+    group is no longer than its document."""
     return (
         token_rows(docs, stopwords, stemming)
         .groupBy("term", "pid")
@@ -60,13 +61,12 @@ def matched_postings(
     stats: DataFrame | None = None,
     columns: Sequence[str] = ("tf",),
 ) -> DataFrame:
-    """Postings of the (query, product) pairs in which every query term occurs.
+    """Rows (query_id, n_terms, pid, term, *columns) of the query terms in every product
+    that could match; a product matches where the group has ``n_terms`` rows.
 
-    Only products holding the query's *rarest* term are looked at further; common terms
-    are then probed by (term, pid), which is an evenly spread key. A term that occurs in
-    a third of the catalog therefore never builds its full list per query.
-    Returns ``query_id, pid, n_terms, hits``, hits being an array of structs
-    ``(term, *columns)``.
+    Only products holding the query's *rarest* term are looked at; the other terms are
+    then probed by (term, pid), which is an evenly spread key. A term that occurs in a
+    third of the catalog therefore never builds its full list per query.
     """
     wanted = parsed.select(F.explode("terms").alias("term")).distinct()
     useful = postings.select("term", "pid", *columns).join(wanted, "term", "left_semi")
@@ -75,16 +75,17 @@ def matched_postings(
     candidates = anchored.join(
         useful.select(F.col("term").alias("_rarest"), "pid"), "_rarest"
     ).select("query_id", "pid", "n_terms", F.explode("terms").alias("term"))
-    return (
-        candidates.join(useful, ["term", "pid"])
-        .groupBy("query_id", "pid", "n_terms")
-        .agg(F.collect_list(F.struct("term", *columns)).alias("hits"))
-        .filter(F.size("hits") == F.col("n_terms"))
-    )
+    return candidates.join(useful, ["term", "pid"])
+
+
+def all_terms(rows: DataFrame, *aggregates: Column) -> DataFrame:
+    """Aggregates per (query, product) in which every query term occurs."""
+    grouped = rows.groupBy("query_id", "pid", "n_terms").agg(F.count(F.lit(1)).alias("_found"), *aggregates)
+    return grouped.filter(F.col("_found") == F.col("n_terms")).drop("_found")
 
 
 def match_all_terms(postings: DataFrame, parsed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    return matched_postings(postings, parsed, stats).select("query_id", "pid", "n_terms")
+    return all_terms(matched_postings(postings, parsed, stats, []))
 
 
 def damped_count(tf: Column) -> Column:
@@ -95,9 +96,9 @@ def damped_count(tf: Column) -> Column:
 
 def rank_frequency(postings: DataFrame, parsed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """More occurrences score higher, each further one by less."""
-    total = F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + damped_count(h["tf"]))
-    matched = matched_postings(postings, parsed, stats)
-    return matched.select("query_id", "pid", (total / F.col("n_terms")).alias("score"))
+    rows = matched_postings(postings, parsed, stats)
+    scored = all_terms(rows, F.sum(damped_count(F.col("tf"))).alias("_sum"))
+    return scored.select("query_id", "pid", (F.col("_sum") / F.col("n_terms")).alias("score"))
 
 
 def _cover_score(places: Column, n_terms: Column) -> Column:
@@ -140,20 +141,17 @@ def rank_cover_density(postings: DataFrame, parsed: DataFrame, stats: DataFrame
             ),
         )
     )
-    matched = matched_postings(postings, parsed, stats, ["positions"])
+    rows = matched_postings(postings, parsed, stats, ["positions"])
+    matched = all_terms(rows, F.collect_list(F.struct("term", "positions")).alias("hits"))
     placed = matched.select("query_id", "pid", "n_terms", F.array_sort(numbered).alias("places"))
     return placed.select("query_id", "pid", _cover_score(F.col("places"), F.col("n_terms")).alias("score"))
 
 
 def rank_tfidf(postings: DataFrame, parsed: DataFrame, n_docs: Column, stats: DataFrame | None = None) -> DataFrame:
     stats = stats if stats is not None else term_stats(postings)
-    with_df = postings.select("term", "pid", "tf").join(stats, "term")
-    matched = matched_postings(with_df, parsed, stats, ["tf", "df"])
-    weight = F.aggregate(
-        "hits", F.lit(0.0), lambda acc, h: acc + h["tf"] * F.ln((F.col("_docs") + F.lit(1.0)) / (h["df"] + F.lit(1.0)))
-    )
-    matched = matched.withColumn("_docs", n_docs)
-    return matched.select("query_id", "pid", weight.alias("score"))
+    rows = matched_postings(postings, parsed, stats).join(stats, "term")
+    weight = F.col("tf") * F.ln((n_docs + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))
+    return all_terms(rows, F.sum(weight).alias("score")).drop("n_terms")
 
 
 def text_topk(scored: DataFrame, k: int) -> DataFrame:

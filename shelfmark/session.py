@@ -67,6 +67,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if len(df.inputFiles()) >= slots else df.repartition(slots, *keys)
 
 
+def clustered(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed by key, at least as wide as the cluster. Later groupings whose keys
+    contain ``key`` need no further shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df.repartition(key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
