@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as X
 from shelfmark.functions.text import STOPWORDS
 from shelfmark.operators.encode import bucket
-from shelfmark.session import spread
+from shelfmark.session import clustered, spread
 
 # The words and patterns of each tag family.
 TAG_FAMILIES = {
@@ -98,10 +98,11 @@ def keyword_extract(
 ) -> DataFrame:
     """The k candidate n-grams closest to their document, by cosine of hashed word counts.
 
-    The document vector is counted by (pid, bucket) and joined back as a dense array.
+    Texts are hashed by pid once; counting words per (pid, bucket), building the dense
+    document vector and joining it back all happen in that partitioning.
     Candidates are scored inside their document's row and only k of them leave it.
     """
-    rows = spread(docs.select("pid", "document"), "pid")
+    rows = clustered(docs.select("pid", "document"), "pid")
     tokens = rows.select("pid", corpus_words(F.col("document"), stopwords).alias("w")).filter(F.size("w") > 0)
     hashed = tokens.select("pid", F.transform("w", lambda w: F.struct(w.alias("w"), bucket(w, dim).alias("b"))).alias("t"))
     counts = hashed.select("pid", F.explode("t.b").alias("b")).groupBy("pid", "b").agg(F.count(F.lit(1)).alias("n"))

@@ -14,8 +14,14 @@ def unpivot_queries(benchmark: DataFrame, ids: Sequence[str], columns: Sequence[
     return benchmark.unpivot(list(ids), list(columns), "query_type", "query")
 
 
+def _cents(c: Column) -> Column:
+    """Two decimals by way of a decimal number, so that the last bits of a mean do not
+    decide a tie."""
+    return F.round(c.cast("decimal(18,6)"), 2).cast("double")
+
+
 def _recall(hit: str) -> Column:
-    return F.round(F.avg(F.col(hit).cast("int")), 2)
+    return _cents(F.avg(F.col(hit).cast("int")))
 
 
 def recall_at_k(tested: DataFrame) -> DataFrame:
@@ -64,5 +70,5 @@ def metric_summary(recalls: DataFrame, precisions: DataFrame, times: DataFrame)
     return (
         recalls.join(precisions, ["method", "query_type"], "left")
         .join(times.select("method", "search_time"), "method", "left")
-        .select("method", "query_type", "recall", F.round("precision", 2).alias("precision"), "search_time")
+        .select("method", "query_type", "recall", _cents(F.col("precision")).alias("precision"), "search_time")
     )

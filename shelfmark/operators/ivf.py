@@ -184,7 +184,8 @@ def append_vectors(postings: DataFrame, new: DataFrame, centroids: DataFrame) ->
 
 
 def verify_index(vectors: DataFrame, centroids: DataFrame, postings: DataFrame, nprobe: int = 1, floor: float = 0.99) -> DataFrame:
-    """Search every stored vector; one that does not find itself (or an equal) is a mismatch."""
+    """Search every vector; one that does not find itself (or an equal) is a mismatch. The
+    index is taken to hold unit vectors, as the inner product is read as a similarity."""
     probes = vectors.select(F.col("pid").alias("query_id"), V.l2_normalize(F.col("embedding")).alias("embedding"))
     found = ivf_search(probes, centroids, postings, 1, nprobe)
     checked = probes.select("query_id").join(found, "query_id", "left")

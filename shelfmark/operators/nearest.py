@@ -196,21 +196,25 @@ def _scan(vectors, table, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
 
 def _grid(vectors, probes, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
     key = cell or "_cell"
-    if not cell:
-        vectors, probes = (d.withColumn(key, F.lit(0)) for d in (vectors, probes))
+    if cell:
 
-    def splits(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+        def splits(df: DataFrame, rows: int, name: str) -> DataFrame:
+            return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    sizes = pinned(
-        splits(vectors, blocks.vector_rows, "_vs").join(splits(probes, blocks.probe_rows, "_ps"), key)
-    )
-    if sizes.count() <= blocks.cell_table_rows:
-        sizes = F.broadcast(sizes)
+        sizes = pinned(
+            splits(vectors, blocks.vector_rows, "_vs").join(splits(probes, blocks.probe_rows, "_ps"), key)
+        )
+        if sizes.count() <= blocks.cell_table_rows:
+            sizes = F.broadcast(sizes)
+        vectors, probes = vectors.join(sizes, key), probes.join(sizes, key)
+    else:
+        counts = {"_vs": -(-vectors.count() // blocks.vector_rows), "_ps": -(-probes.count() // blocks.probe_rows)}
+        constants = {key: F.lit(0), **{name: F.lit(n) for name, n in counts.items()}}
+        vectors, probes = vectors.withColumns(constants), probes.withColumns(constants)
 
     def blocked(df: DataFrame, ident: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         return (
-            df.join(sizes, key)
+            df.filter((F.col(own) > 0) & (F.col(other) > 0))
             .withColumn(own_block, F.pmod(F.xxhash64(ident), F.col(own)).cast("int"))
             .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .select(key, "_vb", "_pb", ident, "embedding")

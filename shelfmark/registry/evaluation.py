@@ -79,7 +79,7 @@ def tested(spark, sf_dir, k=40):
 
 @query(
     "recall_at_k",
-    f"""{SEARCHES} SELECT query_type, count(*) AS queries, round(avg(CAST(hit AS INTEGER)), 2) AS recall FROM tested
+    f"""{SEARCHES} SELECT query_type, count(*) AS queries, CAST(round(CAST(avg(CAST(hit AS INTEGER)) AS DECIMAL(18, 6)), 2) AS DOUBLE) AS recall FROM tested
     GROUP BY GROUPING SETS ((), (query_type))""",
 )
 def recall_at_k(spark, sf_dir):
@@ -89,7 +89,7 @@ def recall_at_k(spark, sf_dir):
 @query(
     "recall_breakdown",
     f"""{SEARCHES} SELECT category, query_type, CAST(grouping_id(category, query_type) AS INTEGER) AS level, count(*) AS queries,
-    round(avg(CAST(hit AS INTEGER)), 2) AS recall FROM tested GROUP BY GROUPING SETS ((), (query_type), (category, query_type))""",
+    CAST(round(CAST(avg(CAST(hit AS INTEGER)) AS DECIMAL(18, 6)), 2) AS DOUBLE) AS recall FROM tested GROUP BY GROUPING SETS ((), (query_type), (category, query_type))""",
 )
 def recall_breakdown(spark, sf_dir):
     return evaluate.recall_breakdown(tested(spark, sf_dir))
@@ -141,17 +141,19 @@ def duration_parse(spark, sf_dir):
 
 @query(
     "metric_summary",
-    f"""WITH {RATED}, recalls AS (SELECT 'rated' AS method, event_type AS query_type, round(avg(CASE WHEN value > 5 THEN 1 ELSE 0 END), 6) AS recall FROM events GROUP BY 2),
-    means AS (SELECT 'rated' AS method, query_type, avg(precision) AS precision FROM precisions GROUP BY 2),
-    times AS (SELECT 'rated' AS method, round(max(o_custkey % 100) * 60 / 300.0::DOUBLE, 6) AS search_time FROM orders)
-    SELECT method, query_type, recall, round(precision, 2) AS precision, search_time FROM recalls LEFT JOIN means USING (method, query_type) LEFT JOIN times USING (method)""",
+    f"""WITH {RATED}, recalls AS (SELECT concat('m', CAST(user_id % 3 AS VARCHAR)) AS method, event_type AS query_type, round(avg(CASE WHEN value > 5 THEN 1 ELSE 0 END), 6) AS recall FROM events GROUP BY 1, 2),
+    means AS (SELECT concat('m', CAST(query % 3 AS VARCHAR)) AS method, query_type, avg(precision) AS precision FROM precisions GROUP BY 1, 2),
+    times AS (SELECT concat('m', CAST(o_custkey % 3 AS VARCHAR)) AS method, round(max(o_custkey % 100) * 60 / 300.0::DOUBLE, 6) AS search_time FROM orders GROUP BY 1)
+    SELECT method, query_type, recall, CAST(round(CAST(precision AS DECIMAL(18, 6)), 2) AS DOUBLE) AS precision, search_time FROM recalls LEFT JOIN means USING (method, query_type) LEFT JOIN times USING (method)""",
 )
 def metric_summary(spark, sf_dir):
-    method = F.lit("rated").alias("method")
-    recalls = table(spark, sf_dir, "events").groupBy(method, F.col("event_type").alias("query_type")).agg(
+    def method(key: str):
+        return F.concat(F.lit("m"), (F.col(key) % 3).cast("string")).alias("method")
+
+    recalls = table(spark, sf_dir, "events").groupBy(method("user_id"), F.col("event_type").alias("query_type")).agg(
         F.round(F.avg((F.col("value") > 5).cast("int")), 6).alias("recall")
     )
-    means = precisions(spark, sf_dir).groupBy(method, "query_type").agg(F.avg("precision").alias("precision"))
-    runs = table(spark, sf_dir, "orders").agg(F.concat(F.max(F.col("o_custkey") % 100).cast("string"), F.lit("min")).alias("duration"))
-    times = evaluate.duration_parse(runs).select(method, F.round("search_time", 6).alias("search_time"))
+    means = precisions(spark, sf_dir).groupBy(method("query"), "query_type").agg(F.avg("precision").alias("precision"))
+    runs = table(spark, sf_dir, "orders").groupBy(method("o_custkey")).agg(F.concat(F.max(F.col("o_custkey") % 100).cast("string"), F.lit("min")).alias("duration"))
+    times = evaluate.duration_parse(runs).select("method", F.round("search_time", 6).alias("search_time"))
     return evaluate.metric_summary(recalls, means, times)

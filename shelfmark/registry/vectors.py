@@ -245,13 +245,15 @@ def rescore_cosine(spark, sf_dir):
     return ops.rescore_cosine(found, queries, v).withColumn("score", F.round("score", 6))
 
 
-RANGES = """lohi AS (SELECT d, min(x) AS lo, max(x) AS hi FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vectors) GROUP BY 1),
-    codes AS (SELECT pid, d, CAST(CASE WHEN hi = lo THEN 0 ELSE round(255 * (x - lo) / (hi - lo)) END AS INTEGER) AS code
-      FROM (SELECT pid, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vectors) JOIN lohi USING (d))"""
+# Two embedding types with ranges of their own.
+RANGES = """entries AS (SELECT pid, label % 2 AS t, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vectors),
+    lohi AS (SELECT t, d, min(x) AS lo, max(x) AS hi FROM entries GROUP BY 1, 2),
+    codes AS (SELECT pid, t, d, CAST(CASE WHEN hi = lo THEN 0 ELSE round(255 * (x - lo) / (hi - lo)) END AS INTEGER) AS code
+      FROM entries JOIN lohi USING (t, d))"""
 
 
 def typed_vectors(spark, sf_dir):
-    return vectors(spark, sf_dir).withColumn("embedding_type", F.lit("image"))
+    return vectors(spark, sf_dir).withColumn("embedding_type", (F.col("label") % 2).cast("string"))
 
 
 @query("quantize_sq8", f"WITH {VECTORS}, {RANGES} SELECT pid, d AS dim, CAST(code AS DOUBLE) AS x FROM codes")
@@ -263,7 +265,7 @@ def quantize_sq8(spark, sf_dir):
 @query(
     "sq8_search",
     f"""WITH {NAME_QUERIES}, {VECTORS}, {RANGES}, decoded AS (
-      SELECT pid, list(lo + code * (hi - lo) / 255 ORDER BY d) AS v FROM codes JOIN lohi USING (d) GROUP BY 1),
+      SELECT pid, list(lo + code * (hi - lo) / 255 ORDER BY d) AS v FROM codes JOIN lohi USING (t, d) GROUP BY 1),
     ips AS (SELECT query_id, pid, list_inner_product(embedding, v) AS score FROM name_queries, decoded)
     SELECT query_id, pid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({ranked_sql('ips', 10)})""",
 )
