@@ -114,25 +114,29 @@ def keyword_extract(
         "pid", "length", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0)).cast("double")).alias("v")
     )
     both = hashed.join(dense, "pid")
-    def scored(*gram: Column) -> Column:
-        dot = reduce(Column.__add__, [F.get("v", t["b"]) for t in gram])
-        # Words that share a bucket add up before squaring.
-        shared = [(a["b"] == b["b"]).cast("int") * 2 for a, b in combinations(gram, 2)]
-        own = reduce(Column.__add__, shared, F.lit(len(gram)))
-        text = F.concat_ws(" ", *[t["w"] for t in gram])
-        return F.struct((-F.round(dot / (F.sqrt(own) * F.col("length")), 6)).alias("minus"), text.alias("keyword"))
-
-    grams = F.concat(*[X.map_ngrams(F.col("t"), n, scored) for n in range(n_range[0], n_range[1] + 1)])
-    # One walk keeps the k best distinct candidates: most are worse than the last one
-    # kept, so neither all are sorted nor all pairs compared.
-    none = F.array().cast("array<struct<minus: double, keyword: string>>")
-    best = F.aggregate(
-        grams,
-        none,
-        lambda kept, g: F.when((F.size(kept) >= k) & (g >= F.get(kept, F.lit(k - 1))), kept).otherwise(
-            F.slice(F.array_sort(F.array_distinct(F.concat(kept, F.array(g)))), 1, k)
-        ),
-    )
+    def fold(kept: Column, n: int) -> Column:
+        """Put the n-grams into the k best so far. Most are worse than the last one kept
+        and cost one score; only the others become text and are merged in."""
+
+        def step(best: Column, i: Column) -> Column:
+            gram = [F.get("t", i + j) for j in range(n)]
+            dot = reduce(Column.__add__, [F.get("v", t["b"]) for t in gram])
+            # Words that share a bucket add up before squaring.
+            shared = [(a["b"] == b["b"]).cast("int") * 2 for a, b in combinations(gram, 2)]
+            own = reduce(Column.__add__, shared, F.lit(n))
+            minus = -F.round(dot / (F.sqrt(own) * F.col("length")), 6)
+            entry = F.struct(minus.alias("minus"), F.concat_ws(" ", *[t["w"] for t in gram]).alias("keyword"))
+            merged = F.slice(F.array_sort(F.array_distinct(F.concat(best, F.array(entry)))), 1, k)
+            # The k-th entry is NULL until there are k.
+            return F.when(minus > F.get(best, F.lit(k - 1))["minus"], best).otherwise(merged)
+
+        last = F.size("t") - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(starts, kept, step)
+
+    best = F.array().cast("array<struct<minus: double, keyword: string>>")
+    for n in range(n_range[0], n_range[1] + 1):
+        best = fold(best, n)
     return both.select("pid", F.posexplode(best).alias("at", "best")).select(
         "pid", (F.col("at") + 1).alias("rank"), F.col("best.keyword").alias("keyword"), (-F.col("best.minus")).alias("score")
     )

@@ -41,6 +41,7 @@ class BlockSizes:
 
 
 DEFAULT_BLOCKS = BlockSizes()
+SCORE_CELLS = 4 << 20
 
 
 def collect_bounded(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
@@ -78,6 +79,12 @@ class _Best:
         self.waiting: list[pd.DataFrame] = []
         self.waiting_rows = 0
 
+    def match(self, q: np.ndarray, probes: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Score in slices, so that the score block stays small next to the inputs."""
+        step = max(1, SCORE_CELLS // max(1, len(probes)))
+        for at in range(0, len(ids), step):
+            self.offer(q, ids[at : at + step], probes @ vectors[at : at + step].T)
+
     def offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         key = np.round(scores, SCORE_DECIMALS)
         key[np.isnan(key)] = -np.inf
@@ -181,14 +188,14 @@ def _scan(vectors, table, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
             pids = _objects(batch.column(0))
             m = _prepare(matrix(batch.column(1)), metric)
             if cell is None:
-                best.offer(owner, pids, probe_m @ m.T)
+                best.match(owner, probe_m, pids, m)
                 continue
             here = _objects(batch.column(2))
             for c in np.unique(here):
                 rows = cells_of.get(c)
                 if rows is not None:
                     at = np.nonzero(here == c)[0]
-                    best.offer(owner[rows], pids[at], probe_m[rows] @ m[at].T)
+                    best.match(owner[rows], probe_m[rows], pids[at], m[at])
         yield from _emit(best.settle(), ids_of, out_arrow).to_batches()
 
     return vectors.mapInArrow(scan, out)
@@ -230,10 +237,7 @@ def _grid(vectors, probes, k, metric, cell, blocks, out, out_arrow) -> DataFrame
         best = _Best(k, len(ids_of))
         probe_m = _prepare(matrix(p["embedding"]), metric)
         pids, m = _objects(v["pid"]), _prepare(matrix(v["embedding"]), metric)
-        # Slices keep the score block small next to the inputs.
-        step = max(1, (4 << 20) // max(1, len(probe_m)))
-        for at in range(0, len(pids), step):
-            best.offer(owner, pids[at : at + step], probe_m @ m[at : at + step].T)
+        best.match(owner, probe_m, pids, m)
         return _emit(best.settle(), ids_of, out_arrow)
 
     return left.cogroup(right).applyInArrow(block, out)

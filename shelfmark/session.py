@@ -28,20 +28,19 @@ def get_session(app: str = "shelfmark", cores: str = "*", shuffle_partitions: in
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is made
+    The cluster names it in ``spark.checkpoint.dir``; the session has its own folder in
+    there, with its file system in the name. A temporary folder is made
     only for a local master that names none, since other machines cannot see it.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="shelfmark-")
         sc.setCheckpointDir(named)
-        current = sc.getCheckpointDir()
-    return named or current
+    return sc.getCheckpointDir()
 
 
 def pinned(df: DataFrame) -> DataFrame:
