@@ -26,6 +26,13 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+def rows_of(values: Column | str) -> Column:
+    """One row per entry, NULL for none: filter that out afterwards. A plain ``explode``
+    lets the optimizer test ``size(values) > 0`` as early as in the scan, which computes
+    costly token lists twice, and the first time before the rows are spread."""
+    return F.explode_outer(values)
+
+
 def is_stopword(word: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     return word.isin(list(stopwords))
 

@@ -16,6 +16,12 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def dense(sparse: Column, dim: int) -> Column:
+    """A MAP<INT, DOUBLE> as an array of ``dim`` entries, absent = 0."""
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    return let(sparse, lambda m: F.transform(places, lambda d: F.coalesce(F.try_element_at(m, d), F.lit(0.0))))
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(as_double(a), as_double(b), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)

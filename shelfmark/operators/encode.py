@@ -30,11 +30,10 @@ def encode_text_hashed(df: DataFrame, column: str, dim: int = 256) -> DataFrame:
     heavier than a short one.
     """
     rows = spread(df.select("pid", column), "pid")
-    hits = rows.select("pid", F.explode(X.words(F.col(column))).alias("_w")).select("pid", bucket(F.col("_w"), dim).alias("b"))
+    hits = rows.select("pid", X.rows_of(X.words(F.col(column))).alias("_w")).filter(F.col("_w").isNotNull()).select("pid", bucket(F.col("_w"), dim).alias("b"))
     counts = hits.groupBy("pid", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
     sparse = counts.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
-    return sparse.select("pid", V.l2_normalize(dense).alias("embedding"))
+    return sparse.select("pid", V.let(V.dense(F.col("m"), dim), V.l2_normalize).alias("embedding"))
 
 
 class Encoder(Protocol):

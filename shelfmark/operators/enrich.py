@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
+from shelfmark.functions import vectors as V
 from shelfmark.functions.text import STOPWORDS
 from shelfmark.operators.encode import bucket
 from shelfmark.session import clustered, spread
@@ -57,7 +58,7 @@ def top_ngrams(
     """The k most frequent n-grams for n in the range; equal counts go by text."""
     lists = spread(df.select(column), column).select(corpus_words(F.col(column), stopwords).alias("_w"))
     grams = F.concat(*[X.ngrams(F.col("_w"), n) for n in range(n_range[0], n_range[1] + 1)])
-    rows = lists.select(F.explode(grams).alias("_g"))
+    rows = lists.select(X.rows_of(grams).alias("_g")).filter(F.col("_g").isNotNull())
     counts = rows.groupBy(F.array_join("_g", " ").alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.col("n").desc(), "ngram").limit(k)
 
@@ -103,15 +104,15 @@ def keyword_extract(
     Candidates are scored inside their document's row and only k of them leave it.
     """
     rows = clustered(docs.select("pid", "document"), "pid")
-    tokens = rows.select("pid", corpus_words(F.col("document"), stopwords).alias("w")).filter(F.size("w") > 0)
+    tokens = rows.select("pid", corpus_words(F.col("document"), stopwords).alias("w"))
     hashed = tokens.select("pid", F.transform("w", lambda w: F.struct(w.alias("w"), bucket(w, dim).alias("b"))).alias("t"))
-    counts = hashed.select("pid", F.explode("t.b").alias("b")).groupBy("pid", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = hashed.select("pid", X.rows_of("t.b").alias("b")).filter(F.col("b").isNotNull()).groupBy("pid", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
     sparse = counts.groupBy("pid").agg(
         F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"),
-        F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("length"),
+        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"),
     )
     dense = sparse.select(
-        "pid", "length", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0)).cast("double")).alias("v")
+        "pid", "length", V.dense(F.col("m"), dim).alias("v")
     )
     both = hashed.join(dense, "pid")
     def fold(kept: Column, n: int) -> Column:

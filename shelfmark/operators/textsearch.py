@@ -15,7 +15,10 @@ from shelfmark.session import clustered
 
 def token_rows(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
     """(pid, position, term). Positions start at 1 and count stopwords too."""
-    rows = clustered(docs.select("pid", "document"), "pid").select("pid", F.posexplode(X.words(F.col("document"))).alias("_at", "_word"))
+    rows = clustered(docs.select("pid", "document"), "pid").select(
+        "pid", F.posexplode_outer(X.words(F.col("document"))).alias("_at", "_word")
+    )
+    # Outer, for the reason given at ``rows_of``; a NULL word is no stopword and drops out.
     kept = rows.filter(~X.is_stopword(F.col("_word"), stopwords))
     term = X.stem(F.col("_word")) if stemming else F.col("_word")
     return kept.select("pid", (F.col("_at") + 1).alias("position"), term.alias("term"))
