@@ -68,9 +68,35 @@ def paginate(spark, sf_dir):
     return facets.paginate(results(spark, sf_dir), 2).select("query_id", "pid", "rank")
 
 
-@query("search_response")
+def _distribution(facet: str) -> str:
+    return f"""{facet}_share AS (SELECT query_id, string_agg(concat({facet}, '=', CAST(share AS VARCHAR)), ';' ORDER BY {facet}) AS {facet}_distribution FROM (
+      SELECT query_id, {facet}, CAST(round_even(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY query_id), 0) AS INTEGER) AS share
+      FROM results GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "search_response",
+    f"""{RESULTS}, {_distribution('category')}, {_distribution('brand')},
+    asked AS (SELECT DISTINCT p_name AS query_id FROM part),
+    listed AS (SELECT query_id, string_agg(concat(CAST(rank AS VARCHAR), ':', CAST(pid AS VARCHAR), ':', name), ';' ORDER BY rank) AS results,
+      round(min(price), 2) AS min_price, round(max(price), 2) AS max_price,
+      (2 * CAST(sum(CAST(price AS DECIMAL(18, 4))) * 10000 AS BIGINT) + 100 * count(price)) // (200 * count(price)) / 100.0::DOUBLE AS avg_price
+      FROM results GROUP BY 1)
+    SELECT query_id, coalesce(results, '') AS results, min_price, max_price, avg_price, category_distribution, brand_distribution
+    FROM asked LEFT JOIN listed USING (query_id) LEFT JOIN category_share USING (query_id) LEFT JOIN brand_share USING (query_id)""",
+)
 def search_response(spark, sf_dir):
     found = results(spark, sf_dir).select("query_id", "rank", "pid", "score", "name", "brand", "category", "price")
     shares = {name: facets.facet_share(found, name) for name in ("category", "brand")}
     asked = table(spark, sf_dir, "part").select(F.col("p_name").alias("query_id")).distinct()
-    return facets.search_response(asked, found, shares)
+    out = facets.search_response(asked, found, shares)
+
+    def entries(column: str):
+        pairs = F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+        return F.array_join(pairs, ";").alias(column)
+
+    line = F.transform("results", lambda r: F.concat_ws(":", r["rank"].cast("string"), r["pid"].cast("string"), r["name"]))
+    return out.select(
+        "query_id", F.array_join(line, ";").alias("results"), "min_price", "max_price", "avg_price",
+        entries("category_distribution"), entries("brand_distribution"),
+    )

@@ -133,9 +133,17 @@ def joined(c):
     return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
 
 
-@query("rerank_payload")
+@query(
+    "rerank_payload",
+    f"""{RESULTS} SELECT query_id, string_agg(concat_ws('|', CAST(rank - 1 AS VARCHAR), name, brand, category, size), ';' ORDER BY rank) AS items
+    FROM results WHERE rank <= 30 GROUP BY 1""",
+)
 def rerank_payload(spark, sf_dir):
-    return rerank.rerank_payload(results(spark, sf_dir).withColumnsRenamed({"name": "Name", "brand": "Brand", "category": "Category", "size": "Size", "price": "Price"}))
+    """The JSON text per query, read back field by field."""
+    payload = rerank.rerank_payload(results(spark, sf_dir).withColumnsRenamed({"name": "Name", "brand": "Brand", "category": "Category", "size": "Size", "price": "Price"}))
+    item = "array<struct<index: int, Name: string, Brand: string, Category: string, Size: string, Price: double>>"
+    line = F.transform(F.from_json("payload", item), lambda i: F.concat_ws("|", i["index"].cast("string"), i["Name"], i["Brand"], i["Category"], i["Size"]))
+    return payload.select("query_id", F.array_join(line, ";").alias("items"))
 
 
 @query("rerank_parse_reply", f"{REPLIES} SELECT query_id, array_to_string(indices, ',') AS indices, reasoning FROM parsed")
