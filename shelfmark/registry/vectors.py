@@ -23,7 +23,7 @@ NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 
 def exploded(df, column="embedding"):
     """One row per vector entry, rounded, so that whole vectors are compared."""
-    return df.select("pid", F.posexplode(column).alias("at", "x")).select("pid", (F.col("at") + 1).cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
+    return df.select("pid", F.posexplode(column).alias("at", "x")).select("pid", (F.col("at") + 1).cast("bigint").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def exploded_sql(source: str, v: str = "v") -> str:
