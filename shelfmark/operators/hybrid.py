@@ -16,6 +16,13 @@ from shelfmark.operators.vectors import knn_exact
 from shelfmark.schema import COMPONENT_ORDER, MODALITY_WEIGHTS
 
 
+# The component types and rank methods that a retrieval configuration names.
+EXACT_VECTOR = "PostgresVectorRetrieval"
+CLUSTERED_VECTOR = "FaissVectorRetrieval"
+TEXT = "TextSearchRetrieval"
+RANK_METHODS = {"ts_rank": textsearch.rank_frequency, "ts_rank_cd": textsearch.rank_cover_density}
+
+
 @dataclass
 class Catalog:
     """The tables a search reads. Vector tables are per embedding type."""
@@ -50,8 +57,7 @@ def clustered_component(embedding_type: str, nprobe: int = 1) -> Component:
 
 
 def text_component(method: str) -> Component:
-    rankers = {"ts_rank": textsearch.rank_frequency, "ts_rank_cd": textsearch.rank_cover_density}
-    ranker = rankers.get(method)
+    ranker = RANK_METHODS.get(method)
     if ranker is None:
         raise ValueError(f"unknown rank method: {method}")
 
@@ -66,11 +72,11 @@ def text_component(method: str) -> Component:
 def build_component(config: dict) -> Component:
     """A component from ``{"type": ..., "params": {...}}``; an unknown type is an error."""
     kind, params = config["type"], config.get("params", {})
-    if kind == "PostgresVectorRetrieval":
+    if kind == EXACT_VECTOR:
         return vector_component(params["column_name"])
-    if kind == "FaissVectorRetrieval":
+    if kind == CLUSTERED_VECTOR:
         return clustered_component(params["column_name"], int(params.get("nprobe", 1)))
-    if kind == "TextSearchRetrieval":
+    if kind == TEXT:
         return text_component(params["rank_method"])
     raise ValueError(f"unknown component type: {kind}")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.schema import RERANK_FIELDS, RERANK_WINDOW
 
+# The fields of a model's reply.
 _REPLY_SCHEMA = "reordered_indices array<int>, reasoning string"
 
 
