@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing the modules fills the register."""
 
-from shelfmark.llm import chat, decontaminate, html_text, linedup, packing, quality, secrets, sharding  # noqa: F401
+from shelfmark.llm import chat, decontaminate, html_text, linedup, neardup, packing, quality, secrets, sharding  # noqa: F401
 from shelfmark.llm.base import ORACLES, QUERIES  # noqa: F401
