@@ -1,14 +1,61 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes the documents that the stage before has kept and written. Edge cases are those of the
+operators: NULL and empty texts fail the quality rules, repeated rows become one row in the near
+dedup, an empty table passes through as an empty table.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from shelfmark.llm.base import stored, table
+from shelfmark.llm.decontaminate import drop_leaks
+from shelfmark.llm.linedup import drop_boilerplate
+from shelfmark.llm.neardup import keep_one
+from shelfmark.llm.packing import pack
+from shelfmark.llm.quality import keep_good
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Rejected documents go; texts stay as they are, the next stage owns the removal of lines."""
+    return keep_good(docs)
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Boilerplate lines leave the texts."""
+    return drop_boilerplate(docs).select(docs.columns)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each class of near-duplicates stays, the one with the lowest id."""
+    return keep_one(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold an item of the benchmark go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark, docs, sf_dir):
+    """The pieces of all documents with their sequence and place in it."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Tokens are beyond SQL: the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages one after the other, each on the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after the other on the table ``documents``, each on the written result of
+    the one before."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
