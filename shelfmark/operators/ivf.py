@@ -21,7 +21,7 @@ from shelfmark.schema import SCORE_DECIMALS
 from shelfmark.session import pinned
 
 MIN_ROWS_PER_CELL = 10
-TRAIN_ROWS_PER_CELL = 40
+# Beyond these bounds centroids are matched in blocks instead of travelling to the rows.
 MAX_CENTROID_ROWS = 65_536
 MAX_CENTROID_BYTES = 512 << 20
 
@@ -31,15 +31,18 @@ def check_training_size(n_rows: int, nlist: int) -> None:
         raise ValueError(f"{n_rows} vectors cannot train {nlist} cells: {MIN_ROWS_PER_CELL * nlist} needed")
 
 
-def ivf_train(vectors: DataFrame, nlist: int, seed: int = 42, iterations: int = 10) -> DataFrame:
-    """Spherical k-means on about 40 rows per cell, picked by a hash of the id so that
-    the training set is the same on every run and needs no sort."""
+def ivf_train(vectors: DataFrame, nlist: int, seed: int = 42, iterations: int = 10, rows_per_cell: int | None = None) -> DataFrame:
+    """Spherical k-means on all vectors: cosine k-means of Spark ML, centroids of length 1.
+
+    ``rows_per_cell`` trains on about that many rows per cell instead, picked by a hash of
+    the id, so that the training set is the same on every run. The driver holds the
+    ``nlist`` centroids while it trains.
+    """
     n_rows = vectors.count()
     check_training_size(n_rows, nlist)
-    share = min(1.0, TRAIN_ROWS_PER_CELL * nlist / n_rows)
     train = vectors.select("pid", array_to_vector(V.as_double(F.col("embedding"))).alias("features"))
-    if share < 1.0:
-        train = train.filter(F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    if rows_per_cell is not None and rows_per_cell * nlist < n_rows:
+        train = train.filter(F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) < int(rows_per_cell * nlist / n_rows * (1 << 30)))
     model = KMeans(k=nlist, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(train.select("features"))
     rows = [(nlist, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "nlist int, cell int, centroid array<double>")
@@ -75,12 +78,13 @@ def best_cells(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     from 1 in ``probe``, separately for every ``nlist`` in the centroid table. Equal
     scores: lower cell.
 
-    The centroid table is bounded by design (checked here), so it travels to the rows
-    and the rows are not shuffled.
+    A centroid table within the bounds travels to the rows, which are not shuffled; a
+    larger one is matched with them in blocks (``_best_cells_blocked``).
     """
-    table = collect_bounded(centroids.select("nlist", "cell", "centroid"), MAX_CENTROID_ROWS, MAX_CENTROID_BYTES)
+    centroids = centroids.select("nlist", "cell", "centroid")
+    table = collect_bounded(centroids, MAX_CENTROID_ROWS, MAX_CENTROID_BYTES, "centroid")
     if table is None:
-        raise ValueError(f"more than {MAX_CENTROID_ROWS} centroids: search one nlist at a time")
+        return _best_cells_blocked(rows, centroids, n)
     frame = table.select(["nlist", "cell"]).to_pandas()
     m = matrix(table["centroid"])
     groups = []
@@ -121,6 +125,19 @@ def best_cells(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(assign, out)
 
 
+def _best_cells_blocked(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
+    """The same for any number of centroids: rows are the probes of ``nearest``, one run for
+    each ``nlist``. Rows need a unique ``pid`` or ``query_id``."""
+    key = "pid" if "pid" in rows.columns else "query_id"
+    rows, out = pinned(rows), None
+    for nlist in sorted(r["nlist"] for r in centroids.select("nlist").distinct().collect()):
+        cells = centroids.filter(F.col("nlist") == nlist).select(F.col("cell").alias("pid"), F.col("centroid").alias("embedding"))
+        found = nearest(cells, rows.select(F.col(key).alias("query_id"), "embedding"), n, "ip")
+        best = found.select(F.col("query_id").alias(key), F.lit(nlist).cast("int").alias("nlist"), F.col("pid").alias("cell"), F.col("rank").alias("probe"))
+        out = best if out is None else out.unionByName(best)
+    return rows.join(out, key).select(*rows.columns, "nlist", "cell", "probe")
+
+
 def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """Postings: every vector with its best cell."""
     return best_cells(vectors.select("pid", "embedding"), centroids, 1).drop("probe")
@@ -137,11 +154,18 @@ def ivf_search(
     k: int,
     nprobe: int,
     blocks: BlockSizes = DEFAULT_BLOCKS,
+    nlist: int | None = None,
 ) -> DataFrame:
     """Top-k by inner product among the vectors of each query's ``nprobe`` best cells.
-    Fewer than k rows come back when those cells hold fewer."""
-    probes = best_cells(queries.select("query_id", "embedding"), centroids, nprobe)
-    return nearest(postings, probes, k, "ip", cell="cell", blocks=blocks)
+    Fewer than k rows come back when those cells hold fewer.
+
+    An index may hold several clusterings: ``nlist`` names the one to search, by default
+    the finest. Only its centroids and postings are read.
+    """
+    if nlist is None:
+        nlist = centroids.agg(F.max("nlist").alias("n")).first()["n"] or 0
+    probes = best_cells(queries.select("query_id", "embedding"), centroids.filter(F.col("nlist") == nlist), nprobe)
+    return nearest(postings.filter(F.col("nlist") == nlist), probes, k, "ip", cell="cell", blocks=blocks)
 
 
 def ivf_sweep(
@@ -184,17 +208,23 @@ def append_vectors(postings: DataFrame, new: DataFrame, centroids: DataFrame) ->
 
 
 def verify_index(vectors: DataFrame, centroids: DataFrame, postings: DataFrame, nprobe: int = 1, floor: float = 0.99) -> DataFrame:
-    """Search every vector; one that does not find itself (or an equal) is a mismatch. The
-    index is taken to hold unit vectors, as the inner product is read as a similarity."""
+    """Does every vector find itself (or an equal)? The rest are mismatches. The index is
+    taken to hold unit vectors, as the inner product is read as a similarity.
+
+    A vector whose stored posting lies in its best cell and matches it finds itself, which
+    one join by id shows; only the others are searched.
+    """
     probes = vectors.select(F.col("pid").alias("query_id"), V.l2_normalize(F.col("embedding")).alias("embedding"))
-    found = ivf_search(probes, centroids, postings, 1, nprobe)
-    checked = probes.select("query_id").join(found, "query_id", "left")
-    missed = F.coalesce(F.col("score") < floor, F.lit(True))
-    return checked.agg(
-        F.count(F.lit(1)).alias("checked"),
-        F.count_if(missed).alias("mismatches"),
-        F.coalesce(~F.bool_or(missed), F.lit(True)).alias("ok"),
-    )
+    nlist = centroids.agg(F.max("nlist").alias("n")).first()["n"] or 0
+    centroids, postings = centroids.filter(F.col("nlist") == nlist), postings.filter(F.col("nlist") == nlist)
+    held = postings.select(F.col("pid").alias("query_id"), "cell", F.col("embedding").alias("_stored"))
+    finds = F.coalesce(V.dot(F.col("embedding"), F.col("_stored")) >= floor, F.lit(False))
+    found = best_cells(probes, centroids, 1).join(held, ["query_id", "cell"]).filter(finds).select("query_id")
+    rest = pinned(probes.join(found, "query_id", "left_anti"))
+    again = ivf_search(rest, centroids, postings, 1, nprobe, nlist=nlist).filter(F.col("score") >= floor)
+    missed = rest.join(again.select("query_id"), "query_id", "left_anti").agg(F.count(F.lit(1)).alias("mismatches"))
+    total = probes.agg(F.count(F.lit(1)).alias("checked"))
+    return total.select("checked", missed.scalar().alias("mismatches"), (missed.scalar() == 0).alias("ok"))
 
 
 def ivf_recall(exact: DataFrame, found: DataFrame, by: list[str], k: int) -> DataFrame:

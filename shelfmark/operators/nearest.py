@@ -9,6 +9,8 @@ unless it is among the best of its block.
 * many probes: vectors and probes are cut into hashed blocks of bounded size and every
   vector block meets every probe block of its cell once. A cell that holds a third of
   all vectors is simply more blocks.
+
+Both plans compare vectors of equal length only; ``unmatched_widths`` counts what has no partner.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +39,6 @@ class BlockSizes:
     probe_rows: int = 8192
     probe_bytes: int = 64 << 20
     vector_rows: int = 50_000
-    cell_list: int = 1000
     cell_table_rows: int = 100_000
 
 
@@ -44,21 +46,31 @@ DEFAULT_BLOCKS = BlockSizes()
 SCORE_CELLS = 4 << 20
 
 
-def collect_bounded(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
-    """The rows as one Arrow table if they fit both bounds, else None."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > max_bytes:
+def collect_bounded(df: DataFrame, max_rows: int, max_bytes: int, vector: str) -> pa.Table | None:
+    """The rows as one Arrow table if they fit both bounds, else None. Sizes are summed on the
+    executors first, so nothing beyond the bounds reaches the driver."""
+    total = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values")).first()
+    if total["rows"] > max_rows or 8 * total["values"] > max_bytes:
         return None
-    return table
+    return df.toArrow()
+
+
+def widths(column) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False)
 
 
 def matrix(column) -> np.ndarray:
-    """A list column as a 2-D double array."""
+    """A list column of equal lengths as a 2-D double array."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    if not n:
+        return np.zeros((0, 0))
+    lengths = widths(column)
+    if column.null_count or (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1).astype(np.float64) if n else np.zeros((0, 0))
+    return flat.reshape(n, int(lengths[0])).astype(np.float64)
 
 
 def _prepare(m: np.ndarray, metric: str) -> np.ndarray:
@@ -122,9 +134,25 @@ def _emit(best: pd.DataFrame, query_ids: np.ndarray, schema: pa.Schema) -> pa.Ta
 
 
 def _objects(column) -> np.ndarray:
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
     return np.array(column.to_pylist())
 
 
+def unmatched_widths(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+    """``side``, ``width`` and number of vectors or probes that ``nearest`` cannot compare, as
+    the other side has none of their length; a NULL vector has a NULL width."""
+
+    def sizes(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.lit(side).alias("side"), F.size("embedding").alias("width")).groupBy("side", "width").agg(F.count(F.lit(1)).alias("n"))
+
+    def alone(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.select("width"), "width", "left_anti").select("side", "width", "n")
+
+    v, p = sizes(vectors, "vectors"), sizes(probes, "probes")
+    return alone(v, p).unionByName(alone(p, v))
+
+
 def nearest(
     vectors: DataFrame,
     probes: DataFrame,
@@ -136,14 +164,15 @@ def nearest(
     """Top-k of ``vectors(pid, embedding[, cell])`` for ``probes(query_id, embedding[, cell])``.
 
     With ``cell``, a probe row only meets vectors of its own cell, and one query may
-    have several probe rows. Returns ``(query_id, pid, score, rank)``; rows without a
-    usable vector are left out.
+    have several probe rows. Returns ``(query_id, pid, score, rank)``. Vectors meet probes
+    of their own length; rows without a vector and lengths that only one side has are left
+    out (``unmatched_widths`` counts them).
     """
     extra = [cell] if cell else []
     vectors = vectors.select("pid", "embedding", *extra).filter(F.col("embedding").isNotNull())
     probes = probes.select("query_id", "embedding", *extra).filter(F.col("embedding").isNotNull())
     # Fresh column identities: probes are often derived from the vectors themselves.
-    probes = probes.toDF(*probes.columns)
+    probes = pinned(probes.toDF(*probes.columns))  # measured, then read
     query_type, pid_type = probes.schema["query_id"].dataType, vectors.schema["pid"].dataType
     out = T.StructType(
         [
@@ -154,7 +183,7 @@ def nearest(
     )
     out_arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
 
-    small = collect_bounded(probes, blocks.probe_rows, blocks.probe_bytes)
+    small = collect_bounded(probes, blocks.probe_rows, blocks.probe_bytes, "embedding")
     if small is not None:
         partial = _scan(vectors, small, k, metric, cell, blocks, out, out_arrow)
     else:
@@ -166,69 +195,61 @@ def _scan(vectors, table, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
     spark = vectors.sparkSession
     if table.num_rows == 0:
         return spark.createDataFrame([], out)
-    probe_matrix = _prepare(matrix(table["embedding"]), metric)
-    width = probe_matrix.shape[1]
     query_ids, which = np.unique(_objects(table["query_id"]), return_inverse=True)
-    vectors = vectors.filter(F.size("embedding") == width)
-    by_cell: dict = {None: np.arange(table.num_rows)}
+    cells = _objects(table[cell]) if cell else np.zeros(table.num_rows, dtype="int8")
+    length = widths(table["embedding"])
+    groups: dict = {}
+    for w in np.unique(length):
+        for c in np.unique(cells[length == w]):
+            rows = np.nonzero((length == w) & (cells == c))[0]
+            groups[c.item() if hasattr(c, "item") else c, int(w)] = (which[rows], _prepare(matrix(table["embedding"].take(pa.array(rows))), metric))
+    vectors = vectors.filter(F.size("embedding").isin(sorted({w for _, w in groups})))
     if cell:
-        cells = _objects(table[cell])
-        by_cell = {c: np.nonzero(cells == c)[0] for c in np.unique(cells)}
-        if len(by_cell) <= blocks.cell_list:
-            # A literal list reaches the scan: only the probed cells are read.
-            vectors = vectors.filter(F.col(cell).isin([c.item() if hasattr(c, "item") else c for c in by_cell]))
-    shared = spark.sparkContext.broadcast((probe_matrix, which, query_ids, by_cell))
+        # A literal list, at most one cell per probe, reaches the scan: only the probed cells are read.
+        vectors = vectors.filter(F.col(cell).isin(list({c for c, _ in groups})))
+    shared = spark.sparkContext.broadcast((groups, query_ids))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe_m, owner, ids_of, cells_of = shared.value
+        probes_of, ids_of = shared.value
         best = _Best(k, len(ids_of))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pids = _objects(batch.column(0))
-            m = _prepare(matrix(batch.column(1)), metric)
-            if cell is None:
-                best.match(owner, probe_m, pids, m)
-                continue
-            here = _objects(batch.column(2))
-            for c in np.unique(here):
-                rows = cells_of.get(c)
-                if rows is not None:
-                    at = np.nonzero(here == c)[0]
-                    best.match(owner[rows], probe_m[rows], pids[at], m[at])
+            pids, length = _objects(batch.column(0)), widths(batch.column(1))
+            here = _objects(batch.column(2)) if cell else np.zeros(batch.num_rows, dtype="int8")
+            for w in np.unique(length):
+                for c in np.unique(here[length == w]):
+                    found = probes_of.get((c.item() if hasattr(c, "item") else c, int(w)))
+                    if found is not None:
+                        at = np.nonzero((length == w) & (here == c))[0]
+                        best.match(*found, pids[at], _prepare(matrix(batch.column(1).take(pa.array(at))), metric))
         yield from _emit(best.settle(), ids_of, out_arrow).to_batches()
 
     return vectors.mapInArrow(scan, out)
 
 
 def _grid(vectors, probes, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
-    key = cell or "_cell"
-    if cell:
+    keys = [cell, "_width"] if cell else ["_width"]
+    vectors, probes = (df.withColumn("_width", F.size("embedding")) for df in (vectors, probes))
 
-        def splits(df: DataFrame, rows: int, name: str) -> DataFrame:
-            return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    def splits(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-        sizes = pinned(
-            splits(vectors, blocks.vector_rows, "_vs").join(splits(probes, blocks.probe_rows, "_ps"), key)
-        )
-        if sizes.count() <= blocks.cell_table_rows:
-            sizes = F.broadcast(sizes)
-        vectors, probes = vectors.join(sizes, key), probes.join(sizes, key)
-    else:
-        counts = {"_vs": -(-vectors.count() // blocks.vector_rows), "_ps": -(-probes.count() // blocks.probe_rows)}
-        constants = {key: F.lit(0), **{name: F.lit(n) for name, n in counts.items()}}
-        vectors, probes = vectors.withColumns(constants), probes.withColumns(constants)
+    sizes = pinned(splits(vectors, blocks.vector_rows, "_vs").join(splits(probes, blocks.probe_rows, "_ps"), keys))
+    if sizes.count() <= blocks.cell_table_rows:
+        sizes = F.broadcast(sizes)
+    vectors, probes = vectors.join(sizes, keys), probes.join(sizes, keys)
 
     def blocked(df: DataFrame, ident: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         return (
             df.filter((F.col(own) > 0) & (F.col(other) > 0))
             .withColumn(own_block, F.pmod(F.xxhash64(ident), F.col(own)).cast("int"))
             .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select(key, "_vb", "_pb", ident, "embedding")
+            .select(*keys, "_vb", "_pb", ident, "embedding")
         )
 
-    left = blocked(vectors, "pid", "_vs", "_ps", "_vb", "_pb").groupBy(key, "_vb", "_pb")
-    right = blocked(probes, "query_id", "_ps", "_vs", "_pb", "_vb").groupBy(key, "_vb", "_pb")
+    left = blocked(vectors, "pid", "_vs", "_ps", "_vb", "_pb").groupBy(*keys, "_vb", "_pb")
+    right = blocked(probes, "query_id", "_ps", "_vs", "_pb", "_vb").groupBy(*keys, "_vb", "_pb")
 
     def block(v: pa.Table, p: pa.Table) -> pa.Table:
         if not v.num_rows or not p.num_rows:

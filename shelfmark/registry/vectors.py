@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import vectors as V
 from shelfmark.operators import encode, ivf, quantize, vectors as ops
+from shelfmark.operators import nearest as nearest_ops
 from shelfmark.operators.nearest import BlockSizes, nearest
 from shelfmark.registry.base import (
     NAME_QUERIES,
@@ -17,6 +18,7 @@ from shelfmark.registry.base import (
     vectors,
 )
 from shelfmark.registry.ids import TYPED, typed_embeddings
+from shelfmark.session import pinned
 
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 
@@ -140,6 +142,47 @@ def knn_exact_blocked(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+MIXED = f"""{NAME_QUERIES}, {VECTORS},
+    short AS (SELECT pid, CASE WHEN label % 3 = 0 THEN v[1:32] WHEN label = 7 THEN v[1:5] ELSE v END AS v FROM vectors),
+    asked AS (SELECT query_id, embedding FROM name_queries UNION ALL SELECT concat(query_id, ' 32'), embedding[1:32] FROM name_queries
+      UNION ALL SELECT concat(query_id, ' 7'), embedding[1:7] FROM name_queries)"""
+
+
+def mixed_widths(spark, sf_dir):
+    """Vectors of 64, 32 and 5 entries, queries of 64, 32 and 7."""
+    v = vectors(spark, sf_dir)
+    cut = F.when(F.col("label") % 3 == 0, F.slice("embedding", 1, 32)).when(F.col("label") == 7, F.slice("embedding", 1, 5)).otherwise(F.col("embedding"))
+    q = name_queries(spark, sf_dir).select("query_id", "embedding")
+    asked = q
+    for n in (32, 7):
+        asked = asked.unionByName(q.select(F.concat("query_id", F.lit(f" {n}")).alias("query_id"), F.slice("embedding", 1, n).alias("embedding")))
+    return v.select("pid", cut.alias("embedding")), asked
+
+
+@query(
+    "knn_mixed_widths",
+    f"""WITH {MIXED}, cosines AS (SELECT query_id, pid, list_cosine_similarity(q.embedding, s.v) AS score FROM asked q JOIN short s ON len(q.embedding) = len(s.v)),
+    found AS ({ranked_sql('cosines', 10)})
+    SELECT plan, query_id, pid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM found, (VALUES ('scan'), ('grid')) AS p(plan)""",
+)
+def knn_mixed_widths(spark, sf_dir):
+    """Vectors and queries of several lengths: both plans give the same rows."""
+    v, asked = mixed_widths(spark, sf_dir)
+    scan = nearest(v, asked, 10).withColumn("plan", F.lit("scan"))
+    grid = nearest(v, asked, 10, blocks=BlockSizes(probe_rows=16, vector_rows=1000)).withColumn("plan", F.lit("grid"))
+    return scan.unionByName(grid).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "unmatched_widths",
+    f"""WITH {MIXED}, v AS (SELECT len(v) AS width, count(*) AS n FROM short GROUP BY 1), q AS (SELECT len(embedding) AS width, count(*) AS n FROM asked GROUP BY 1)
+    SELECT 'vectors' AS side, CAST(width AS INTEGER) AS width, n FROM v WHERE width NOT IN (SELECT width FROM q)
+    UNION ALL SELECT 'probes', CAST(width AS INTEGER), n FROM q WHERE width NOT IN (SELECT width FROM v)""",
+)
+def unmatched_widths(spark, sf_dir):
+    return nearest_ops.unmatched_widths(*mixed_widths(spark, sf_dir))
+
+
 SCORED = "scored AS (SELECT o_custkey AS query_id, o_orderkey AS pid, o_totalprice AS score FROM orders)"
 
 
@@ -197,12 +240,20 @@ def seeded_index(spark, sf_dir):
     return v, c, ivf.ivf_assign(v, c)
 
 
-@query("ivf_train")
+@query(
+    "ivf_train",
+    f"""WITH {VECTORS} SELECT CAST(16 AS INTEGER) AS nlist, CAST(16 AS BIGINT) AS cells, CAST(min(len(v)) AS INTEGER) AS dim,
+    CAST(16 AS BIGINT) AS unit_centroids, count(*) AS assigned FROM vectors""",
+)
 def ivf_train(spark, sf_dir):
+    """What must hold of any training: 16 cells of full width and length 1 that share out all vectors."""
     v = vectors(spark, sf_dir)
-    trained = ivf.ivf_train(v, 16, iterations=5)
-    sizes = ivf.ivf_assign(v, trained).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    return trained.join(sizes, "cell", "left").select("nlist", "cell", F.size("centroid").alias("dim"), F.coalesce("n", F.lit(0)).alias("n"))
+    trained = pinned(ivf.ivf_train(v, 16, iterations=5))
+    assigned = ivf.ivf_assign(v, trained).groupBy("nlist", "cell").agg(F.count(F.lit(1)).alias("n"))
+    unit = F.abs(V.norm(F.col("centroid")) - 1) < 1e-6
+    return trained.join(assigned, ["nlist", "cell"], "left").groupBy("nlist").agg(
+        F.count_distinct("cell").alias("cells"), F.min(F.size("centroid")).alias("dim"), F.count_if(unit).alias("unit_centroids"), F.sum(F.coalesce("n", F.lit(0))).alias("assigned")
+    )
 
 
 @query("ivf_seed", f"WITH {VECTORS}, {CENTROIDS}, s AS (SELECT cell AS pid, centroid AS v FROM centroids) {exploded_sql('s')}")
@@ -233,6 +284,23 @@ def ivf_search(spark, sf_dir):
     return ivf.ivf_search(name_queries(spark, sf_dir), c, p, 10, 4).withColumn("score", F.round("score", 6))
 
 
+LAYERS = f"centroids AS ({seeds_sql(1)} UNION ALL {seeds_sql(3)})"
+
+
+@query(
+    "ivf_search_layers",
+    f"""WITH {NAME_QUERIES}, {VECTORS}, {LAYERS}, {POSTINGS}, {probes_sql('name_queries', 4)}, {IN_CELLS.replace('score FROM', 'score, nlist FROM')},
+    found AS ({ranked_sql('in_cells', 10, by='nlist, query_id')})
+    SELECT nlist, query_id, pid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM found""",
+)
+def ivf_search_layers(spark, sf_dir):
+    """An index with two clusterings, each searched by itself."""
+    v, c = vectors(spark, sf_dir), pinned(seeds(spark, sf_dir, 1).unionByName(seeds(spark, sf_dir, 3)))
+    postings, queries = pinned(ivf.ivf_assign(v, c)), name_queries(spark, sf_dir)
+    out = [ivf.ivf_search(queries, c, postings, 10, 4, nlist=n).withColumn("nlist", F.lit(n)) for n in (10, 30)]
+    return out[0].unionByName(out[1]).withColumn("score", F.round("score", 6))
+
+
 @query(
     "rescore_cosine",
     f"""{IVF}, found AS ({ranked_sql('in_cells', 10)})
