@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -172,17 +174,40 @@ class Places:
 
 #: White space to the tokenizer or to ``str.split`` but not to both or not to WORD.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: Words whose ids a worker keeps at most, and the longest of them.
-CACHED, CACHED_LENGTH = 500_000, 64
+#: Words whose ids a worker keeps (beyond those of one slice of texts), and the longest of them.
+CACHED, CACHED_LENGTH = 600_000, 64
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+
+#: Words whose normal form and split are plain: Latin letters, then ASCII marks but no apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the other
+    bytes take the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
     """Ids of whole texts as little-endian bytes.
 
     The tokenizer's normaliser and splitter never join characters across white space, so a
-    text's ids are those of its words in turn; words that come again are looked up.
+    text's ids are those of its words in turn; words that come again are looked up. Plain words
+    go to the tokenizer's BPE model at once, all others through its whole chain.
     """
 
+    _LETTERS = byte_letters()
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -190,23 +215,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Look up new words."""
+        rest, marks = [], self.marks
+        tokenize, known, letters = self.tokenizer.model.tokenize, self.known, self._LETTERS
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                rest.append(w)
+                continue
+            word = m[1].lower()
+            if not word.isascii():
+                word = "".join(letters[b] for b in word.encode())
+            end = m[2]
+            if end and end not in marks:
+                if len(marks) > 10_000:
+                    marks.clear()
+                marks[end] = self.ids_of([end])[0]
+            known[w] = as_bytes([t.id for t in tokenize(word)]) + (marks[end] if end else b"")
+        known.update(zip(rest, self.ids_of(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [WORD.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
+        distinct = set().union(*words)
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = list(set().union(*words))
-        known = self.known | dict(zip(new, self.ids_of(new))) if len(new) > CACHED else self.known
-        if known is self.known:
-            known.update(zip(new, self.ids_of(new)))
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
+            self.known, new = {}, distinct
+        self.learn(list(new))
+        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
         for w in new:
             if len(w) > CACHED_LENGTH:
-                known.pop(w, None)
+                del self.known[w]
         return out
 
 
