@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
 from shelfmark.functions import vectors as V
+from shelfmark.functions.parsing import is_blank
 from shelfmark.session import spread
 
 BATCH_ROWS = 100
@@ -60,7 +61,7 @@ def encode_column(df: DataFrame, column: str, make_encoder: Callable[[], Encoder
 
 
 def encode_text(df: DataFrame, column: str, make_encoder: Callable[[], Encoder] | None = None, dim: int = 256) -> DataFrame:
-    named = df.filter(F.trim(F.col(column)) != "")
+    named = df.filter(~is_blank(F.col(column)))
     return encode_column(named, column, make_encoder) if make_encoder else encode_text_hashed(named, column, dim)
 
 

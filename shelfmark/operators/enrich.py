@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -13,7 +13,7 @@ from shelfmark.functions import text as X
 from shelfmark.functions import vectors as V
 from shelfmark.functions.text import STOPWORDS
 from shelfmark.operators.encode import bucket
-from shelfmark.session import clustered, spread
+from shelfmark.session import spread
 
 # The words and patterns of each tag family.
 TAG_FAMILIES = {
@@ -38,8 +38,8 @@ TAG_FAMILIES = {
 }
 
 
-def tag_pattern(family: str) -> str:
-    return r"(?i)\b(?:" + "|".join(TAG_FAMILIES[family]) + r")\b"
+def tag_pattern(family: str, families: Mapping[str, Sequence[str]] = TAG_FAMILIES) -> str:
+    return r"(?i)\b(?:" + "|".join(families[family]) + r")\b"
 
 
 def clean_text(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -63,18 +63,19 @@ def top_ngrams(
     return counts.orderBy(F.col("n").desc(), "ngram").limit(k)
 
 
-def extract_tags(df: DataFrame, column: str) -> DataFrame:
-    """One sorted array of distinct tags per family, as ``tags_<family>``."""
+def extract_tags(df: DataFrame, column: str, families: Mapping[str, Sequence[str]] = TAG_FAMILIES) -> DataFrame:
+    """One sorted array of distinct tags per family, as ``tags_<family>``; other catalogs
+    bring families of their own."""
 
     def tags(family: str) -> Column:
-        found = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(tag_pattern(family)), F.lit(0))
+        found = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(tag_pattern(family, families)), F.lit(0))
         return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
-    return df.withColumns({f"tags_{family}": tags(family) for family in TAG_FAMILIES})
+    return df.withColumns({f"tags_{family}": tags(family) for family in families})
 
 
-def merge_tags(df: DataFrame) -> DataFrame:
-    merged = F.flatten(F.array(*[F.col(f"tags_{family}") for family in TAG_FAMILIES]))
+def merge_tags(df: DataFrame, families: Mapping[str, Sequence[str]] = TAG_FAMILIES) -> DataFrame:
+    merged = F.flatten(F.array(*[F.col(f"tags_{family}") for family in families]))
     return df.withColumn("all_tags", F.array_join(F.array_sort(F.array_distinct(merged)), " "))
 
 
@@ -103,7 +104,7 @@ def keyword_extract(
     document vector and joining it back all happen in that partitioning.
     Candidates are scored inside their document's row and only k of them leave it.
     """
-    rows = clustered(docs.select("pid", "document"), "pid")
+    rows = spread(docs.select("pid", "document"), "pid")
     tokens = rows.select("pid", corpus_words(F.col("document"), stopwords).alias("w"))
     hashed = tokens.select("pid", F.transform("w", lambda w: F.struct(w.alias("w"), bucket(w, dim).alias("b"))).alias("t"))
     counts = hashed.select("pid", X.rows_of("t.b").alias("b")).filter(F.col("b").isNotNull()).groupBy("pid", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -21,7 +21,7 @@ def facet_share(results: DataFrame, facet: str) -> DataFrame:
 def price_stats(results: DataFrame, price: str = "price") -> DataFrame:
     """Lowest, highest and mean price to the cent. The mean is over decimals, so it does
     not hang on the order in which rows are summed."""
-    p = F.col(price)
+    p = F.nullif(F.col(price), F.lit(float("nan")))  # no number is no price
     mean = F.avg(p.cast("decimal(18,4)"))
     return results.groupBy("query_id").agg(
         F.round(F.min(p), 2).alias("min_price"),

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from shelfmark.functions.parsing import is_blank
 from shelfmark.functions.ranking import index_within
 
-FOLD_ROWS = 10_000
-
 
 def _complete():
     return (
@@ -28,15 +26,20 @@ def rejected_feedback(events: DataFrame) -> DataFrame:
     return events.filter(~_complete())
 
 
-def feedback_fold(events: DataFrame, rows_per_fold: int = FOLD_ROWS) -> DataFrame:
-    """Each session's ``{pid, feedback}`` entries in time order.
+def feedback_entries(events: DataFrame) -> DataFrame:
+    """Each session's entries in time order, a row each: ``session_id``, ``pos`` (from 1),
+    ``pid``, ``feedback``. Sessions may have any length."""
+    valid = validate_feedback(events).select("session_id", "ts", "event_id", "pid", "feedback")
+    return index_within(valid, ["session_id"], ["ts", "event_id"]).select("session_id", "pos", "pid", "feedback")
+
 
-    A session is one row, up to ``rows_per_fold`` entries; a longer one goes on in
-    further rows with the next ``fold`` number, so that no row and no task has to hold
-    a session without bound. Nothing is dropped.
+def feedback_fold(events: DataFrame, rows_per_fold: int) -> DataFrame:
+    """The entries as arrays for presentation, ``rows_per_fold`` to a row.
+
+    A longer session goes on in further rows with the next ``fold`` number, from 0, so
+    that no row and no task has to hold a session without bound. Nothing is dropped.
     """
-    valid = validate_feedback(events).select("session_id", "ts", "event_id", "pid", "feedback")
-    placed = index_within(valid, ["session_id"], ["ts", "event_id"])
+    placed = feedback_entries(events)
     fold = F.floor((F.col("pos") - 1) / rows_per_fold).cast("int")
     lists = placed.groupBy("session_id", fold.alias("fold")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "pid", "feedback"))).alias("_l")
@@ -47,8 +50,10 @@ def feedback_fold(events: DataFrame, rows_per_fold: int = FOLD_ROWS) -> DataFram
 
 
 def log_search_merge(searches: DataFrame, folded: DataFrame) -> DataFrame:
-    """Search rows with their session's feedback; either side may be alone."""
-    return searches.join(folded, "session_id", "full")
+    """Search rows, one per session, with their session's feedback; either side may be alone. A
+    search stands at the first fold of its session, so it comes once however long that is."""
+    first = searches.withColumn("fold", F.lit(0))
+    return first.join(folded, ["session_id", "fold"], "full")
 
 
 def feedback_precision(events: DataFrame, by: str) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import vectors as V
 from shelfmark.operators.nearest import DEFAULT_BLOCKS, BlockSizes, nearest
+from shelfmark.session import pinned
 
 LEVELS = 255
+#: Embedding types whose ranges travel to the vectors.
+MAX_TYPES = 1000
 
 
 def sq8_ranges(vectors: DataFrame) -> DataFrame:
@@ -24,6 +27,12 @@ def sq8_ranges(vectors: DataFrame) -> DataFrame:
     )
 
 
+def _small(ranges: DataFrame) -> DataFrame:
+    """One row per embedding type: checked, then sent to the vectors, which stay in place."""
+    ranges = pinned(ranges)
+    return F.broadcast(ranges) if ranges.count() <= MAX_TYPES else ranges
+
+
 def sq8_encode(vectors: DataFrame, ranges: DataFrame) -> DataFrame:
     """Codes 0..255 as ARRAY<INT> (a Spark byte is signed)."""
 
@@ -31,7 +40,7 @@ def sq8_encode(vectors: DataFrame, ranges: DataFrame) -> DataFrame:
         lo, width = F.get("lo", i), F.get("hi", i) - F.get("lo", i)
         return F.when(width == 0, F.lit(0)).otherwise(F.round(LEVELS * (x - lo) / width, 0)).cast("int")
 
-    joined = vectors.join(ranges, "embedding_type")
+    joined = vectors.join(_small(ranges), "embedding_type")
     return joined.withColumn("code", F.transform(V.as_double(F.col("embedding")), code)).drop("lo", "hi", "embedding")
 
 
@@ -39,7 +48,7 @@ def sq8_decode(codes: DataFrame, ranges: DataFrame) -> DataFrame:
     def value(c, i):
         return F.get("lo", i) + c * (F.get("hi", i) - F.get("lo", i)) / LEVELS
 
-    joined = codes.join(ranges, "embedding_type")
+    joined = codes.join(_small(ranges), "embedding_type")
     return joined.withColumn("embedding", F.transform("code", value)).drop("lo", "hi", "code")
 
 

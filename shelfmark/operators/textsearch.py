@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as X
 from shelfmark.functions.ranking import normalize_top, top_k
 from shelfmark.functions.text import STOPWORDS
-from shelfmark.session import clustered
+from shelfmark.session import spread
 
 
 def token_rows(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
     """(pid, position, term). Positions start at 1 and count stopwords too."""
-    rows = clustered(docs.select("pid", "document"), "pid").select(
+    rows = spread(docs.select("pid", "document"), "pid").select(
         "pid", F.posexplode_outer(X.words(F.col("document"))).alias("_at", "_word")
     )
     # Outer, for the reason given at ``rows_of``; a NULL word is no stopword and drops out.
@@ -25,9 +25,9 @@ def token_rows(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming:
 
 
 def text_index(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
-    """Postings of ``docs(pid, document)``. Texts are hashed by pid while they are still
-    whole, which is less to move than their tokens; the grouping by (term, pid) then
-    happens in place. A word that is in every document is spread like any other, and a
+    """Postings of ``docs(pid, document)``. Texts stay where they are: a document's tokens are
+    next to each other, so they are folded into its postings before the shuffle, and only
+    postings move. A word that is in every document is spread like any other, and a
     group is no longer than its document."""
     return (
         token_rows(docs, stopwords, stemming)

@@ -54,7 +54,8 @@ SELECT p_partkey AS row_no,
     WHEN 4 THEN ' unisex, everyday use, easy to clean'
     WHEN 5 THEN ' wireless, noise-cancelling, sleek'
     ELSE ' plain' END) AS Description,
-  CASE WHEN p_partkey % 53 = 3 THEN '  ' WHEN p_partkey % 59 = 4 THEN NULL ELSE p_name END AS Name,
+  CASE WHEN p_partkey % 53 = 3 THEN '  ' WHEN p_partkey % 61 = 5 THEN concat(chr(9), chr(160)) WHEN p_partkey % 59 = 4 THEN NULL
+       WHEN p_partkey % 7 = 3 THEN concat(chr(160), p_name, chr(9)) ELSE p_name END AS Name,
   CASE WHEN p_partkey % 11 = 5 THEN NULL WHEN p_partkey % 13 = 6 THEN 'N/A'
        ELSE concat(p_type, ' > ', p_name) END AS Category,
   CASE WHEN p_partkey % 41 = 2 THEN 'invalid' WHEN p_partkey % 43 = 2 THEN '' WHEN p_partkey % 47 = 2 THEN 'NaN'
@@ -66,7 +67,8 @@ SELECT p_partkey AS row_no,
   CASE p_partkey % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'NO' WHEN 2 THEN 'True' WHEN 3 THEN 'maybe' WHEN 4 THEN '' ELSE NULL END AS isOnSale,
   CASE p_partkey % 4 WHEN 0 THEN '1' WHEN 1 THEN 'f' WHEN 2 THEN 'N' ELSE 'unknown' END AS IsInStock,
   CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN upper(p_brand) ELSE p_brand END AS Brand,
-  CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 9 = 1 THEN '  '
+  CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 9 = 1 THEN '  ' WHEN p_partkey % 19 = 2 THEN chr(9)
+       WHEN p_partkey % 7 = 5 THEN concat(lower(p_brand), chr(10), chr(160))
        WHEN p_partkey % 5 = 0 THEN concat(' ', lower(p_brand)) ELSE concat(p_type, ' Works') END AS Manufacturer,
   CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_type END AS Color,
   CASE p_partkey % 3 WHEN 0 THEN 'men' WHEN 1 THEN 'women' ELSE NULL END AS Gender,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions.parsing import BLANK_ENDS
 from shelfmark.operators import clean
 from shelfmark.registry.base import RAW, query, raw_products, table
-from shelfmark.schema import CLEAN_COLUMNS, MISSING_TOKENS, RAW_COLUMNS
+from shelfmark.schema import CLEAN_COLUMNS, FALSE_WORDS, MISSING_TOKENS, RAW_COLUMNS, TRUE_WORDS
 
 WITH_RAW = f"WITH raw AS ({RAW})"
 TOKENS = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
@@ -20,12 +21,16 @@ def number(c: str) -> str:
 
 def boolean(c: str) -> str:
     return (
-        f"CASE WHEN lower({c}) IN ('true', 't', 'yes', 'y', '1') THEN true "
-        f"WHEN lower({c}) IN ('false', 'f', 'no', 'n', '0') THEN false END"
+        f"CASE WHEN lower({c}) IN ({', '.join(map(repr, TRUE_WORDS))}) THEN true "
+        f"WHEN lower({c}) IN ({', '.join(map(repr, FALSE_WORDS))}) THEN false END"
     )
 
 
-BRAND, MAKER = "lower(trim(coalesce(Brand, '')))", "lower(trim(coalesce(Manufacturer, '')))"
+def strip(c: str) -> str:
+    return f"regexp_replace({c}, '{BLANK_ENDS}', '', 'g')"
+
+
+BRAND, MAKER = (f"lower({strip(coalesced)})" for coalesced in ("coalesce(Brand, '')", "coalesce(Manufacturer, '')"))
 MERGED = f"CASE WHEN {BRAND} = {MAKER} THEN Brand ELSE coalesce(Brand, Manufacturer) END"
 HAS_KEY = "Pid IS NOT NULL AND Pid <> ''"
 
@@ -77,8 +82,8 @@ def validate_boolean(spark, sf_dir):
 
 @query(
     "validate_text",
-    f"""{WITH_RAW} SELECT row_no, trim(nullif(Name, '')) AS "Name", trim(nullif(Condition, '')) AS "Condition",
-    trim(nullif(Manufacturer, '')) AS "Manufacturer" FROM raw""",
+    f"""{WITH_RAW} SELECT row_no, {strip("nullif(Name, '')")} AS "Name", {strip("nullif(Condition, '')")} AS "Condition",
+    {strip("nullif(Manufacturer, '')")} AS "Manufacturer" FROM raw""",
 )
 def validate_text(spark, sf_dir):
     fields = ["Name", "Condition", "Manufacturer"]
@@ -118,7 +123,7 @@ def invalid_value_report(spark, sf_dir):
 
 @query(
     "filter_valid_products",
-    f"""{WITH_RAW} SELECT row_no, Pid, Name FROM raw WHERE coalesce(trim(Name), '') <> ''
+    f"""{WITH_RAW} SELECT row_no, Pid, Name FROM raw WHERE coalesce({strip('Name')}, '') <> ''
     AND Pid IN (SELECT concat('P', CAST(vec_id AS VARCHAR)) FROM embeddings)""",
 )
 def filter_valid_products(spark, sf_dir):
@@ -126,16 +131,16 @@ def filter_valid_products(spark, sf_dir):
     return clean.filter_valid_products(raw_products(spark, sf_dir), images).select("row_no", "Pid", "Name")
 
 
-@query("filter_nonblank_text", f"{WITH_RAW} SELECT row_no, Name FROM raw WHERE trim(Name) <> ''")
+@query("filter_nonblank_text", f"{WITH_RAW} SELECT row_no, Name FROM raw WHERE {strip('Name')} <> ''")
 def filter_nonblank_text(spark, sf_dir):
     return clean.filter_nonblank_text(raw_products(spark, sf_dir), "Name").select("row_no", "Name")
 
 
 @query(
     "cast_product_row",
-    f"""{WITH_RAW} SELECT Pid, trim(nullif(Name, '')) AS "Name", trim(nullif(Category, '')) AS "Category",
-    {number('Price')} AS "Price", {boolean('isOnSale')} AS "isOnSale", trim(nullif(Condition, '')) AS "Condition"
-    FROM (SELECT * REPLACE (trim(nullif(Pid, '')) AS Pid) FROM raw)""",
+    f"""{WITH_RAW} SELECT Pid, {strip("nullif(Name, '')")} AS "Name", {strip("nullif(Category, '')")} AS "Category",
+    {number('Price')} AS "Price", {boolean('isOnSale')} AS "isOnSale", {strip("nullif(Condition, '')")} AS "Condition"
+    FROM (SELECT * REPLACE ({strip("nullif(Pid, '')")} AS Pid) FROM raw)""",
 )
 def cast_product_row(spark, sf_dir):
     raw = raw_products(spark, sf_dir).drop("row_no")
@@ -171,10 +176,10 @@ def filter_exact(spark, sf_dir):
     "clean_products",
     f"""{WITH_RAW}, nulled AS (SELECT {NULLED} FROM raw),
     kept AS (SELECT *, {MERGED} AS merged FROM nulled WHERE PriceCurrency IN ('USD', 'CAD', 'GBP'))
-    SELECT {', '.join(f"trim(nullif({c}, '')) AS {c}" for c in ('Pid', 'Description', 'Name', 'Category', 'PriceCurrency', 'Color', 'Gender', 'Size', 'Condition'))},
+    SELECT {', '.join(strip(f"nullif({c}, '')") + f" AS {c}" for c in ('Pid', 'Description', 'Name', 'Category', 'PriceCurrency', 'Color', 'Gender', 'Size', 'Condition'))},
       {', '.join(f'{number(c)} AS {c}' for c in ('Price', 'FinalPrice', 'Discount'))},
       {', '.join(f'{boolean(c)} AS {c}' for c in ('isOnSale', 'IsInStock'))},
-      trim(nullif(merged, '')) AS "MergedBrand" FROM kept""",
+      {strip("nullif(merged, '')")} AS "MergedBrand" FROM kept""",
 )
 def clean_products(spark, sf_dir):
     return clean.clean_products(raw_products(spark, sf_dir))

@@ -11,7 +11,7 @@ from shelfmark.registry.hybrid import RESULTS, results
 # Line items as result lists: an order is a query, its parts are the results.
 LISTS = """lists AS (SELECT l_orderkey AS query_id, l_partkey AS pid,
     CASE WHEN p_size > 45 THEN NULL ELSE p_brand END AS brand, concat(p_type, ' > ', p_name) AS category,
-    CASE WHEN p_size < 5 THEN NULL ELSE p_retailprice END AS price
+    CASE WHEN p_size < 5 THEN NULL WHEN p_size = 6 THEN 'NaN'::DOUBLE ELSE p_retailprice END AS price
     FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -22,7 +22,7 @@ def lists(spark, sf_dir):
         F.col("l_partkey").alias("pid"),
         F.when(F.col("p_size") <= 45, F.col("p_brand")).alias("brand"),
         F.concat("p_type", F.lit(" > "), "p_name").alias("category"),
-        F.when(F.col("p_size") >= 5, F.col("p_retailprice")).alias("price"),
+        F.when(F.col("p_size") == 6, F.lit(float("nan"))).when(F.col("p_size") >= 5, F.col("p_retailprice")).alias("price"),
     )
 
 
@@ -38,9 +38,10 @@ def facet_share(spark, sf_dir):
 
 @query(
     "price_stats",
-    f"""WITH {LISTS} SELECT query_id, round(min(price), 2) AS min_price, round(max(price), 2) AS max_price,
+    f"""WITH {LISTS}, priced AS (SELECT query_id, CASE WHEN NOT isnan(price) THEN price END AS price FROM lists)
+    SELECT query_id, round(min(price), 2) AS min_price, round(max(price), 2) AS max_price,
     (2 * CAST(sum(CAST(price AS DECIMAL(18, 4))) * 10000 AS BIGINT) + 100 * count(price)) // (200 * count(price)) / 100.0::DOUBLE AS avg_price
-    FROM lists GROUP BY 1""",
+    FROM priced GROUP BY 1""",
 )
 def price_stats(spark, sf_dir):
     return facets.price_stats(lists(spark, sf_dir))

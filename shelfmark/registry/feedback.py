@@ -59,6 +59,29 @@ def feedback_stream(spark, sf_dir):
     return as_text(ops.feedback_fold(streams.read_feedback_log(spark, log), FOLD_ROWS))
 
 
+@query("feedback_late", f"WITH {RATED}, {FOLDED} SELECT session_id, fold, feedback, n FROM folded")
+def feedback_late(spark, sf_dir):
+    """The events in three deliveries, the newest third first and the oldest last, with the middle
+    third delivered twice; a micro-batch takes a few files."""
+    events = table(spark, sf_dir, "events")
+    folder, log, state = (scratch_path(spark, n) for n in ("late-events", "late-log", "late-state"))
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.33, 0.67]).alias("c")).first()["c"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for part in (at > cuts[1], (at > cuts[0]) & (at <= cuts[1]), (at > cuts[0]) & (at <= cuts[1]), at <= cuts[0]):
+        events.filter(part).write.mode("append").parquet(folder)
+    source = streams.file_stream(spark, folder, events.schema, "*.parquet", files_per_batch=2)
+    streams.feedback_stream(shaped(source), log, state).awaitTermination()
+    return as_text(ops.feedback_fold(streams.read_feedback_log(spark, log), FOLD_ROWS))
+
+
+@query(
+    "feedback_entries",
+    f"WITH {RATED} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS pos, pid, feedback FROM valid",
+)
+def feedback_entries(spark, sf_dir):
+    return ops.feedback_entries(rated(spark, sf_dir))
+
+
 @query("search_log_append", "SELECT CAST(user_id AS VARCHAR) AS session_id, props AS query_text, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2")
 def search_log_append(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
@@ -72,14 +95,14 @@ def search_log_append(spark, sf_dir):
 @query(
     "log_search_merge",
     f"""WITH {RATED}, {FOLDED}, searches AS (SELECT CAST(user_id AS VARCHAR) AS session_id, arg_min(props, event_id) AS query_text
-      FROM events WHERE event_type = 'view' AND value > 12 GROUP BY 1),
-    first AS (SELECT * FROM folded WHERE n > 0)
-    SELECT coalesce(s.session_id, f.session_id) AS session_id, query_text, fold, feedback, n FROM searches s FULL JOIN first f ON s.session_id = f.session_id""",
+      FROM events WHERE event_type = 'view' GROUP BY 1)
+    SELECT coalesce(s.session_id, f.session_id) AS session_id, query_text, coalesce(fold, 0) AS fold, feedback, n
+    FROM searches s FULL JOIN folded f ON s.session_id = f.session_id AND f.fold = 0""",
 )
 def log_search_merge(spark, sf_dir):
     searches = (
         table(spark, sf_dir, "events")
-        .filter("event_type = 'view' AND value > 12")
+        .filter("event_type = 'view'")
         .groupBy(F.col("user_id").cast("string").alias("session_id"))
         .agg(F.min_by("props", "event_id").alias("query_text"))
     )

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import clean, evaluate
 from shelfmark.operators.encode import encode_image
+from shelfmark.operators.ids import chunk_assign
 from shelfmark.registry.base import RAW, query, raw_products, table, vectors
-from shelfmark.registry.cleaning import HAS_KEY, MERGED, NULLED, number
+from shelfmark.registry.cleaning import HAS_KEY, MERGED, NULLED, number, strip
 from shelfmark.registry.evaluation import LONG, PHRASED, phrased
 from shelfmark.registry.vectors import PIXELS, VECTORS, exploded, exploded_sql, graymaps
 from shelfmark.schema import RAW_COLUMNS
@@ -15,6 +16,9 @@ from shelfmark.session import scratch_path
 from shelfmark.sources import embeddings, images, products
 
 WITH_RAW = f"WITH raw AS ({RAW})"
+NAME = "nullif(Name, '')"
+#: A zip archive without members after some padding, in hexadecimal digits.
+EMPTY_ARCHIVE = "00" * 64 + "504B0506" + "00" * 18
 
 
 @query("scan_products_csv", f"{WITH_RAW} SELECT {NULLED} FROM raw")
@@ -40,14 +44,14 @@ def scan_parquet_columns(spark, sf_dir):
     return lines.withColumn("l_shipdate", F.col("l_shipdate").cast("date").cast("string"))
 
 
-CHUNKED = "SELECT 'fusion' AS embedding_type, CAST(label AS INTEGER) AS chunk, CAST(vec_id AS VARCHAR) AS pid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+CHUNK_ROWS = 100
+CHUNKED = f"SELECT 'fusion' AS embedding_type, CAST((row_number() OVER (ORDER BY vec_id) - 1) // {CHUNK_ROWS} AS INTEGER) AS chunk, CAST(vec_id AS VARCHAR) AS pid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 
 
 def chunked(spark, sf_dir):
-    """A chunk per label."""
-    return vectors(spark, sf_dir).select(
-        F.lit("fusion").alias("embedding_type"), F.col("label").alias("chunk"), F.col("pid").cast("string").alias("pid"), "embedding"
-    )
+    """Chunks of a fixed number of rows."""
+    numbered = chunk_assign(vectors(spark, sf_dir), "pid", CHUNK_ROWS)
+    return numbered.select(F.lit("fusion").alias("embedding_type"), "chunk", F.col("pid").cast("string").alias("pid"), "embedding")
 
 
 @query(
@@ -63,6 +67,23 @@ def scan_embedding_chunks(spark, sf_dir):
     return read.select("embedding_type", "chunk", "pid", F.size("embedding").alias("dim"), F.round(total, 6).alias("total"))
 
 
+@query(
+    "chunk_rejects",
+    f"""SELECT 'fusion' AS embedding_type, CAST(NULL AS INTEGER) AS chunk, 'read' AS reason, count(*) AS n FROM embeddings
+    UNION ALL SELECT 'image', CAST(vec_id AS INTEGER), CASE vec_id % 2 WHEN 0 THEN 'no archive' ELSE 'missing array' END, 1 FROM embeddings WHERE label = 9""",
+)
+def chunk_rejects(spark, sf_dir):
+    """Good chunks of all vectors, and for each vector of label 9 a file that is none."""
+    path = scratch_path(spark, "npz-rejects")
+    embeddings.write_npz_chunks(chunked(spark, sf_dir), path).write.format("noop").mode("overwrite").save()
+    bad = vectors(spark, sf_dir).filter("label = 9").select("pid")
+    images.write_files(bad.select(F.concat(F.lit("image_embeddings_chunk_"), "pid", F.lit(".npz")).alias("name"),
+        F.when(F.col("pid") % 2 == 0, F.encode(F.lit("no archive"), "UTF-8")).otherwise(F.unhex(F.lit(EMPTY_ARCHIVE))).alias("content")), path).write.format("noop").mode("overwrite").save()
+    read = embeddings.scan_embedding_chunks(spark, path).groupBy("embedding_type").agg(F.count(F.lit(1)).alias("n"))
+    rejects = embeddings.chunk_rejects(spark, path).select("embedding_type", "chunk", "reason", F.lit(1).cast("bigint").alias("n"))
+    return read.select("embedding_type", F.lit(None).cast("int").alias("chunk"), F.lit("read").alias("reason"), "n").unionByName(rejects)
+
+
 @query("write_embedding_chunks", f"WITH {VECTORS} {exploded_sql('vectors')}")
 def write_embedding_chunks(spark, sf_dir):
     path = scratch_path(spark, "chunks")
@@ -82,7 +103,7 @@ def scan_images(spark, sf_dir):
 @query(
     "write_clean_products",
     f"""{WITH_RAW}, nulled AS (SELECT {NULLED} FROM raw)
-    SELECT trim(Pid) AS "Pid", trim(Name) AS "Name", {number('Price')} AS "Price", trim({MERGED}) AS "MergedBrand" FROM nulled WHERE PriceCurrency IN ('USD', 'CAD', 'GBP')""",
+    SELECT {strip('Pid')} AS "Pid", {strip('Name')} AS "Name", {number('Price')} AS "Price", {strip(MERGED)} AS "MergedBrand" FROM nulled WHERE PriceCurrency IN ('USD', 'CAD', 'GBP')""",
 )
 def write_clean_products(spark, sf_dir):
     path = scratch_path(spark, "clean")
@@ -90,7 +111,7 @@ def write_clean_products(spark, sf_dir):
     return products.scan_parquet_columns(spark, path, ["Pid", "Name", "Price", "MergedBrand"])
 
 
-@query("product_table_write", f"{WITH_RAW} SELECT Pid, trim(nullif(Name, '')) AS \"Name\", {number('Price')} AS \"Price\" FROM raw WHERE {HAS_KEY}")
+@query("product_table_write", f"{WITH_RAW} SELECT Pid, {strip(NAME)} AS \"Name\", {number('Price')} AS \"Price\" FROM raw WHERE {HAS_KEY}")
 def product_table_write(spark, sf_dir):
     path = scratch_path(spark, "product-table")
     products.product_table_write(clean.cast_product_row(clean.drop_missing_key(raw_products(spark, sf_dir).drop("row_no"))), path)

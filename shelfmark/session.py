@@ -57,20 +57,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy row work all cores when the input has fewer files than there are
-    task slots (a small or badly split table). Larger inputs stay where they are: their
-    scan is parallel already and a shuffle of the raw rows would cost more than it gains.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= slots else df.repartition(slots, *keys)
-
-
-def clustered(df: DataFrame, key: str) -> DataFrame:
-    """Rows hashed by key, at least as wide as the cluster. Later groupings whose keys
-    contain ``key`` need no further shuffle."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy row work all cores when a scan has fewer partitions than there are task
+    slots (a small or badly split table). Wider inputs stay as they are, with no shuffle."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df.repartition(key)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

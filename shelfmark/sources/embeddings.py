@@ -41,40 +41,82 @@ def list_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", embedding_type_of(F.col("path")).alias("embedding_type"), chunk_of(F.col("path")).alias("chunk"))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the file system that Spark takes it to be on: without a scheme that is
+    the cluster's default, not the disk of the machine that runs a task."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     if "://" not in path:
         path = path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
     return fs.FileSystem.from_uri(path)
 
 
-def _header(member) -> tuple[tuple[int, ...], np.dtype]:
-    version = npy.read_magic(member)
-    shape, fortran, dtype = npy.read_array_header_1_0(member) if version == (1, 0) else npy.read_array_header_2_0(member)
-    if fortran or dtype.hasobject:
-        raise ValueError("unsupported array layout")
-    return shape, dtype
+class ChunkFault(Exception):
+    """Why the content of a chunk file cannot be used. Faults of the file system are not
+    among them: they fail the task, which is then tried again."""
+
+
+def _header(member) -> tuple[tuple[int, ...], bool, np.dtype]:
+    try:
+        version = npy.read_magic(member)
+        shape, fortran, dtype = npy.read_array_header_1_0(member) if version == (1, 0) else npy.read_array_header_2_0(member)
+    except ValueError as fault:
+        raise ChunkFault("broken array header") from fault
+    if dtype.hasobject:
+        raise ChunkFault("array of objects")
+    return shape, fortran, dtype
 
 
 def _slices(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of one chunk a few thousand rows at a time. Nothing comes back for
-    a chunk that lacks an array, has unequal lengths or cannot be read."""
+    """Ids and vectors of one chunk a few thousand rows at a time. A chunk that lacks an array,
+    has unequal lengths or is no archive raises ``ChunkFault`` before its first rows."""
     system, name = _open(path)
-    with system.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
+    with system.open_input_file(name) as file:
+        try:
+            archive = zipfile.ZipFile(file)
+        except (zipfile.BadZipFile, pa.ArrowInvalid) as fault:  # the second: too short to be searched
+            raise ChunkFault("no archive") from fault
         names = {n.removesuffix(".npy"): n for n in archive.namelist()}
         if VECTORS_KEY not in names or IDS_KEY not in names:
-            return
-        with archive.open(names[VECTORS_KEY]) as vectors, archive.open(names[IDS_KEY]) as ids:
-            (shape, kind), (id_shape, id_kind) = _header(vectors), _header(ids)
-            if len(shape) != 2 or shape[0] != id_shape[0]:
-                return
+            raise ChunkFault("missing array")
+        with archive, archive.open(names[VECTORS_KEY]) as vectors, archive.open(names[IDS_KEY]) as ids:
+            (shape, fortran, kind), (id_shape, _, id_kind) = _header(vectors), _header(ids)
+            if len(shape) != 2 or len(id_shape) != 1 or shape[0] != id_shape[0]:
+                raise ChunkFault("unequal lengths")
+            if fortran and 1 not in shape:
+                # Columns lie one after the other: the whole array, one chunk, is needed for a row.
+                whole = np.frombuffer(vectors.read(shape[0] * shape[1] * kind.itemsize), kind).reshape(shape, order="F")
             for at in range(0, shape[0], _READ_ROWS):
                 n = min(_READ_ROWS, shape[0] - at)
-                block = np.frombuffer(vectors.read(n * shape[1] * kind.itemsize), kind).reshape(n, shape[1])
+                if fortran and 1 not in shape:
+                    block = whole[at : at + n]
+                else:
+                    block = np.frombuffer(vectors.read(n * shape[1] * kind.itemsize), kind).reshape(n, shape[1])
                 yield np.frombuffer(ids.read(n * id_kind.itemsize), id_kind), block
 
 
+def chunk_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """``path``, ``embedding_type``, ``chunk`` and ``reason`` of each chunk that
+    ``scan_embedding_chunks`` leaves out. Only archive directories and headers are read, and
+    the rows of a slice."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                try:
+                    next(_slices(row.path), None)
+                except ChunkFault as fault:
+                    yield pd.DataFrame({"path": [row.path], "embedding_type": [row.embedding_type], "chunk": [row.chunk], "reason": [str(fault)]})
+
+    return list_chunks(spark, folder).repartition("path").mapInPandas(read, "path string, embedding_type string, chunk int, reason string")
+
+
 def scan_embedding_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """(embedding_type, chunk, pid, embedding) of all chunk files, a task per file."""
+    """(embedding_type, chunk, pid, embedding) of all chunk files, a task per file. Chunks whose
+    content cannot be used are left out and listed by ``chunk_rejects``."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -89,7 +131,7 @@ def scan_embedding_chunks(spark: SparkSession, folder: str) -> DataFrame:
                                 "embedding": list(block.astype("float32")),
                             }
                         )
-                except (ValueError, zipfile.BadZipFile):
+                except ChunkFault:
                     continue
 
     listed = list_chunks(spark, folder)
@@ -104,6 +146,7 @@ def write_embedding_chunks(df: DataFrame, path: str, rows: int = CHUNK_ROWS) ->
 def write_npz_chunks(df: DataFrame, folder: str) -> DataFrame:
     """One ``.npz`` per (embedding_type, chunk) of ``df(embedding_type, chunk, pid, embedding)``;
     returns the written names. The chunk size bounds what a task holds."""
+    folder = qualified(df.sparkSession, folder)
 
     def save(table: pa.Table) -> pa.Table:
         kind, chunk = table["embedding_type"][0].as_py(), table["chunk"][0].as_py()

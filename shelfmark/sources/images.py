@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.sources.embeddings import _open
+from shelfmark.sources.embeddings import _open, qualified
 
 # The first bytes of the image formats that are taken as readable.
 MAGIC = {"jpeg": "FFD8FF", "png": "89504E47", "graymap": "5035"}
@@ -30,16 +30,20 @@ def scan_images(spark: SparkSession, folder: str, extension: str = "jpeg", conte
 
 def write_images(df: DataFrame, folder: str, extension: str = "jpeg") -> DataFrame:
     """Save ``df(pid, content)`` as one file per row; returns the written names."""
+    return write_files(df.select(F.concat(F.col("pid").cast("string"), F.lit(f".{extension}")).alias("name"), "content"), folder)
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """Save ``df(name, content)`` as one file per row; returns the names."""
+    folder = qualified(df.sparkSession, folder)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
         for batch in batches:
-            names = []
-            for pid, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names.append(f"{pid}.{extension}")
-                with system.open_output_stream(f"{root}/{names[-1]}") as out:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{root}/{name}") as out:
                     out.write(content)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+            yield batch.select([0])
 
-    return df.select(F.col("pid").cast("string"), "content").mapInArrow(save, "name string")
+    return df.select("name", "content").mapInArrow(save, "name string")

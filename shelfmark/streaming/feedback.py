@@ -9,11 +9,12 @@ from pyspark.sql.types import StructType
 
 from shelfmark.operators.feedback import validate_feedback
 
-LATE_BOUND = "7 days"
 
-
-def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def search_log_append(requests: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -33,15 +34,14 @@ def search_log_append(requests: DataFrame, path: str, checkpoint: str) -> Stream
     )
 
 
-def feedback_stream(events: DataFrame, path: str, checkpoint: str, late: str = LATE_BOUND) -> StreamingQuery:
-    """Valid feedback rows, each event once, appended to a log table by micro-batch.
+def feedback_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Valid feedback rows appended to a log table by micro-batch, however late they are.
 
-    The only state kept is the event ids of the last ``late`` period; sessions are folded
-    when read (``feedback_fold``), so a session may grow for ever without growing state.
+    No state is kept: deliveries of one event are made one when the log is read, and
+    sessions are folded then (``feedback_fold``), so a session may grow for ever.
     A repeated micro-batch replaces its own folder, which makes the sink exactly-once.
     """
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    once = validate_feedback(stamped).dropDuplicatesWithinWatermark(["event_id"])
+    valid = validate_feedback(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.select("session_id", "ts", "event_id", "pid", "feedback").write.mode("overwrite").parquet(
@@ -49,7 +49,7 @@ def feedback_stream(events: DataFrame, path: str, checkpoint: str, late: str = L
         )
 
     return (
-        once.writeStream.foreachBatch(store)
+        valid.writeStream.foreachBatch(store)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -58,4 +58,9 @@ def feedback_stream(events: DataFrame, path: str, checkpoint: str, late: str = L
 
 
 def read_feedback_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The logged events, each once: of repeated deliveries the earliest by time, then by
+    content. Rows without an event id cannot be matched and all stay."""
+    log = spark.read.parquet(path).drop("batch_id")
+    known = log.filter("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("ts", "session_id", "pid", "feedback")).alias("e"))
+    once = known.select("e.session_id", "e.ts", "event_id", "e.pid", "e.feedback")
+    return once.unionByName(log.filter("event_id IS NULL").select(*once.columns))

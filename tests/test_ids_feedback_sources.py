@@ -88,8 +88,8 @@ def test_feedback_stream_over_several_batches(spark, tmp_path):
     # A second delivery repeats some events.
     rows.filter("event_id >= 20").coalesce(1).write.mode("append").parquet(source)
     streams.feedback_stream(streams.file_stream(spark, source, rows.schema, "*.parquet"), log, state).awaitTermination()
-    got = feedback.feedback_fold(streams.read_feedback_log(spark, log)).first()["feedback"]
-    assert got == feedback.feedback_fold(rows).first()["feedback"]
+    got = feedback.feedback_fold(streams.read_feedback_log(spark, log), 1000).first()["feedback"]
+    assert got == feedback.feedback_fold(rows, 1000).first()["feedback"]
 
 
 def test_search_log(spark, tmp_path):
