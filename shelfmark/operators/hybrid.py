@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.ranking import normalize_top, score_key, top_k
+from shelfmark.functions.ranking import score_key, top_k
 from shelfmark.functions.parsing import is_blank
 from shelfmark.operators import ivf, textsearch
 from shelfmark.operators.vectors import knn_exact
@@ -146,7 +146,3 @@ def hybrid_search(
         empty = queries.select("query_id", F.lit(None).cast("bigint").alias("pid"), F.lit(0.0).alias("score"))
         return empty.withColumn("rank", F.lit(0)).limit(0)
     return rank_fused(fuse_full_outer([(c(queries, catalog, k), w) for c, w in active]), k)
-
-
-def normalized(scored: DataFrame, k: int, style: str = "vector") -> DataFrame:
-    return normalize_top(top_k(scored, k), style=style)

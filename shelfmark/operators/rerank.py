@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.schema import RERANK_FIELDS, RERANK_WINDOW
+from shelfmark.schema import NO_REASONING, RERANK_FIELDS, RERANK_WINDOW
 
 # The fields of a model's reply.
 _REPLY_SCHEMA = "reordered_indices array<int>, reasoning string"
@@ -35,7 +35,7 @@ def rerank_parse_reply(replies: DataFrame) -> DataFrame:
         "query_id",
         "n_items",
         F.coalesce("_p.reordered_indices", identity).alias("indices"),
-        F.when(is_object, F.coalesce("_p.reasoning", F.lit("No reasoning provided")))
+        F.when(is_object, F.coalesce("_p.reasoning", F.lit(NO_REASONING)))
         .otherwise(F.col("reply"))
         .alias("reasoning"),
     )

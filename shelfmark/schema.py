@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Columns of the raw product table, with their types.
 RAW_FIELDS = [
     ("Pid", "string"),
@@ -56,6 +54,9 @@ MODALITY_WEIGHTS = {
 }
 COMPONENT_ORDER = ("text", "image_vector", "fusion_vector")
 
+# Fixed value: the reasoning of a reply that gives none.
+NO_REASONING = "No reasoning provided"
+
 RERANK_WINDOW = 30
 RERANK_FIELDS = ["Name", "Brand", "Category", "Color", "Gender", "Size", "Price"]
 PAGE_SIZE = 20
@@ -63,8 +64,3 @@ CHUNK_ROWS = 500_000
 
 # Scores are compared at this precision, then by id, so that ties do not hang on summation order.
 SCORE_DECIMALS = 6
-
-
-def raw_csv_schema() -> T.StructType:
-    """Every raw column as text: typing is a cleaning step, not a parser side effect."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])

@@ -10,18 +10,19 @@ from shelfmark.plans import evaluation, index_build, search
 
 def test_weighted_fusion(spark):
     schema = "query_id int, pid string, score double"
-    vec = spark.createDataFrame([(1, "pid1", 0.9), (1, "pid2", 0.7)], schema)
-    text = spark.createDataFrame([(1, "pid1", 0.8), (1, "pid3", 0.6)], schema)
+    vec = spark.createDataFrame([(1, "lamp", 0.8), (1, "desk", 0.5)], schema)
+    text = spark.createDataFrame([(1, "desk", 1.0), (1, "shelf", 0.4)], schema)
     queries = spark.createDataFrame([(1,)], "query_id int")
 
     def fails(*_):
         raise AssertionError("a component of weight 0 must not run")
 
     parts = [lambda *_: vec, lambda *_: text, fails]
-    got = hybrid.hybrid_search(queries, hybrid.Catalog(), parts, [0.6, 0.4, 0.0], 3).orderBy("rank").collect()
-    assert [(r["pid"], r["score"]) for r in got] == [("pid1", 0.86), ("pid2", 0.42), ("pid3", 0.24)]
+    got = hybrid.hybrid_search(queries, hybrid.Catalog(), parts, [0.7, 0.3, 0.0], 3).orderBy("rank").collect()
+    # desk 0.35 + 0.3, lamp 0.56, shelf 0.12
+    assert [(r["pid"], r["score"]) for r in got] == [("desk", 0.65), ("lamp", 0.56), ("shelf", 0.12)]
     alone = hybrid.hybrid_search(queries, hybrid.Catalog(), parts, [1.0, 0.0, 0.0], 3).orderBy("rank").collect()
-    assert [(r["pid"], r["score"]) for r in alone] == [("pid1", 0.9), ("pid2", 0.7)]
+    assert [(r["pid"], r["score"]) for r in alone] == [("lamp", 0.8), ("desk", 0.5)]
     assert hybrid.hybrid_search(queries, hybrid.Catalog(), parts, [0, 0, 0], 3).count() == 0
 
 
@@ -45,7 +46,7 @@ def test_modality(spark):
 
 @pytest.fixture
 def results(spark):
-    return spark.createDataFrame([(1, i + 1, f"pid{i + 1}", f"n{i + 1}") for i in range(3)], "query_id int, rank int, pid string, Name string")
+    return spark.createDataFrame([(1, i + 1, "abc"[i], f"n{i + 1}") for i in range(3)], "query_id int, rank int, pid string, Name string")
 
 
 def order(spark, results, indices, window=30):
@@ -54,13 +55,11 @@ def order(spark, results, indices, window=30):
 
 
 def test_rerank(spark, results):
-    assert order(spark, results, [2, 0, 1]) == ["pid3", "pid1", "pid2"]
-    assert order(spark, results, [0, 1, 2]) == ["pid1", "pid2", "pid3"]
-    assert order(spark, results, [2, 2]) == ["pid3", "pid1", "pid2"]
-    assert order(spark, results, [0, 1, 5]) == ["pid1", "pid2", "pid3"]
-    assert order(spark, results, [2, -1]) == ["pid1", "pid2", "pid3"]
-    assert order(spark, results, [1], window=2) == ["pid2", "pid1", "pid3"]
-    assert order(spark, results, [2], window=2) == ["pid1", "pid2", "pid3"]
+    for indices, window, want in (
+        ([1, 2, 0], 30, "bca"), ([0, 1, 2], 30, "abc"), ([2, 2], 30, "cab"), ([1, 0, 9], 30, "abc"),
+        ([1, -4], 30, "abc"), ([1], 2, "bac"), ([2], 2, "abc"),
+    ):
+        assert "".join(order(spark, results, indices, window)) == want
 
 
 def test_rerank_texts(spark, results):
