@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.parsing import parse_text
 from shelfmark.operators import clean, ids, ivf, textsearch
 from shelfmark.operators.hybrid import Catalog
 
@@ -21,9 +22,12 @@ class IndexTables:
 
 
 def build_products(raw: DataFrame) -> DataFrame:
-    """Clean, key-checked, deduplicated product rows with their search text."""
-    keyed = clean.drop_missing_key(clean.clean_products(raw))
-    return clean.build_document(ids.dedup_first(keyed, "Name", "Pid"))
+    """Clean, key-checked product rows with their search text; of rows with one id the first
+    of the input (by file and row) that passes the currency filter."""
+    placed = raw.withColumn("_at", F.monotonically_increasing_id()).withColumn("Pid", parse_text(F.col("Pid").cast("string")))
+    kept = clean.drop_missing_key(clean.filter_currency(clean.null_tokens(clean.required_columns(placed))))
+    once = ids.dedup_first(kept, "_at", "Pid").drop("_at")
+    return clean.build_document(clean.clean_products(once))
 
 
 def build_index(raw: DataFrame, vectors: DataFrame, nlist: int, seed: int = 42) -> IndexTables:
@@ -38,8 +42,8 @@ def build_index(raw: DataFrame, vectors: DataFrame, nlist: int, seed: int = 42)
 
 def write_index(tables: IndexTables, path: str) -> None:
     """Layout for pruned reads. Postings are ranged by (term, pid) and vectors by
-    (cell, pid), so a common term or a large cell spans several files, and the min/max
-    statistics of the files let a search skip all others."""
+    (cell, pid), so a common term or a large cell spans several files. Searches that name
+    cells as literals skip files by their statistics; joined ones read all files."""
     tables.products.repartitionByRange("Pid").sortWithinPartitions("Pid").write.mode("overwrite").parquet(f"{path}/products")
     tables.postings.repartitionByRange("term", "pid").sortWithinPartitions("term", "pid").write.mode("overwrite").parquet(
         f"{path}/postings"
@@ -56,12 +60,14 @@ def read_index(spark: SparkSession, path: str, embedding_type: str = "fusion") -
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
-    cells = read("cells")
+    # Several clusterings may be stored; the finest is searched.
+    finest = F.col("nlist") == (read("centroids").agg(F.max("nlist").alias("n")).first()["n"] or 0)
+    cells = read("cells").filter(finest)
     return Catalog(
         products=read("products"),
         postings=read("postings"),
         term_stats=read("term_stats"),
         vectors={embedding_type: cells.select("pid", "embedding")},
-        centroids={embedding_type: read("centroids")},
+        centroids={embedding_type: read("centroids").filter(finest)},
         cells={embedding_type: cells},
     )

@@ -56,6 +56,11 @@ COMPONENT_ORDER = ("text", "image_vector", "fusion_vector")
 
 # Fixed value: the reasoning of a reply that gives none.
 NO_REASONING = "No reasoning provided"
+# The reasoning where no model is asked.
+NO_MODEL = "No API key available, no LLM reordering performed"
+IMAGE_ONLY = "Image search only, no LLM reordering performed"
+#: Share of the results asked for that is shown to the model.
+RERANK_SHARE = 0.3
 
 RERANK_WINDOW = 30
 RERANK_FIELDS = ["Name", "Brand", "Category", "Color", "Gender", "Size", "Price"]

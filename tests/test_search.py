@@ -122,6 +122,9 @@ def test_whole_flow(spark, data, tmp_path):
     assert len(out) == queries.count()
     full = [r for r in out if len(r["results"]) > 1]
     assert full and all(r["reasoning"] == "swap" and r["category_distribution"] for r in full)
+    mixed = queries.select("query_id", F.when(F.length("query_id") > 9, "words").alias("query_text"))
+    told = search.respond(mixed, ranked, goods, reply).collect()
+    assert {(r["query_text"] is None, r["reasoning"]) for r in told if len(r["results"]) > 1} == {(False, "swap"), (True, "Image search only, no LLM reordering performed")}
     assert any(not r["results"] for r in search.respond(spark.createDataFrame([("nobody",)], "query_id string"), ranked, goods).collect())
 
     asked = queries.withColumns({"query_type": F.lit("basic_query"), "category": F.lit("all"), "target": F.lit("P1")})
