@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,7 +43,21 @@ def checkpoint_root(spark: SparkSession) -> str:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="shelfmark-")
         sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+    folder = sc.getCheckpointDir()
+    if folder not in _OWN:
+        _OWN.add(folder)
+        atexit.register(_forget, spark, folder)
+    return folder
+
+
+_OWN: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Delete the session's own folder, which lies inside the named one, at its end."""
+    with contextlib.suppress(Py4JError, OSError):  # the session may be gone already
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:
