@@ -9,8 +9,10 @@ weighted Jaccard similarity, sum of minima over sum of maxima.
 
 Equal texts are folded first. Bands of the signatures make buckets. Inside a bucket a few pivots
 are compared with all other members, which is linear in the bucket; what they link becomes one
-component, and only members that are still in different components go on with new pivots. When
-what is left is small, all its pairs are compared. Each comparison is exact, on the bags.
+component, and only members that are still in different components go on with new pivots. What
+is left after a few rounds, mostly texts that share one passage, is compared pair by pair on the
+signatures, in blocks of bounded size, and pairs that could be similar enough are checked. Links
+rest on the bags alone, exactly.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ SIMILARITY = 0.8
 BANDS, PER_BAND = 20, 4
 #: Documents that one task compares with one pivot's bag.
 PER_PIVOT = 512
-#: Pivots of a bucket in the first round and in later ones.
-PIVOTS = (1, 4)
-#: All pairs of what is left are compared once they are no more than this or the bucket rows.
-LAST_PAIRS = 200_000
+#: Pivots of a bucket in each round; the last round is for buckets beyond a block only.
+PIVOTS = (1, 4, 4)
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 1024
+#: A pair goes on if its signatures agree in no fewer components than the similarity less this
+#: many standard deviations: one linked pair in 20 million is below.
+DEVIATIONS = 5.5
 
 _MASK = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -122,7 +127,8 @@ def band_keys(signatures: np.ndarray, bands: int, per_band: int) -> np.ndarray:
 
 
 def signed(rows: DataFrame, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
-    """``_row``, ``doc_id``, ``digest`` of the words, ``weight`` (shingles) and ``keys``."""
+    """``_row``, ``doc_id``, ``digest`` of the words, ``weight`` (shingles), ``keys`` of the
+    bands and ``marks``, 16 bits of each component."""
 
     def run(batches):
         bags = Bags()
@@ -133,12 +139,14 @@ def signed(rows: DataFrame, bands: int = BANDS, per_band: int = PER_BAND) -> Dat
                 held = [bags.bag(w) for w in words]
                 digest = pa.array([xxhash.xxh3_128_digest("\n".join(w).encode("utf-8", "surrogatepass")) for w in words], pa.binary())
                 weight = pa.array([int(c.sum()) for _, c in held], pa.int64())
-                keys = band_keys(bag_min_hash(held, bands * per_band), bands, per_band)
+                signatures = bag_min_hash(held, bands * per_band)
+                marks = pa.array([m.tobytes() for m in (mix(signatures.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)], pa.binary())
+                keys = band_keys(signatures, bands, per_band)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(ROW)[a:z], batch.column("doc_id")[a:z], digest, weight, keys], names=[ROW, "doc_id", "digest", "weight", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(ROW)[a:z], batch.column("doc_id")[a:z], digest, weight, keys, marks], names=[ROW, "doc_id", "digest", "weight", "keys", "marks"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select(ROW, "doc_id", or_empty("text").alias("text")).mapInArrow(run, f"{ROW} bigint, doc_id {kind}, digest binary, weight bigint, keys array<bigint>")
+    return rows.select(ROW, "doc_id", or_empty("text").alias("text")).mapInArrow(run, f"{ROW} bigint, doc_id {kind}, digest binary, weight bigint, keys array<bigint>, marks binary")
 
 
 def bag_table(rows: DataFrame) -> DataFrame:
@@ -224,10 +232,66 @@ def _smallest(order: int) -> Column:
     return F.min(F.struct(F.xxhash64(F.lit(order), F.col("node")).alias("h"), F.col("node").alias("node"), F.col("weight").alias("weight"), F.col("label").alias("label")))
 
 
+def close_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(pivot, member)`` inside a bucket, of different labels, whose weights and
+    signatures allow the similarity ``least``.
+
+    A bucket is cut into blocks of about ``BLOCK`` members by a hash; each two blocks meet in
+    one group of rows, so the largest bucket is spread over many tasks.
+    """
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = (
+        members.join(marks.select(F.col(ROW).alias("node"), "marks"), "node")
+        .join(blocks, "bucket")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = rows.withColumn("other", other).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "node", "weight", "label", "marks"
+    )
+    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "right", "node")
+
+    def compare(group: list, size: int):
+        """Yields the pairs of one group of rows (node, weight, label, marks, right)."""
+        nodes, weights, labels = (np.array([g[c] for g in group]) for c in (0, 1, 2))
+        m = np.frombuffer(b"".join(g[3] for g in group), np.uint16).reshape(len(group), size)
+        right = np.array([g[4] for g in group])
+        a, b = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(group)),) * 2
+        need = size * least - DEVIATIONS * np.sqrt(size * least * (1 - least))
+        for x in a:
+            y = b[b > x] if a is b else b
+            y = y[(labels[y] != labels[x]) & (np.minimum(weights[y], weights[x]) >= least * np.maximum(weights[y], weights[x]))]
+            if len(y):
+                for z in y[(m[y] == m[x]).sum(axis=1) >= need]:
+                    yield min(nodes[x], nodes[z]), max(nodes[x], nodes[z])
+
+    def run(batches):
+        key, group, out = None, [], []
+        names = ("bucket", "i", "j", "node", "weight", "label", "marks", "right")
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in names)):
+                if r[:3] != key:
+                    if len(group) > 1:
+                        out.extend(compare(group, len(group[0][3]) // 2))
+                    key, group = r[:3], []
+                group.append(r[3:])
+            if len(out) > 10_000:
+                yield emit(out)
+                out = []
+        if len(group) > 1:
+            out.extend(compare(group, len(group[0][3]) // 2))
+        yield emit(out)
+
+    def emit(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["pivot", "member"])
+
+    return met.mapInArrow(run, "pivot bigint, member bigint")
+
+
 def near_links(signatures: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Labels of the connected components among different texts: ``node``, ``label``.
 
-    ``signatures`` has one row per different text (``_row``, ``weight``, ``keys``).
+    ``signatures`` has one row per different text (``_row``, ``weight``, ``keys``, ``marks``).
     """
     exploded = signatures.select(F.col(ROW).alias("node"), "weight", F.explode("keys").alias("bucket"))
     crowded = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
@@ -236,20 +300,18 @@ def near_links(signatures: DataFrame, rows: DataFrame, least: float = SIMILARITY
     fits = F.least("weight", "_weight") >= least * F.greatest("weight", "_weight")  # the similarity is at most this ratio
     pair = [F.least("node", "_node").alias("pivot"), F.greatest("node", "_node").alias("member")]
     links = tested = labels = None
-    turn = 0
-    while not members.isEmpty():
-        left = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        last = left["pairs"] <= max(LAST_PAIRS, left["rows"])
-        renamed = [F.col(c).alias(f"_{c}") for c in ("node", "weight", "label")]
-        if last and turn:
-            met = members.join(members.select("bucket", *renamed), "bucket").filter(F.col("node") < F.col("_node"))
-            pivots = None
-        else:
-            n = PIVOTS[min(turn, len(PIVOTS) - 1)]
+    for turn, n in enumerate((*PIVOTS, 0)):
+        if members.isEmpty():
+            break
+        if turn == len(PIVOTS) - 1 and members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] <= BLOCK:
+            continue
+        if n:
             chosen = members.groupBy("bucket").agg(F.array_distinct(F.array(*(_smallest(turn * 16 + i) for i in range(n)))).alias("p"))
             pivots = stored(chosen.select("bucket", F.explode("p").alias("p")).select("bucket", *(F.col(f"p.{c}").alias(f"_{c}") for c in ("node", "weight", "label"))), "pivots")
             met = members.join(pivots, "bucket").filter(F.col("node") != F.col("_node"))
-        pairs = met.filter((F.col("label") != F.col("_label")) & fits).select(*pair).distinct()
+            pairs = met.filter((F.col("label") != F.col("_label")) & fits).select(*pair).distinct()
+        else:
+            pairs = close_pairs(members, signatures, least).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["pivot", "member"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -257,13 +319,12 @@ def near_links(signatures: DataFrame, rows: DataFrame, least: float = SIMILARITY
         found = stored(verified(pairs, bags, least), "found")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        if pivots is None:
-            break
-        rest = members.drop("label").join(pivots.select("bucket", F.col("_node").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_buckets = rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
-        members = stored(rest.join(open_buckets, "bucket").select("bucket", "node", "weight", "label"), "buckets")
-        turn += 1
+        if n:
+            # A pivot has met all members of its bucket; the others go on while they are in different components.
+            rest = members.drop("label").join(pivots.select("bucket", F.col("_node").alias("node")), ["bucket", "node"], "left_anti")
+            rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            open_buckets = rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
+            members = stored(rest.join(open_buckets, "bucket").select("bucket", "node", "weight", "label"), "buckets")
     return signatures.select(F.col(ROW).alias("node"), F.col(ROW).alias("label")).limit(0) if labels is None else labels
 
 
@@ -274,7 +335,7 @@ def classes(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     worded = sigs.filter("weight > 0")
     texts = stored(worded.groupBy("digest").agg(F.min(ROW).alias(ROW), F.min(first).alias("first")), "texts")
-    reps = worded.join(texts.select(ROW), ROW, "left_semi").select(ROW, "weight", "keys")
+    reps = worded.join(texts.select(ROW), ROW, "left_semi").select(ROW, "weight", "keys", "marks")
     labels = near_links(reps, rows, least).select(F.col("node").alias(ROW), "label")
     grouped = texts.join(labels, ROW, "left").withColumn("label", F.coalesce("label", F.col(ROW)))
     heads = grouped.groupBy("label").agg(F.min("first").alias("head"))

@@ -63,11 +63,18 @@ def sample(seed):
     return docs
 
 
-@pytest.mark.parametrize("last_pairs", [200_000, 0])
-def test_against_brute_force(spark, monkeypatch, last_pairs):
-    monkeypatch.setattr(n, "LAST_PAIRS", last_pairs)  # without the last step, pivots alone finish
+def sharing(seed):
+    """Texts that are alike in one passage only, of several lengths around it."""
+    rng = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(60))
+    return [(20_000 + i, f"{' '.join(f'o{rng.randrange(9000)}' for _ in range(rng.randint(5, 60)))} {passage}") for i in range(60)]
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(n, "BLOCK", block)
     monkeypatch.setattr(n, "PER_PIVOT", 3)
-    docs = sample(last_pairs)
+    docs = sample(block) + sharing(block)
     frame = spark.createDataFrame([(*d, "clash") for d in docs], SCHEMA)
     got = sorted(((r.doc_id, r.class_id) for r in n.near_duplicates(frame).collect()), key=str)
     assert got == brute(docs)
