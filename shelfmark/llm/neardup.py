@@ -7,12 +7,12 @@ a level's process is thinned to the part of it that the weight covers, so heavy
 logarithm of their weight. Two signatures agree in a component with a probability equal to the
 weighted Jaccard similarity, sum of minima over sum of maxima.
 
-Equal texts are folded first. Bands of the signatures make buckets. Inside a bucket a few pivots
-are compared with all other members, which is linear in the bucket; what they link becomes one
-component, and only members that are still in different components go on with new pivots. What
-is left after a few rounds, mostly texts that share one passage, is compared pair by pair on the
-signatures, in blocks of bounded size, and pairs that could be similar enough are checked. Links
-rest on the bags alone, exactly.
+Equal texts are folded first. Bands of the signatures make buckets, which are cut into blocks of
+bounded size. In a first round two pivots of a bucket are compared with all its other members; what
+they link becomes one component, so a bucket of thousands of copies needs no more. In a second round
+members that are still in different components, mostly texts that share one passage, are compared
+pair by pair. Comparisons are on the signatures; pairs that could be similar enough are then
+checked, and links rest on the bags alone, exactly.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ SIMILARITY = 0.8
 BANDS, PER_BAND = 20, 4
 #: Documents that one task compares with one pivot's bag.
 PER_PIVOT = 512
-#: Pivots of a bucket in each round; the last round is for buckets beyond a block only.
-PIVOTS = (1, 4, 4)
+#: Members of a bucket that are compared with all others in the first round.
+PIVOTS = 2
+#: So many ids of documents (8 bytes each) are sent to the texts; more are joined with them.
+SENT_IDS = 1_000_000
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
 #: A pair goes on if its signatures agree in no fewer components than the similarity less this
@@ -128,7 +130,7 @@ def band_keys(signatures: np.ndarray, bands: int, per_band: int) -> np.ndarray:
 
 def signed(rows: DataFrame, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
     """``_row``, ``doc_id``, ``digest`` of the words, ``weight`` (shingles), ``keys`` of the
-    bands and ``marks``, 16 bits of each component."""
+    bands and ``marks``, 8 bits of each component."""
 
     def run(batches):
         bags = Bags()
@@ -140,7 +142,7 @@ def signed(rows: DataFrame, bands: int = BANDS, per_band: int = PER_BAND) -> Dat
                 digest = pa.array([xxhash.xxh3_128_digest("\n".join(w).encode("utf-8", "surrogatepass")) for w in words], pa.binary())
                 weight = pa.array([int(c.sum()) for _, c in held], pa.int64())
                 signatures = bag_min_hash(held, bands * per_band)
-                marks = pa.array([m.tobytes() for m in (mix(signatures.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)], pa.binary())
+                marks = pa.array([m.tobytes() for m in (mix(signatures.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)], pa.binary())
                 keys = band_keys(signatures, bands, per_band)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(ROW)[a:z], batch.column("doc_id")[a:z], digest, weight, keys, marks], names=[ROW, "doc_id", "digest", "weight", "keys", "marks"])
@@ -209,32 +211,34 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return sorted_rows.mapInArrow(run, "pivot bigint, member bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node`` and ``label``, the lowest node it is connected with, for all nodes of the
-    links ``(pivot, member)``. Labels spread to neighbours and jump to the label's label."""
+    links ``(pivot, member)``. Labels spread to neighbours and jump to the label's label.
+
+    With ``rounds`` it stops early: nodes of one label are connected then, but not all
+    connected nodes have one label. One round completes stars.
+    """
     both = stored(
-        links.select(F.col("pivot").alias("node"), F.col("member").alias("other")).unionByName(links.select(F.col("member").alias("node"), F.col("pivot").alias("other"))).distinct(),
+        links.select(F.col("pivot").alias("node"), F.col("member").alias("other")).unionByName(links.select(F.col("member").alias("node"), F.col("pivot").alias("other"))),
         "links",
     )
-    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("_far"))
-        new = lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("_far", "low")).alias("_new"), "label")
-        new = stored(new, "labels")
-        labels = new.select("node", F.col("_new").alias("label"))
-        if new.filter("_new <> label").isEmpty():
-            return labels
-
-
-def _smallest(order: int) -> Column:
-    return F.min(F.struct(F.xxhash64(F.lit(order), F.col("node")).alias("h"), F.col("node").alias("node"), F.col("weight").alias("weight"), F.col("label").alias("label")))
+    labels, done = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels"), 0
+    while done != rounds:
+        heard = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label", F.lit(None).cast("bigint").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        low = heard.unionByName(own).groupBy("node").agg(F.min("label").alias("low"), F.max("old").alias("old"))
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
+        new = stored(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), "old"), "labels")
+        labels, done = new.select("node", "label"), done + 1
+        if rounds is None and new.filter("label <> old").isEmpty():
+            break
+    return labels
 
 
-def close_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+def close_pairs(members: DataFrame, marks: DataFrame, least: float, pivots: int | None = None) -> DataFrame:
     """Pairs ``(pivot, member)`` inside a bucket, of different labels, whose weights and
-    signatures allow the similarity ``least``.
+    signatures allow the similarity ``least``; with ``pivots`` only those of so many
+    members of a bucket's first block.
 
     A bucket is cut into blocks of about ``BLOCK`` members by a hash; each two blocks meet in
     one group of rows, so the largest bucket is spread over many tasks.
@@ -249,17 +253,23 @@ def close_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame
     met = rows.withColumn("other", other).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "node", "weight", "label", "marks"
     )
+    if pivots is not None:  # those of the first block meet all others, which keeps the round linear
+        met = met.filter(F.col("i") == 0)
     met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "right", "node")
 
     def compare(group: list, size: int):
         """Yields the pairs of one group of rows (node, weight, label, marks, right)."""
         nodes, weights, labels = (np.array([g[c] for g in group]) for c in (0, 1, 2))
-        m = np.frombuffer(b"".join(g[3] for g in group), np.uint16).reshape(len(group), size)
+        if (labels == labels[0]).all():
+            return
+        m = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), size)
         right = np.array([g[4] for g in group])
         a, b = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(group)),) * 2
         need = size * least - DEVIATIONS * np.sqrt(size * least * (1 - least))
+        if pivots is not None:  # the same ones in every bucket they are in: the lowest hashes
+            a = a[np.argsort(mix(nodes[a].astype(np.uint64)))[:pivots]]
         for x in a:
-            y = b[b > x] if a is b else b
+            y = b if right.any() else b[b > x] if pivots is None else b[b != x]
             y = y[(labels[y] != labels[x]) & (np.minimum(weights[y], weights[x]) >= least * np.maximum(weights[y], weights[x]))]
             if len(y):
                 for z in y[(m[y] == m[x]).sum(axis=1) >= need]:
@@ -272,14 +282,14 @@ def close_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame
             for r in zip(*(batch.column(c).to_pylist() for c in names)):
                 if r[:3] != key:
                     if len(group) > 1:
-                        out.extend(compare(group, len(group[0][3]) // 2))
+                        out.extend(compare(group, len(group[0][3])))
                     key, group = r[:3], []
                 group.append(r[3:])
             if len(out) > 10_000:
                 yield emit(out)
                 out = []
         if len(group) > 1:
-            out.extend(compare(group, len(group[0][3]) // 2))
+            out.extend(compare(group, len(group[0][3])))
         yield emit(out)
 
     def emit(out: list) -> pa.RecordBatch:
@@ -288,6 +298,13 @@ def close_pairs(members: DataFrame, marks: DataFrame, least: float) -> DataFrame
     return met.mapInArrow(run, "pivot bigint, member bigint")
 
 
+def bags_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The bags of the documents in the pairs, read from their whole texts."""
+    ids = stored(pairs.select(F.col("pivot").alias(ROW)).unionByName(pairs.select(F.col("member").alias(ROW))).distinct(), "pair-ids")
+    wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return stored(bag_table(rows.join(wanted, ROW, "left_semi")), "bags")
+
+
 def near_links(signatures: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Labels of the connected components among different texts: ``node``, ``label``.
 
@@ -296,36 +313,15 @@ def near_links(signatures: DataFrame, rows: DataFrame, least: float = SIMILARITY
     exploded = signatures.select(F.col(ROW).alias("node"), "weight", F.explode("keys").alias("bucket"))
     crowded = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stored(exploded.join(crowded, "bucket").select("bucket", "node", "weight", F.col("node").alias("label")), "buckets")
-    bags = stored(bag_table(rows.join(members.select(F.col("node").alias(ROW)).distinct(), ROW, "left_semi")), "bags")
-    fits = F.least("weight", "_weight") >= least * F.greatest("weight", "_weight")  # the similarity is at most this ratio
-    pair = [F.least("node", "_node").alias("pivot"), F.greatest("node", "_node").alias("member")]
-    links = tested = labels = None
-    for turn, n in enumerate((*PIVOTS, 0)):
-        if members.isEmpty():
-            break
-        if turn == len(PIVOTS) - 1 and members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] <= BLOCK:
-            continue
-        if n:
-            chosen = members.groupBy("bucket").agg(F.array_distinct(F.array(*(_smallest(turn * 16 + i) for i in range(n)))).alias("p"))
-            pivots = stored(chosen.select("bucket", F.explode("p").alias("p")).select("bucket", *(F.col(f"p.{c}").alias(f"_{c}") for c in ("node", "weight", "label"))), "pivots")
-            met = members.join(pivots, "bucket").filter(F.col("node") != F.col("_node"))
-            pairs = met.filter((F.col("label") != F.col("_label")) & fits).select(*pair).distinct()
-        else:
-            pairs = close_pairs(members, signatures, least).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["pivot", "member"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(verified(pairs, bags, least), "found")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if n:
-            # A pivot has met all members of its bucket; the others go on while they are in different components.
-            rest = members.drop("label").join(pivots.select("bucket", F.col("_node").alias("node")), ["bucket", "node"], "left_anti")
-            rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_buckets = rest.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
-            members = stored(rest.join(open_buckets, "bucket").select("bucket", "node", "weight", "label"), "buckets")
-    return signatures.select(F.col(ROW).alias("node"), F.col(ROW).alias("label")).limit(0) if labels is None else labels
+    first = stored(close_pairs(members, signatures, least, PIVOTS).distinct(), "pairs")
+    links = stored(verified(first, bags_of(rows, first), least), "found")
+    # Members of one label are connected already; only buckets of several labels go on.
+    labelled = members.drop("label").join(components(links, 1), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
+    rest = stored(labelled.join(several, "bucket").select("bucket", "node", "weight", "label"), "buckets")
+    second = stored(close_pairs(rest, signatures, least).distinct().join(first, ["pivot", "member"], "left_anti"), "pairs")
+    more = stored(verified(second, bags_of(rows, second), least), "found")
+    return components(links.unionByName(more))
 
 
 def classes(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
