@@ -19,6 +19,8 @@ from shelfmark.llm.base import or_empty, query, table
 
 #: Share of a host's votes with which a path counts as one of its layouts (so ten at most).
 LAYOUT_SHARE = 0.1
+#: Pieces that the pages of a host are spread over while they meet its layouts.
+SALTS = 32
 
 # HTML's element kinds, and names that sites give to parts around the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -245,7 +247,10 @@ def main_text(pages: DataFrame, share: float = LAYOUT_SHARE) -> DataFrame:
     closed end with their surroundings. An empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), or_empty("html").alias("html"))
-    joined = rows.join(host_layouts(rows, share), "host", "left").select("page_id", "url", "html", "layouts")
+    # A host may hold a third of all pages: its few layouts are repeated, its pages dealt out.
+    layouts = host_layouts(rows, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(layouts, ["host", "_salt"], "left").select("page_id", "url", "html", "layouts")
 
     def read(batches):
         for batch in batches:
