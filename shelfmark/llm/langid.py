@@ -32,6 +32,8 @@ RIDGE = 0.01
 UNKNOWN = "und"
 #: Words of a short cut of a training text: texts of a few words are scored, too.
 CUT_WORDS = (2, 12)
+#: Parts that a language's rows are ranked in before they are ranked together.
+SLICES = 256
 #: Characters of a segment, and segments of a matrix product.
 SEGMENT = 1000
 BATCH = 256
@@ -139,6 +141,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     keys = usable.select("lang", F.struct(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("text_key"), F.col("doc_id"), "text")
     chosen = (
         keys.select("lang", "key", "text_key", "doc_id", F.lit(None).cast("string").alias("text"))
+        # Each of many slices of a language leaves its first rows, so the last ranking sees few.
+        .withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(SLICES)))
+        .withColumn("n", F.row_number().over(order.partitionBy("lang", "slice")))
+        .filter(F.col("n") <= per_language)
         .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= per_language)
         .groupBy("lang", "key", "text_key")
