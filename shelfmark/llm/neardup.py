@@ -235,72 +235,127 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
-def close_pairs(members: DataFrame, marks: DataFrame, least: float, pivots: int | None = None) -> DataFrame:
-    """Pairs ``(pivot, member)`` inside a bucket, of different labels, whose weights and
-    signatures allow the similarity ``least``; with ``pivots`` only those of so many
-    members of a bucket's first block.
-
-    A bucket is cut into blocks of about ``BLOCK`` members by a hash; each two blocks meet in
-    one group of rows, so the largest bucket is spread over many tasks.
-    """
+def blocked(members: DataFrame, signatures: DataFrame, *carried: str) -> DataFrame:
+    """The members of each bucket with ``carried`` columns of their signature, a row for each
+    block pair ``(i, j)`` that a member takes part in. A bucket is cut into blocks of about
+    ``BLOCK`` members by a hash, so the largest bucket is spread over many groups of rows."""
     blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = (
-        members.join(marks.select(F.col(ROW).alias("node"), "marks"), "node")
+        members.join(signatures.select(F.col(ROW).alias("node"), *carried), "node")
         .join(blocks, "bucket")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = rows.withColumn("other", other).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "node", "weight", "label", "marks"
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "node", "weight", "label", *carried
     )
-    if pivots is not None:  # those of the first block meet all others, which keeps the round linear
-        met = met.filter(F.col("i") == 0)
-    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "right", "node")
-
-    def compare(group: list, size: int):
-        """Yields the pairs of one group of rows (node, weight, label, marks, right)."""
-        nodes, weights, labels = (np.array([g[c] for g in group]) for c in (0, 1, 2))
-        if (labels == labels[0]).all():
-            return
-        m = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), size)
-        right = np.array([g[4] for g in group])
-        a, b = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(group)),) * 2
-        need = size * least - DEVIATIONS * np.sqrt(size * least * (1 - least))
-        if pivots is not None:  # the same ones in every bucket they are in: the lowest hashes
-            a = a[np.argsort(mix(nodes[a].astype(np.uint64)))[:pivots]]
-        for x in a:
-            y = b if right.any() else b[b > x] if pivots is None else b[b != x]
-            y = y[(labels[y] != labels[x]) & (np.minimum(weights[y], weights[x]) >= least * np.maximum(weights[y], weights[x]))]
-            if len(y):
-                for z in y[(m[y] == m[x]).sum(axis=1) >= need]:
-                    yield min(nodes[x], nodes[z]), max(nodes[x], nodes[z])
+
+
+def by_block(met: DataFrame) -> DataFrame:
+    return met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "right", "node")
+
+
+def groups(batches, names: list[str]):
+    """The rows of each (bucket, i, j) as they stream by: the key, and tuples of ``names``."""
+    key, group = None, []
+    for batch in batches:
+        for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", *names))):
+            if r[:3] != key:
+                if len(group) > 1:
+                    yield key, group
+                key, group = r[:3], []
+            group.append(r[3:])
+    if len(group) > 1:
+        yield key, group
+
+
+class Block:
+    """One group: which of its members may be similar enough, by weights and signatures."""
+
+    NAMES = ["right", "node", "weight", "label", "marks"]
+
+    def __init__(self, group: list, least: float):
+        right, node, weight, label, marks = list(zip(*group))[:5]
+        self.right, self.node, self.weight, self.label = map(np.array, (right, node, weight, label))
+        self.marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(group), -1)
+        self.least, size = least, self.marks.shape[1]
+        self.need = size * least - DEVIATIONS * np.sqrt(size * least * (1 - least))
+        two = self.right.any()
+        self.left = np.flatnonzero(~self.right) if two else np.arange(len(group))
+        self.other = np.flatnonzero(self.right) if two else None
+
+    def partners(self, x: int, all_others: bool = False) -> np.ndarray:
+        """Members that come after ``x`` (or all others), of another label."""
+        y = self.other if self.other is not None else self.left[self.left != x] if all_others else self.left[self.left > x]
+        w = self.weight
+        y = y[(self.label[y] != self.label[x]) & (np.minimum(w[y], w[x]) >= self.least * np.maximum(w[y], w[x]))]
+        return y[(self.marks[y] == self.marks[x]).sum(axis=1) >= self.need] if len(y) else y
+
+
+def as_pairs(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["pivot", "member"])
+
+
+def pivot_pairs(members: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(pivot, member)`` of ``PIVOTS`` members of a bucket's first block with all others."""
+    met = by_block(blocked(members, signatures, "marks").filter(F.col("i") == 0))
 
     def run(batches):
-        key, group, out = None, [], []
-        names = ("bucket", "i", "j", "node", "weight", "label", "marks", "right")
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in names)):
-                if r[:3] != key:
-                    if len(group) > 1:
-                        out.extend(compare(group, len(group[0][3])))
-                    key, group = r[:3], []
-                group.append(r[3:])
+        out = []
+        for _, group in groups(batches, Block.NAMES):
+            block = Block(group, least)
+            # The same ones in every bucket they are in: the lowest hashes.
+            for x in block.left[np.argsort(mix(block.node[block.left].astype(np.uint64)))[:PIVOTS]]:
+                out.extend((min(block.node[x], block.node[y]), max(block.node[x], block.node[y])) for y in block.partners(x, True))
             if len(out) > 10_000:
-                yield emit(out)
+                yield as_pairs(out)
                 out = []
-        if len(group) > 1:
-            out.extend(compare(group, len(group[0][3])))
-        yield emit(out)
+        yield as_pairs(out)
 
-    def emit(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["pivot", "member"])
+    return met.mapInArrow(run, "pivot bigint, member bigint").distinct()
 
-    return met.mapInArrow(run, "pivot bigint, member bigint")
 
+def links_in_blocks(members: DataFrame, signatures: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Linked pairs of different labels in the buckets. A first pass leaves the members that
+    have a possible partner; their bags join them, once for each block pair, and a second
+    pass compares bags in place, so a pair becomes a row only if it is a link. A pair that
+    shares several buckets is compared in that of the first band it agrees in."""
+    names = [*Block.NAMES, "keys"]
 
-def bags_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The bags of the documents in the pairs, read from their whole texts."""
-    ids = stored(pairs.select(F.col("pivot").alias(ROW)).unionByName(pairs.select(F.col("member").alias(ROW))).distinct(), "pair-ids")
+    def first(block: Block, keys: np.ndarray, bucket: int):
+        for x in block.left:
+            y = block.partners(x)
+            if len(y):
+                same = keys[y] == keys[x]
+                yield x, y[keys[x][same.argmax(axis=1)] == bucket]
+
+    def keep(batches):
+        for (bucket, i, j), group in groups(batches, names):
+            block, keys = Block(group, least), np.array([g[5] for g in group])
+            held = sorted({int(k) for x, y in first(block, keys, bucket) if len(y) for k in (x, *y)})
+            if held:
+                columns = list(zip(*(group[k] for k in held)))
+                kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                key = [pa.array([v] * len(held), t) for v, t in ((bucket, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*key, *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["bucket", "i", "j", *names])
+
+    def compare(batches):
+        for (bucket, _, _), group in groups(batches, [*names, "bag"]):
+            block, keys = Block(group, least), np.array([g[5] for g in group])
+            yield as_pairs([
+                (min(block.node[x], block.node[k]), max(block.node[x], block.node[k]))
+                for x, y in first(block, keys, bucket) for k in y if similarity(group[x][6], group[k][6]) >= least
+            ])
+
+    shape = "bucket bigint, i int, j int, right boolean, node bigint, weight bigint, label bigint, marks binary, keys array<bigint>"
+    possible = stored(by_block(blocked(members, signatures, "marks", "keys")).mapInArrow(keep, shape), "possible")
+    bags = bags_of(rows, possible.select(F.col("node").alias(ROW)).distinct())
+    met = possible.join(bags.select(F.col(ROW).alias("node"), "bag"), "node").select("bucket", "i", "j", *names, "bag")
+    return by_block(met).mapInArrow(compare, "pivot bigint, member bigint").distinct()
+
+
+def bags_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The bags of the documents named by ``ids(_row)``, read from their whole texts."""
+    ids = stored(ids, "bag-ids")
     wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     return stored(bag_table(rows.join(wanted, ROW, "left_semi")), "bags")
 
@@ -313,14 +368,14 @@ def near_links(signatures: DataFrame, rows: DataFrame, least: float = SIMILARITY
     exploded = signatures.select(F.col(ROW).alias("node"), "weight", F.explode("keys").alias("bucket"))
     crowded = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stored(exploded.join(crowded, "bucket").select("bucket", "node", "weight", F.col("node").alias("label")), "buckets")
-    first = stored(close_pairs(members, signatures, least, PIVOTS).distinct(), "pairs")
-    links = stored(verified(first, bags_of(rows, first), least), "found")
+    pairs = stored(pivot_pairs(members, signatures, least), "pairs")
+    ids = pairs.select(F.col("pivot").alias(ROW)).unionByName(pairs.select(F.col("member").alias(ROW))).distinct()
+    links = stored(verified(pairs, bags_of(rows, ids), least), "found")
     # Members of one label are connected already; only buckets of several labels go on.
     labelled = members.drop("label").join(components(links, 1), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
     rest = stored(labelled.join(several, "bucket").select("bucket", "node", "weight", "label"), "buckets")
-    second = stored(close_pairs(rest, signatures, least).distinct().join(first, ["pivot", "member"], "left_anti"), "pairs")
-    more = stored(verified(second, bags_of(rows, second), least), "found")
+    more = stored(links_in_blocks(rest, signatures, rows, least), "found")
     return components(links.unionByName(more))
 
 
