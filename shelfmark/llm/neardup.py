@@ -341,10 +341,21 @@ def links_in_blocks(members: DataFrame, signatures: DataFrame, rows: DataFrame,
     def compare(batches):
         for (bucket, _, _), group in groups(batches, [*names, "bag"]):
             block, keys = Block(group, least), np.array([g[5] for g in group])
-            yield as_pairs([
-                (min(block.node[x], block.node[k]), max(block.node[x], block.node[k]))
-                for x, y in first(block, keys, bucket) for k in y if similarity(group[x][6], group[k][6]) >= least
-            ])
+            out, joined = [], {}
+
+            def root(label: int) -> int:
+                while label in joined:
+                    label = joined[label]
+                return label
+
+            for x, y in first(block, keys, bucket):
+                for k in y:
+                    low, high = sorted((root(int(block.label[x])), root(int(block.label[k]))))
+                    # What the block has connected needs no further link.
+                    if low != high and similarity(group[x][6], group[k][6]) >= least:
+                        joined[high] = low
+                        out.append((min(block.node[x], block.node[k]), max(block.node[x], block.node[k])))
+            yield as_pairs(out)
 
     shape = "bucket bigint, i int, j int, right boolean, node bigint, weight bigint, label bigint, marks binary, keys array<bigint>"
     possible = stored(by_block(blocked(members, signatures, "marks", "keys")).mapInArrow(keep, shape), "possible")
