@@ -46,6 +46,14 @@ NAMES = frozenset(
     "notification offcanvas overlay pager paginate pagination paywall popup promo promotion recommended related respond rail search share sharing "
     "sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Names whose text may exceed the article's own, and names of lists of other articles.
+DISCUSSION = frozenset("captcha comment comments consent cookie cookies discussion disqus gdpr login respond".split())
+ELSEWHERE = frozenset("promo promotion recommended related sponsor sponsored".split())
+#: A class such as has-sidebar, no-nav or share-enabled speaks of the layout, not of the element.
+MODIFIERS = frozenset("has no non not with without".split())
+STATES = frozenset("closed disabled enabled off on open opened".split())
+#: Share of a page's unlinked text above which an element counts whatever its name: where the name is a part of a class, and where it is all of one.
+PART_SHARE, WHOLE_SHARE = 0.5, 0.8
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -61,10 +69,11 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "left_out", "container", "score")
+    __slots__ = ("tag", "path", "parent", "left_out", "container", "score", "names", "whole", "chars")
 
     def __init__(self, tag: str, path: str, parent: Element | None, left_out: bool, container: Element | None):
         self.tag, self.path, self.parent, self.left_out, self.score = tag, path, parent, left_out, 0.0
+        self.names, self.whole, self.chars = frozenset(), False, 0
         self.container = self if parent is None or tag in CONTAINERS else container
 
 
@@ -75,12 +84,78 @@ def attributes(text: str) -> dict[str, str]:
 def around_the_article(tag: str, values: dict[str, str]) -> bool:
     if tag in LEFT_OUT or "hidden" in values or values.get("aria-hidden", "").lower() == "true":
         return True
-    if values.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", values.get("style", ""), re.IGNORECASE):
-        return True
+    return values.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none", values.get("style", ""), re.IGNORECASE))
+
+
+def names_around(tag: str, values: dict[str, str]) -> tuple[frozenset[str], bool]:
+    """The names of parts around the article that an element has in its classes and id, and
+    whether one of them is a whole class or id."""
+    found, whole = frozenset(), False
     if tag in ("html", "body", "main"):
-        return False
-    words = {w.lower() for w in _NAME.findall(_CAMEL.sub(" ", f"{values.get('class', '')} {values.get('id', '')}"))}
-    return bool(words & (NAMES if tag != "article" else {"comment", "comments"}))
+        return found, whole
+    wanted = NAMES if tag != "article" else frozenset({"comment", "comments"})
+    for token in f"{values.get('class', '')} {values.get('id', '')}".split():
+        words = [w.lower() for w in _NAME.findall(_CAMEL.sub(" ", token))]
+        if not words or words[-1] in STATES:
+            continue
+        words = words[: next((k for k, w in enumerate(words) if w in MODIFIERS), None)]
+        if hit := wanted.intersection(words):
+            found, whole = found | hit, whole or len(words) == 1
+    return found, whole
+
+
+def leave_out_named(elements: list[Element], blocks: list[tuple[str, Element, int]]) -> None:
+    """Leave out the named elements, except those that hold the article: a main element, the
+    largest article, or most of the page's unlinked text. Where nothing would be left, names do
+    not count."""
+    unlinked = [(max(0, len(text) - linked), e) for text, e, linked in blocks if not e.left_out]
+    inherited: dict[int, frozenset[str]] = {}
+    for e in elements:
+        inherited[id(e)] = e.names | (inherited[id(e.parent)] if e.parent is not None else frozenset())
+    total = sum(n for n, _ in unlinked)
+    without = sum(n for n, e in unlinked if not inherited[id(e)] & DISCUSSION)
+    outside = sum(n for n, e in unlinked if not inherited[id(e)])
+
+    def add_up():
+        for e in elements:
+            e.chars = 0
+        for n, e in unlinked:
+            e.chars += n
+
+    add_up()
+    for e in reversed(elements):  # children before parents
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    whole = {id(e): e.chars for e in elements if e.names}
+    articles = [e for e in elements if e.tag == "article" and not e.left_out and not inherited[id(e)] & DISCUSSION]
+    largest = max(articles, key=lambda e: e.chars, default=None)
+    article_chars = largest.chars if largest is not None else 0
+    holds_main, holds_article = set(), set()
+    for found, start in [(holds_main, e) for e in elements if e.tag == "main" and not e.left_out] + ([(holds_article, largest)] if article_chars else []):
+        above = start
+        while above is not None and id(above) not in found:
+            found.add(id(above))
+            above = above.parent
+    add_up()
+    named: set[int] = set()
+    for e in reversed(elements):
+        if e.names:
+            holds = id(e) in holds_main
+            if not e.names & DISCUSSION:
+                sure = not e.whole and not e.names & ELSEWHERE
+                holds = holds or id(e) in holds_article and (sure or article_chars > outside)
+                holds = holds or e.chars > (WHOLE_SHARE * (total - whole[id(e)] + e.chars) if e.whole else PART_SHARE * without)
+            if not holds:
+                named.add(id(e))
+                continue
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    before = [e.left_out for e in elements]
+    for e in elements:
+        e.left_out = e.left_out or id(e) in named or (e.parent is not None and e.parent.left_out)
+    if all(e.left_out for _, e, _ in blocks):
+        for e, out in zip(elements, before):
+            e.left_out = out
 
 
 def step(tag: str, values: dict[str, str]) -> str:
@@ -95,7 +170,7 @@ def step(tag: str, values: dict[str, str]) -> str:
 def read_blocks(page: str) -> list[tuple[str, Element, int]]:
     """The page's text blocks in order: text, innermost element, characters inside links."""
     root = Element("html", "", None, False, None)
-    stack, blocks, buffer = [root], [], []
+    stack, blocks, buffer, elements = [root], [], [], [root]
     linked = [0]
 
     def flush():
@@ -157,10 +232,16 @@ def read_blocks(page: str) -> list[tuple[str, Element, int]]:
             # The head of the page is left out; in the head of an article its titles stay.
             out = not any(e.tag in ("article", "main") for e in stack)
         path = f"{above.path}/{step(tag, values)}" if tag in CONTAINERS and tag != "html" else above.path
-        stack.append(Element(tag, path, above, out, above.container))
+        element = Element(tag, path, above, out, above.container)
+        if not out and ("class" in values or "id" in values):
+            element.names, element.whole = names_around(tag, values)
+        stack.append(element)
+        elements.append(element)
     if at < len(page):
         buffer.append(page[at:])
     flush()
+    if any(e.names for e in elements):
+        leave_out_named(elements, blocks)
     return blocks
 
 

@@ -37,6 +37,21 @@ def test_article_head_keeps_titles():
     assert h.extract(page, []) == "Title\nBody text."
 
 
+def test_names_of_wrappers_do_not_empty_the_page():
+    body = "<h1>Title</h1><p>" + "The article itself. " * 10 + "</p>"
+    text = "Title\n" + ("The article itself. " * 10).strip()
+    around = "<div class=sidebar><p>" + "side text " * 8 + "</p></div>"
+    for name in ("layout has-sidebar", "no-sidebar", "with-nav", "widget-content", "post share-enabled", "page--hasSidebar", "overflow-hidden", "sidebar"):
+        for tag in ("article", "main", "div class=text"):
+            page = f"<body><div class='{name}'><{tag}>{body}</{tag.split()[0]}>{around}</div><div class=legal>all rights</div></body>"
+            assert h.extract(page, []) == text, (name, tag)
+    # Nothing but named elements: the names do not count.
+    assert h.extract("<body><div class=comments><p>Only this.</p></div></body>", []) == "Only this."
+    # Other articles in a named list, and comments longer than the article, stay out.
+    more = "<div class=related-posts><article><p>teaser</p></article></div><div class=comments><article><p>" + "I say " * 99 + "</p></article></div>"
+    assert h.extract(f"<body><div>{body}{more}</div></body>", []) == text
+
+
 def test_broken_pages():
     assert h.extract("", []) == "" and h.extract("<", []) == "<" and h.extract("<div", []) == ""
     assert h.extract("just text &amp; no tags", []) == "just text & no tags"
