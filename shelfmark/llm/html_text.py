@@ -1,7 +1,8 @@
 """Main text of web pages by the consensus of their host.
 
 Each page scores its containers by the text they hold and votes for the path of the best one: tags
-and classes from the body down, with digits generalised. Spark counts the votes of each host. Every
+and classes from the body down, with digits generalised. The best container stands for the article
+around it, whose title and other sections may lie beside it. Spark counts the votes of each host. Every
 page is then read again through the paths that won on its host; a page that has none of them
 falls back on its own best container.
 """
@@ -57,6 +58,9 @@ PART_SHARE, WHOLE_SHARE = 0.5, 0.8
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: Unlinked text from this length on is prose; beside the best container, this share of its text makes a section of the article.
+PROSE, SECTION_SHARE = 80, 0.1
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""",
@@ -256,9 +260,67 @@ def in_article_head(element: Element) -> bool:
     return False
 
 
+def is_title(element: Element) -> bool:
+    while element is not None and element.tag not in CONTAINERS:
+        if element.tag in ("h1", "h2"):
+            return True
+        element = element.parent
+    return False
+
+
+def around_best(best: Element, blocks: list[tuple[str, Element, int]]) -> Element:
+    """The container of the whole article: the article or main element around the best container.
+
+    Without one, a box that has no title is lifted below the body to the lowest one that adds
+    the title or as prose further sections, and not mostly other text. Sections may be
+    parts of the body itself.
+    """
+    chain: dict[int, int] = {}
+    line = []
+    above = best
+    while above is not None:
+        if above.tag in ("article", "main"):
+            return above
+        chain[id(above)] = len(line)
+        line.append(above)
+        above = above.parent
+    groups: dict[int, list[tuple[str, int, bool, bool]]] = {}
+    first = None
+    for text, element, linked in blocks:
+        if element.left_out or in_article_head(element):
+            continue
+        above = element
+        while id(above) not in chain:
+            above = above.parent
+        level = chain[id(above.container)] if id(above.container) in chain else 0
+        first = first or level == 0
+        groups.setdefault(level, []).append((text, linked, is_title(element), bool(first)))
+    inside = groups.pop(0, [])
+    if any(title for _, _, title, _ in inside):
+        return best
+    size = sum(len(text) for text, *_ in inside)
+    box = best
+    for level in sorted(groups):
+        above = line[level]
+        if above.parent is None or above.tag == "body" and best.tag != "section":
+            break
+        titles = sum(len(text) for text, _, title, after in groups[level] if title and not after)
+        prose = sum(len(text) for text, linked, title, _ in groups[level] if not title and len(text) >= PROSE and 4 * linked < len(text))
+        rest = sum(len(text) for text, *_ in groups[level]) - titles - prose
+        sections = box is best and prose >= SECTION_SHARE * size
+        if not (titles or sections) or rest > max(titles + prose, SECTION_SHARE * size):
+            break
+        box = above
+        size += titles + prose + rest
+        if titles:
+            break
+    return box
+
+
 def best_path(blocks: list[tuple[str, Element, int]]) -> tuple[str, float] | None:
-    """The path of the container with the best score. Text counts in full for its container
-    and by half for each one above; text in links counts against it."""
+    """The path of the article around the container with the best score, and the score. Text
+    counts in full for its container and by half for each one above; text in links counts
+    against it."""
     scored: dict[int, Element] = {}
     for text, element, linked in blocks:
         if element.left_out:
@@ -270,7 +332,7 @@ def best_path(blocks: list[tuple[str, Element, int]]) -> tuple[str, float] | Non
             credit /= 2
             box = box.parent.container if box.parent is not None else None
     best = max(scored.values(), key=lambda e: (e.score, -len(e.path), e.path), default=None)
-    return None if best is None else (best.path, best.score)
+    return None if best is None else (around_best(best, blocks).path, best.score)
 
 
 def text_under(blocks: list[tuple[str, Element, int]], path: str) -> str:
@@ -288,11 +350,15 @@ def text_under(blocks: list[tuple[str, Element, int]], path: str) -> str:
 
 
 def extract(page: str, layouts: list[str]) -> str:
-    """The text of the first layout that the page has, else of its own best container."""
+    """The text of the first layout that the page has, else of its own best container. A page
+    whose own article is a layout around that one is read through it: it has more sections."""
     blocks = read_blocks(page)
     for path in layouts:
         text = text_under(blocks, path)
         if text:
+            around = [p for p in layouts if p.count("/") > 1 and path.startswith(p + "/")]
+            if around and (best := best_path(blocks)) and best[0] in around:
+                return text_under(blocks, best[0])
             return text
     best = best_path(blocks)
     return text_under(blocks, best[0]) if best else ""

@@ -52,6 +52,24 @@ def test_names_of_wrappers_do_not_empty_the_page():
     assert h.extract(f"<body><div>{body}{more}</div></body>", []) == text
 
 
+def test_split_articles_are_whole(spark):
+    lead, text, end = ("lead words " * 27).strip(), ("text words " * 91).strip(), ("last words " * 40).strip()
+    split = f"<h1>T</h1><div class=lead>{lead}</div><div class=text>{text}</div>"
+    whole = f"T\n{lead}\n{text}"
+    for box in ("article", "main", "div class=post"):
+        page = f"<body><div id=wrap><{box}>{split}</{box.split()[0]}><div class=more>other</div></div><div class=legal>{'all rights ' * 9}</div></body>"
+        assert h.extract(page, []) == whole, box
+    two = f"<section class=a><p>{text}</p></section><section class=b><p>{end}</p></section>"
+    for box in ("body", "article", "main", "div class=post"):
+        assert h.extract(f"<{box}>{two}</{box.split()[0]}>", []) == f"{text}\n{end}", box
+    # The host's usual page has no lead: the pages with one are read whole too.
+    plain = f"<body><div class=post><div class=text><h1>T</h1>{text}</div></div></body>"
+    more = f"<body><div class=post>{split}</div></body>"
+    rows = [(i, f"https://a.example/{i}", more if i < 4 else plain, "clash") for i in range(12)]
+    out = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {i: whole if i < 4 else f"T\n{text}" for i in range(12)}
+
+
 def test_broken_pages():
     assert h.extract("", []) == "" and h.extract("<", []) == "<" and h.extract("<div", []) == ""
     assert h.extract("just text &amp; no tags", []) == "just text & no tags"
