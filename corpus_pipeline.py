@@ -12,12 +12,12 @@ from shelfmark.llm.decontaminate import drop_leaks
 from shelfmark.llm.linedup import drop_boilerplate
 from shelfmark.llm.neardup import keep_one
 from shelfmark.llm.packing import pack
-from shelfmark.llm.quality import keep_good
+from shelfmark.llm.quality import keep_clean
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Rejected documents go; texts stay as they are, the next stage owns the removal of lines."""
-    return keep_good(docs)
+    """Rejected documents go, and lines above the limits of the quality rules leave the texts."""
+    return keep_clean(docs)
 
 
 def line_dedup(spark, docs, sf_dir):

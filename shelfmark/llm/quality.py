@@ -2,7 +2,8 @@
 
 The cross-document rule hashes normalised lines and counts the different documents of each host
 that hold a line. Lines above the limits are removed, except from the first document (lowest id)
-that holds them, and documents that are depleted by it are rejected. Copies of one text count as
+that holds them, and documents that are depleted by it are rejected: ``quality`` gives the counts
+and the verdict, ``keep_clean`` the texts. Copies of one text count as
 one document, and the first holder keeps its lines, so content that was only copied survives
 somewhere; telling copies apart is the task of near-duplicate removal.
 """
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.base import ROW, WORD, numbered, query, stored, table
+from shelfmark.llm.base import ROW, WORD, numbered, or_empty, query, stored, table
 
 #: A line is removed when it is in at least this many different documents of a host ...
 LINE_DOCS = 10
@@ -24,6 +25,8 @@ LINE_DOCS = 10
 LINE_SHARE = 0.005
 #: A document is depleted with fewer words left than this; it is also the least length.
 LEAST_WORDS = 10
+#: Where the lines are removed, a document is depleted also when it loses more than this share of its words.
+LOST_SHARE = 0.5
 #: Most words, in percent, that may lie in repeated five-word windows.
 REPEAT_PERCENT = 20
 WINDOW = 5
@@ -53,6 +56,11 @@ def repeat_words(words: list[str]) -> int:
     return WINDOW + sum(min(WINDOW, b - a) for a, b in pairwise(starts))
 
 
+def line_key(inside: list[str]) -> int:
+    """The hash of a normalised line, from its words."""
+    return xxhash.xxh3_64_intdigest(" ".join(inside).lower().encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def measure(text: str) -> tuple[list[int], dict[int, int]]:
     """The base counts, and a hash of each normalised line with the words it holds."""
     words = WORD.findall(text)
@@ -65,8 +73,8 @@ def measure(text: str) -> tuple[list[int], dict[int, int]]:
         if line in raw:
             duplicate += 1
         raw.add(line)
-        key = xxhash.xxh3_64_intdigest(" ".join(inside).lower().encode("utf-8", "surrogatepass"))
-        lines[key - (1 << 63)] = lines.get(key - (1 << 63), 0) + len(inside)
+        key = line_key(inside)
+        lines[key] = lines.get(key, 0) + len(inside)
     symbols = sum(map(text.count, SYMBOLS))
     return [len(words), sum(map(len, words)), symbols, duplicate, repeat_words(words)], lines
 
@@ -154,6 +162,41 @@ def keep_good(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS,
     return rows.join(good, ROW, "left_semi").select(docs.columns)
 
 
+def without_lines(text: str, removed: set[int]) -> str:
+    """The text without the lines of these keys; lines without a word stay."""
+    return "\n".join(line for line in text.split("\n") if not (inside := WORD.findall(line)) or line_key(inside) not in removed)
+
+
+def keep_clean(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, lost_share: float = LOST_SHARE) -> DataFrame:
+    """The rows of ``docs`` that are kept, their texts without the lines above the limits.
+
+    The first holder of a line keeps it. Rejected is what ``quality`` rejects, and a document that
+    loses more than ``lost_share`` of its words. Lines go with their line break; a text that loses
+    none stays as it was. ``n_chars``, where ``docs`` has it, is the length of a changed text.
+    Edge cases as in ``quality``.
+    """
+    rows = numbered(docs, "quality-rows")
+    depleted = F.col("n_removed_words") > lost_share * F.col("n_words")
+    good = judge(as_rows(rows, host), line_docs, line_share).filter(F.col("kept") & ~depleted).select(ROW, F.col("removed").alias("_removed"))
+    joined = rows.join(good, ROW)
+    # Only texts that lose a line pass through Python's lines.
+    changed = joined.select("*", F.when(F.col("_removed").isNotNull(), or_empty("text")).alias("_old"))
+
+    def run(batches):
+        for batch in batches:
+            old, removed = batch.column("_old").to_pylist(), batch.column("_removed").to_pylist()
+            new = pa.array([None if t is None else without_lines(t, set(r)) for t, r in zip(old, removed)], pa.string())
+            kept = [c for c in batch.schema.names if c not in ("_old", "_removed")]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), new], names=[*kept, "_new"])
+
+    kept = changed.drop("_old", "_removed").schema
+    out = changed.mapInArrow(run, kept.add("_new", "string"))
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce("_new", "text")).select(docs.columns)
+
+
 _WORD = WORD.pattern
 _SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),

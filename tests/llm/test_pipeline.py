@@ -32,6 +32,15 @@ def test_stages_against_brute_force(spark, data):
     test_packing.check_rows(rows, want)
 
 
+def test_first_stage_removes_lines(spark, data):
+    """A line in 1% of the documents of a host is above the limits of the first stage alone."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, words(i) + ("\nthe same line" if i % 100 == 0 else ""), "en", "s", None) for i in range(1200)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{data}/documents.parquet").schema)
+    out = c.quality_rules(spark, docs, data).collect()
+    assert len(out) == 1200 and [r.doc_id for r in out if "same line" in r.text] == [0]
+
+
 def test_edges(spark, data):
     schema = spark.read.parquet(f"{data}/documents.parquet").schema
     words = " ".join(f"word{i}" for i in range(40))

@@ -67,6 +67,19 @@ def test_against_brute_force(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter(r.doc_id for r in out if r.kept)
 
 
+def test_lines_above_the_limits_leave_the_texts(spark):
+    common, own = "this line is on\tmany pages of the one host you see", lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    texts = [f"{own(i)}\n\n{common.upper() if i % 2 else common}\nend {i}" for i in range(20)]
+    texts += [f"{common}\n{own(20)[:-14]}", own(21), None]  # the first loses 12 of 22 words
+    docs = spark.createDataFrame([(i, t, "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars int")
+    out = {r.doc_id: r for r in q.keep_clean(docs, line_docs=5).collect()}
+    wanted = {i: texts[i] if i in (0, 21) else f"{own(i)}\n\nend {i}" for i in [*range(20), 21]}
+    assert {i: r.text for i, r in out.items()} == wanted
+    assert all(r.n_chars == len(r.text) for r in out.values())
+    assert 20 in {r.doc_id for r in q.keep_clean(docs, line_docs=5, lost_share=0.6).collect()}
+    assert q.keep_clean(docs, line_docs=5).schema.simpleString() == docs.schema.simpleString()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert q.quality(docs).collect() == [] and q.keep_good(docs).collect() == []
