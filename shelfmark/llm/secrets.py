@@ -29,8 +29,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run of 16 characters or more; shorter runs ho
 HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
 
-#: Tokens of the battery: maximal runs of code characters.
+#: Tokens of the battery: maximal runs of code characters. No alphabet holds both characters of MIXED; a run
+#: that does (a path in a URL) is cut at / and + into PARTS.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
+MIXED = r"[+/][^_-]*[_-]|[_-][^+/]*[+/]"
+PART = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by name: the pattern of its tokens and its alphabet in code order; the first fit counts.
@@ -85,8 +88,19 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(as_spans(assign, 0), as_spans(matches(text, ACCESS), 1), as_spans(matches(text, HEX), 2)))
 
 
+def parts(run: Column) -> Column:
+    """The parts of a run that mixes alphabets, placed in the text; another run is its own part."""
+
+    def place(m):
+        return F.struct((run["start"] + m["start"]).alias("start"), (run["start"] + m["end"]).alias("end"), m["value"].alias("value"))
+
+    return F.when(run["value"].rlike(MIXED), F.transform(matches(run["value"], PART), place)).otherwise(F.array(run))
+
+
 def code_tokens(text: Column) -> Column:
-    return F.filter(matches(text, TOKEN), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
+    """Tokens of 16 characters or more with letters and digits."""
+    whole = F.flatten(F.transform(matches(text, TOKEN), parts))
+    return F.filter(whole, lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -99,7 +113,8 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """``token`` rows with ``encoding``, the three scores and ``p``; tokens of no encoding go."""
+    """``token`` rows with ``encoding``, the three scores and ``p``; tokens of no encoding go
+    (``code_tokens`` gives none: a token holds characters of one alphabet only)."""
     alphabet = encoding = F.lit(None).cast("string")
     for name, (pattern, letters) in reversed(ENCODINGS.items()):
         fits = F.col("token").rlike(pattern)

@@ -73,6 +73,25 @@ def test_random_tokens_are_found_and_text_is_not(spark):
     assert all(out[i] == f"random:4:{4 + len(secret[i])}" for i in hit if i < 1000)
 
 
+def test_tokens_in_paths(spark):
+    rng = random.Random(7)
+    before = ["https://a.example/reset-password/", "/api_v1/", "x/", "see é+a-b+"]
+    rows, wanted = [], {}
+    for i in range(60):
+        key = base64.urlsafe_b64encode(rng.randbytes(30)).decode()
+        key = key if set("-_") & set(key) else key[:-1] + "_"
+        head = before[i % 4]
+        rows.append((i, f"{head}{key}{'/send-now' if i % 3 else ''} end", "x"))
+        wanted[i] = f"random:{len(head)}:{len(head) + len(key)}"
+    rows += [(1000 + i, f"/my-docs/chapter{i}section{i % 7}introduction/part_{i}", "x") for i in range(300)]
+    out = {r.doc_id: r.spans for r in s.find_secrets(spark.createDataFrame(rows, SCHEMA)).select("doc_id", s.spell(F.col("found")).alias("spans")).collect()}
+    assert sum(out[i] == wanted[i] for i in range(60)) >= 57
+    assert all(out[i] in ("", wanted[i]) for i in range(60))
+    assert sum(bool(out[1000 + i]) for i in range(300)) <= 1
+    # A run of one alphabet stays whole.
+    assert spark.createDataFrame([("ab/cd+0123456789abcd ef_gh-0123456789",)], "t string").select(s.code_tokens(F.col("t")).alias("x")).first()["x"] == [(0, 20, "ab/cd+0123456789abcd"), (21, 37, "ef_gh-0123456789")]
+
+
 def test_empty_table(spark):
     assert s.find_secrets(spark.createDataFrame([], SCHEMA)).collect() == []
 
