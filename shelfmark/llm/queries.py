@@ -1,4 +1,16 @@
 """All queries of the subpackage: importing the modules fills the register."""
 
-from shelfmark.llm import chat, decontaminate, html_text, langid, linedup, neardup, packing, quality, secrets, sharding  # noqa: F401
+from shelfmark.llm import (  # noqa: F401
+    centroids,
+    chat,
+    decontaminate,
+    html_text,
+    langid,
+    linedup,
+    neardup,
+    packing,
+    quality,
+    secrets,
+    sharding,
+)
 from shelfmark.llm.base import ORACLES, QUERIES  # noqa: F401
