@@ -12,5 +12,6 @@ from shelfmark.llm import (  # noqa: F401
     quality,
     secrets,
     sharding,
+    turns,
 )
 from shelfmark.llm.base import ORACLES, QUERIES  # noqa: F401
