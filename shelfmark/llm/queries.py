@@ -4,6 +4,7 @@ from shelfmark.llm import (  # noqa: F401
     centroids,
     chat,
     decontaminate,
+    factors,
     html_text,
     langid,
     linedup,
