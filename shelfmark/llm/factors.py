@@ -158,7 +158,7 @@ def common_grams(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def _phrases(docs: DataFrame, ids: str, text: str, common: np.ndarray) -> DataFrame:
-    """Phrases with their seed, document, first word and tags. Phrases that an earlier document of
+    """Phrases with their seed, document, ``where`` (mark and first word) and tags. Phrases that an earlier document of
     the same chunk holds are decided already: they have ``n`` windows and no tags."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -194,12 +194,13 @@ def _phrases(docs: DataFrame, ids: str, text: str, common: np.ndarray) -> DataFr
         n = np.r_[np.zeros(int(open_.sum()), dtype=np.int64), many]
         tags = pa.concat_arrays([found.tags(open_), pa.array([b""] * len(at), pa.binary())])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seed.view(np.int64)), pa.array(doc[owner]), pa.array(mark[owner]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), tags],
-            names=["seed", "_doc", "_mark", "place", "n", "tags"],
+            [pa.array(seed.view(np.int64)), pa.array(doc[owner]), pa.array(mark[owner].astype(np.int64) << 32 | place), pa.array(n.astype(np.int32)), tags],
+            names=["seed", "_doc", "where", "n", "tags"],
         )
 
     rows = docs.select(*_keys(docs, ids, text), text)
-    return rows.mapInArrow(cut, "seed bigint, _doc bigint, _mark int, place int, n int, tags binary")
+    # The mark and the place share a column: many narrow rows are shuffled.
+    return rows.mapInArrow(cut, "seed bigint, _doc bigint, where bigint, n int, tags binary")
 
 
 def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +208,8 @@ def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the seed at hand is kept: its windows and the first document of each."""
     last_seed, last_tags, last_docs = None, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     for batch in batches:
-        seed, doc, mark, place, n = (batch.column(i).to_numpy() for i in range(5))
-        tags = batch.column(5)
+        seed, doc, where, n = (batch.column(i).to_numpy() for i in range(4))
+        tags, mark, place = batch.column(4), (where >> 32).astype(np.int32), where & 0xFFFFFFFF
         offsets = np.frombuffer(tags.buffers()[1], np.int32)[tags.offset : tags.offset + len(tags) + 1]
         count = np.diff(offsets) // TAG
         raw = np.zeros((int(count.sum()), 8), dtype=np.uint8)
