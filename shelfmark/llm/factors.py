@@ -28,7 +28,7 @@ from shelfmark.llm.base import WORD, query, table
 #: Words of a window, the least length of a factor.
 WINDOW = 13
 #: Words of a gram, of which the least in a window is its seed.
-GRAM = 4
+GRAM = 3
 #: Bytes that tell the windows of a seed apart.
 TAG = 6
 #: Words that a task parses at once, and words of one text that are held as strings.
