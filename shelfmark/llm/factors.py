@@ -133,10 +133,13 @@ def _runs(flag: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _keys(docs: DataFrame, ids: str, text: str) -> list[Column]:
-    """The id, a missing one last, and a hash that tells texts of one id apart."""
+    """The id, a missing one last, and a mark that tells texts of one id apart. Where ids are unique, which
+    a look at the ids alone shows, they need none, and phrases are shorter rows."""
     if not isinstance(docs.schema[ids].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         raise TypeError(f"{ids} must be an integer: documents are earlier by their number")
-    return [F.coalesce(F.col(ids).cast("bigint"), F.lit(_LAST)).alias("_doc"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_mark")]
+    unique = docs.groupBy(ids).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty()
+    mark = F.lit(0) if unique else F.hash(F.coalesce(F.col(text), F.lit("")))
+    return [F.coalesce(F.col(ids).cast("bigint"), F.lit(_LAST)).alias("_doc"), mark.alias("_mark")]
 
 
 def common_grams(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -157,7 +160,7 @@ def common_grams(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64)).view(np.uint64)
 
 
-def _phrases(docs: DataFrame, ids: str, text: str, common: np.ndarray) -> DataFrame:
+def _phrases(docs: DataFrame, keys: list[Column], text: str, common: np.ndarray) -> DataFrame:
     """Phrases with their seed, document, ``where`` (mark and first word) and tags. Phrases that an earlier document of
     the same chunk holds are decided already: they have ``n`` windows and no tags."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
@@ -198,7 +201,7 @@ def _phrases(docs: DataFrame, ids: str, text: str, common: np.ndarray) -> DataFr
             names=["seed", "_doc", "where", "n", "tags"],
         )
 
-    rows = docs.select(*_keys(docs, ids, text), text)
+    rows = docs.select(*keys, text)
     # The mark and the place share a column: many narrow rows are shuffled.
     return rows.mapInArrow(cut, "seed bigint, _doc bigint, where bigint, n int, tags binary")
 
@@ -247,9 +250,10 @@ def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def factors(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
-    """The factors ``_doc, _mark, place, n``: n windows from word ``place`` on that an earlier document holds."""
-    found = _phrases(docs, ids, text, common_grams(docs, text))
+def factors(docs: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
+    """The factors ``_doc, _mark, place, n``: n windows from word ``place`` on that an earlier document holds.
+    ``keys`` are the columns ``_doc`` and ``_mark``."""
+    found = _phrases(docs, keys, text, common_grams(docs, text))
     return found.repartition("seed").sortWithinPartitions("seed", "_doc").mapInArrow(_factored, "_doc bigint, _mark int, place int, n int")
 
 
@@ -264,9 +268,10 @@ def drop_repeats(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> Da
     whole: a task holds 8 bytes for each word of a chunk, and its index the different windows
     around one gram.
     """
-    spans = factors(docs, ids, text).groupBy("_doc", "_mark").agg(F.collect_list(F.struct("place", "n")).alias("_spans"))
+    keys = _keys(docs, ids, text)
+    spans = factors(docs, keys, text).groupBy("_doc", "_mark").agg(F.collect_list(F.struct("place", "n")).alias("_spans"))
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans")]
-    keyed = docs.select(*kept, *_keys(docs, ids, text)).join(spans, ["_doc", "_mark"], "left").select(*kept, "_spans")
+    keyed = docs.select(*kept, *keys).join(spans, ["_doc", "_mark"], "left").select(*kept, "_spans")
     where = kept.index(text)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
