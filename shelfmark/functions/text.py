@@ -57,6 +57,17 @@ def stem(word: Column) -> Column:
     )
 
 
+def stem_word(word: str) -> str:
+    """``stem`` for one string, for work that is done inside a task."""
+    if len(word) <= 3 or not word.endswith("s"):
+        return word
+    if word.endswith("ies") and not word.endswith(("eies", "aies")):
+        return word[:-3] + "y"
+    if word.endswith("es") and not word.endswith(("aes", "ees", "oes")):
+        return word[:-1]
+    return word if word.endswith(("us", "ss")) else word[:-1]
+
+
 def query_terms(text: Column, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> Column:
     """The distinct search terms of a text, in order of first use."""
     kept = F.filter(words(text), lambda w: ~is_stopword(w, stopwords))

@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.ranking import score_key, top_k
+from shelfmark.functions.ranking import normalize_top, score_key, top_k
 from shelfmark.functions.parsing import is_blank
-from shelfmark.operators import ivf, textsearch
+from shelfmark.operators import ivf, textsearch, textstore, vectorstore
 from shelfmark.operators.vectors import knn_exact
 from shelfmark.schema import COMPONENT_ORDER, MODALITY_WEIGHTS
 
@@ -25,9 +25,11 @@ RANK_METHODS = {"ts_rank": textsearch.rank_frequency, "ts_rank_cd": textsearch.r
 
 @dataclass
 class Catalog:
-    """The tables a search reads. Vector tables are per embedding type."""
+    """The tables a search reads: the stores of an index, or plain tables. Vector tables are per embedding type."""
 
     products: DataFrame | None = None
+    text: textstore.TextStore | None = None
+    stores: dict[str, vectorstore.VectorStore] | None = None
     postings: DataFrame | None = None
     term_stats: DataFrame | None = None
     vectors: dict[str, DataFrame] | None = None
@@ -48,6 +50,9 @@ def vector_component(embedding_type: str) -> Component:
 
 def clustered_component(embedding_type: str, nprobe: int = 1) -> Component:
     def run(queries: DataFrame, catalog: Catalog, k: int) -> DataFrame:
+        if catalog.stores is not None:
+            found = vectorstore.search(catalog.stores[embedding_type], queries, k, nprobe)
+            return normalize_top(found.select("query_id", "pid", F.col("cosine").alias("score")).filter(F.col("score").isNotNull()), style="vector")
         found = ivf.ivf_search(
             queries, catalog.centroids[embedding_type], catalog.cells[embedding_type], k, nprobe
         )
@@ -62,6 +67,9 @@ def text_component(method: str) -> Component:
         raise ValueError(f"unknown rank method: {method}")
 
     def run(queries: DataFrame, catalog: Catalog, k: int) -> DataFrame:
+        if catalog.text is not None:
+            found = textstore.search(catalog.text, queries, k, textstore.RANKERS[method])
+            return normalize_top(found, style="text").drop("rank")
         parsed = textsearch.parse_queries(queries)
         scored = ranker(catalog.postings, parsed, catalog.term_stats)
         return textsearch.text_topk(scored, k).drop("rank")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import vectors as V
-from shelfmark.functions.ranking import normalize_top
+from shelfmark.functions.ranking import normalize_top, top_k
 from shelfmark.operators.nearest import DEFAULT_BLOCKS, BlockSizes, collect_bounded, matrix, nearest
 from shelfmark.schema import SCORE_DECIMALS
 from shelfmark.session import pinned
@@ -127,15 +127,17 @@ def best_cells(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
 
 def _best_cells_blocked(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     """The same for any number of centroids: rows are the probes of ``nearest``, one run for
-    each ``nlist``. Rows need a unique ``pid`` or ``query_id``."""
-    key = "pid" if "pid" in rows.columns else "query_id"
-    rows, out = pinned(rows), None
+    each ``nlist``. Rows are numbered, so ids may be repeated or missing."""
+    rows, out = pinned(rows.withColumn("_at", F.monotonically_increasing_id())), None
+    probes = rows.select(F.col("_at").alias("query_id"), "embedding")
     for nlist in sorted(r["nlist"] for r in centroids.select("nlist").distinct().collect()):
         cells = centroids.filter(F.col("nlist") == nlist).select(F.col("cell").alias("pid"), F.col("centroid").alias("embedding"))
-        found = nearest(cells, rows.select(F.col(key).alias("query_id"), "embedding"), n, "ip")
-        best = found.select(F.col("query_id").alias(key), F.lit(nlist).cast("int").alias("nlist"), F.col("pid").alias("cell"), F.col("rank").alias("probe"))
+        found = nearest(cells, probes, n, "ip")
+        best = found.select(F.col("query_id").alias("_at"), F.lit(nlist).cast("int").alias("nlist"), F.col("pid").alias("cell"), F.col("rank").alias("probe"))
         out = best if out is None else out.unionByName(best)
-    return rows.join(out, key).select(*rows.columns, "nlist", "cell", "probe")
+    if out is None:
+        return rows.select(*(c for c in rows.columns if c != "_at"), *(F.lit(0).alias(c) for c in ("nlist", "cell", "probe"))).limit(0)
+    return rows.join(out, "_at").select(*(c for c in rows.columns if c != "_at"), "nlist", "cell", "probe")
 
 
 def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -177,21 +179,21 @@ def ivf_sweep(
     blocks: BlockSizes = DEFAULT_BLOCKS,
 ) -> DataFrame:
     """Every (nlist, nprobe) setting in one job: the tables hold all nlist values, and a
-    query has one probe row per setting and cell. Returns ``nlist, nprobe`` with each row."""
+    query has one probe row per cell. Returns ``nlist, nprobe`` with each row."""
     widest = best_cells(queries.select("query_id", "embedding"), centroids, max(nprobes))
-    probes = (
-        widest.withColumn("nprobe", F.explode(F.array(*[F.lit(int(p)) for p in nprobes])))
-        .filter(F.col("probe") <= F.col("nprobe"))
-        .select(
-            F.to_json(F.struct("nlist", "nprobe", "query_id")).alias("query_id"),
-            "embedding",
-            _address(F.col("nlist"), F.col("cell")).alias("cell"),
-        )
+    steps = F.array(*[F.lit(p) for p in sorted({int(p) for p in nprobes})])
+    # A cell is scored once, for the least nprobe that reaches it; wider settings take its rows over.
+    probes = widest.withColumn("nprobe", F.array_min(F.filter(steps, lambda p: p >= F.col("probe")))).select(
+        F.to_json(F.struct("nlist", "nprobe", "query_id")).alias("query_id"),
+        "embedding",
+        _address(F.col("nlist"), F.col("cell")).alias("cell"),
     )
     stored = postings.withColumn("cell", _address(F.col("nlist"), F.col("cell")))
     found = nearest(stored, probes, k, "ip", cell="cell", blocks=blocks)
     original = T._parse_datatype_string(f"nlist int, nprobe int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return found.withColumn("_run", F.from_json("query_id", original)).select("_run.*", "pid", "score", "rank")
+    tiers = found.withColumn("_run", F.from_json("query_id", original)).select("_run.*", "pid", "score")
+    settings = tiers.withColumn("nprobe", F.explode(F.filter(steps, lambda p: p >= F.col("nprobe"))))
+    return top_k(settings, k, by=("nlist", "nprobe", "query_id"))
 
 
 def search_rescored(found: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -74,37 +74,43 @@ def matrix(column) -> np.ndarray:
 
 
 def _prepare(m: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "ip":
-        return m
+    return m if metric == "ip" else m / _lengths(m)[:, None]
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
     length = np.sqrt((m * m).sum(axis=1))
     length[length == 0] = np.nan
-    return m / length[:, None]
+    return length
 
 
 class _Best:
-    """The k best rows per probe seen so far by one task."""
+    """The k best rows per probe seen so far by one task, with the cosine of each where it is asked for."""
 
-    def __init__(self, k: int, probes: int):
-        self.k = k
+    def __init__(self, k: int, probes: int, cosine: bool = False):
+        self.k, self.cosine = k, cosine
         self.floor = np.full(probes, -np.inf)
-        self.rows = pd.DataFrame({"q": np.zeros(0, "int64"), "pid": [], "key": np.zeros(0), "score": np.zeros(0)})
+        self.rows = pd.DataFrame({"q": np.zeros(0, "int64"), "pid": [], "key": np.zeros(0), "score": np.zeros(0), "cosine": np.zeros(0)})
         self.waiting: list[pd.DataFrame] = []
         self.waiting_rows = 0
 
     def match(self, q: np.ndarray, probes: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Score in slices, so that the score block stays small next to the inputs."""
         step = max(1, SCORE_CELLS // max(1, len(probes)))
+        own = _lengths(probes) if self.cosine else None
         for at in range(0, len(ids), step):
-            self.offer(q, ids[at : at + step], probes @ vectors[at : at + step].T)
+            part = vectors[at : at + step]
+            self.offer(q, ids[at : at + step], probes @ part.T, own, _lengths(part) if self.cosine else None)
 
-    def offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    def offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray | None, other: np.ndarray | None) -> None:
         key = np.round(scores, SCORE_DECIMALS)
         key[np.isnan(key)] = -np.inf
         cut = self.floor[q]
         if key.shape[1] > self.k:
             cut = np.maximum(cut, np.partition(key, -self.k, axis=1)[:, -self.k])
         r, c = np.nonzero((key >= cut[:, None]) & (key > -np.inf))
-        self.waiting.append(pd.DataFrame({"q": q[r], "pid": ids[c], "key": key[r, c], "score": scores[r, c]}))
+        found = {"q": q[r], "pid": ids[c], "key": key[r, c], "score": scores[r, c]}
+        found["cosine"] = scores[r, c] / (own[r] * other[c]) if self.cosine else np.nan
+        self.waiting.append(pd.DataFrame(found))
         self.waiting_rows += len(r)
         if self.waiting_rows > 4 * self.k * len(self.floor):
             self.settle()
@@ -127,7 +133,7 @@ def _emit(best: pd.DataFrame, query_ids: np.ndarray, schema: pa.Schema) -> pa.Ta
         [
             pa.array(query_ids[best["q"].to_numpy("int64")], schema.field(0).type),
             pa.array(best["pid"].to_numpy(), schema.field(1).type),
-            pa.array(best["score"].to_numpy("float64"), pa.float64()),
+            *(pa.array(best[f.name].to_numpy("float64"), pa.float64(), from_pandas=True) for f in list(schema)[2:]),
         ],
         schema=schema,
     )
@@ -160,38 +166,39 @@ def nearest(
     metric: str = "cosine",
     cell: str | None = None,
     blocks: BlockSizes = DEFAULT_BLOCKS,
+    cosine: bool = False,
 ) -> DataFrame:
     """Top-k of ``vectors(pid, embedding[, cell])`` for ``probes(query_id, embedding[, cell])``.
 
     With ``cell``, a probe row only meets vectors of its own cell, and one query may
     have several probe rows. Returns ``(query_id, pid, score, rank)``. Vectors meet probes
     of their own length; rows without a vector and lengths that only one side has are left
-    out (``unmatched_widths`` counts them).
+    out (``unmatched_widths`` counts them). ``cosine`` adds the cosine of each row found by inner
+    product, NULL for a zero vector, so that nothing has to be looked up to score it again.
     """
     extra = [cell] if cell else []
     vectors = vectors.select("pid", "embedding", *extra).filter(F.col("embedding").isNotNull())
     probes = probes.select("query_id", "embedding", *extra).filter(F.col("embedding").isNotNull())
-    # Fresh column identities: probes are often derived from the vectors themselves.
-    probes = pinned(probes.toDF(*probes.columns))  # measured, then read
-    query_type, pid_type = probes.schema["query_id"].dataType, vectors.schema["pid"].dataType
-    out = T.StructType(
-        [
-            T.StructField("query_id", query_type),
-            T.StructField("pid", pid_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    out_arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
+    out, out_arrow = result_schema(probes, vectors, cosine)
 
     small = collect_bounded(probes, blocks.probe_rows, blocks.probe_bytes, "embedding")
     if small is not None:
-        partial = _scan(vectors, small, k, metric, cell, blocks, out, out_arrow)
+        partial = scan(vectors, small, k, metric, cell, out, out_arrow)
     else:
-        partial = _grid(vectors, probes, k, metric, cell, blocks, out, out_arrow)
+        # Fresh column identities: probes are often derived from the vectors themselves.
+        partial = _grid(vectors, pinned(probes.toDF(*probes.columns)), k, metric, cell, blocks, out, out_arrow)
     return top_k(partial, k)
 
 
-def _scan(vectors, table, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
+def result_schema(probes: DataFrame, vectors: DataFrame, cosine: bool = False) -> tuple[T.StructType, pa.Schema]:
+    fields = [T.StructField("query_id", probes.schema["query_id"].dataType), T.StructField("pid", vectors.schema["pid"].dataType), T.StructField("score", T.DoubleType())]
+    if cosine:
+        fields.append(T.StructField("cosine", T.DoubleType()))
+    return T.StructType(fields), pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+
+
+def scan(vectors: DataFrame, table: pa.Table, k: int, metric: str, cell: str | None, out: T.StructType, out_arrow: pa.Schema) -> DataFrame:
+    """The k best rows per probe and task; the probes go to the vectors."""
     spark = vectors.sparkSession
     if table.num_rows == 0:
         return spark.createDataFrame([], out)
@@ -205,13 +212,14 @@ def _scan(vectors, table, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
             groups[c.item() if hasattr(c, "item") else c, int(w)] = (which[rows], _prepare(matrix(table["embedding"].take(pa.array(rows))), metric))
     vectors = vectors.filter(F.size("embedding").isin(sorted({w for _, w in groups})))
     if cell:
-        # A literal list, at most one cell per probe, reaches the scan: only the probed cells are read.
+        # Other cells do not reach the kernel. What the scan can skip by the list depends on the layout.
         vectors = vectors.filter(F.col(cell).isin(list({c for c, _ in groups})))
     shared = spark.sparkContext.broadcast((groups, query_ids))
+    cosine = "cosine" in out.names
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes_of, ids_of = shared.value
-        best = _Best(k, len(ids_of))
+        best = _Best(k, len(ids_of), cosine)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -225,7 +233,7 @@ def _scan(vectors, table, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
                         best.match(*found, pids[at], _prepare(matrix(batch.column(1).take(pa.array(at))), metric))
         yield from _emit(best.settle(), ids_of, out_arrow).to_batches()
 
-    return vectors.mapInArrow(scan, out)
+    return vectors.mapInArrow(run, out)
 
 
 def _grid(vectors, probes, k, metric, cell, blocks, out, out_arrow) -> DataFrame:
@@ -255,7 +263,7 @@ def _grid(vectors, probes, k, metric, cell, blocks, out, out_arrow) -> DataFrame
         if not v.num_rows or not p.num_rows:
             return out_arrow.empty_table()
         ids_of, owner = np.unique(_objects(p["query_id"]), return_inverse=True)
-        best = _Best(k, len(ids_of))
+        best = _Best(k, len(ids_of), "cosine" in out.names)
         probe_m = _prepare(matrix(p["embedding"]), metric)
         pids, m = _objects(v["pid"]), _prepare(matrix(v["embedding"]), metric)
         best.match(owner, probe_m, pids, m)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
 from shelfmark.functions.ranking import normalize_top, top_k
@@ -13,27 +18,110 @@ from shelfmark.functions.text import STOPWORDS
 from shelfmark.session import spread
 
 
-def token_rows(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
-    """(pid, position, term). Positions start at 1 and count stopwords too."""
-    rows = spread(docs.select("pid", "document"), "pid").select(
-        "pid", F.posexplode_outer(X.words(F.col("document"))).alias("_at", "_word")
-    )
-    # Outer, for the reason given at ``rows_of``; a NULL word is no stopword and drops out.
-    kept = rows.filter(~X.is_stopword(F.col("_word"), stopwords))
-    term = X.stem(F.col("_word")) if stemming else F.col("_word")
-    return kept.select("pid", (F.col("_at") + 1).alias("position"), term.alias("term"))
+#: Words whose terms a task remembers, and postings of an output batch.
+VOCABULARY = 1_000_000
+BATCH_POSTINGS = 100_000
+#: Query terms that travel to the documents.
+SENT_TERMS = 200_000
 
 
-def text_index(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
-    """Postings of ``docs(pid, document)``. Texts stay where they are: a document's tokens are
-    next to each other, so they are folded into its postings before the shuffle, and only
-    postings move. A word that is in every document is spread like any other, and a
-    group is no longer than its document."""
-    return (
-        token_rows(docs, stopwords, stemming)
-        .groupBy("term", "pid")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    )
+def _terms(stops: frozenset[str], stemming: bool, only: frozenset[str] | None) -> Callable[[str], str | None]:
+    """The term of a word, None for stopwords and terms that are not wanted."""
+    known: dict[str, str | None] = {}
+
+    def term_of(word: str) -> str | None:
+        if word not in known:
+            if len(known) >= VOCABULARY:
+                known.clear()
+            term = None if word in stops else X.stem_word(word) if stemming else word
+            known[word] = term if only is None or term in only else None
+        return known[word]
+
+    return term_of
+
+
+def document_counts(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
+    """``term, df`` of ``docs(document)`` without making postings: counted in the tasks, then added up."""
+    stops = frozenset(stopwords)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, term_of, counts = re.compile(X.WORD).findall, _terms(stops, stemming, None), Counter()
+
+        def flush() -> pa.RecordBatch:
+            counts.pop(None, None)
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update({term_of(w) for w in set(find(text or ""))})
+            if len(counts) >= VOCABULARY:
+                yield flush()
+                counts.clear()
+        yield flush()
+
+    lower = spread(docs.select("pid", "document"), "pid").select(F.lower("document").alias("document"))
+    return lower.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def text_index(
+    docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True, unique_ids: bool = True, carry: Sequence[str] = (), only: frozenset[str] | None = None
+) -> DataFrame:
+    """Postings ``term, pid, *carry, tf, positions`` of ``docs(pid, document)``. Positions start
+    at 1 and count stopwords too. A document is one row, so its postings are made where it
+    lies: nothing is shuffled, and a word that is in every document is like any other.
+
+    Ids have to be unique, as they are after ``dedup_first``; with ``unique_ids=False`` the
+    postings of rows with one id are merged, which takes a shuffle of all postings. ``only``
+    makes the postings of these terms alone.
+    """
+    names, stops = ["pid", *carry], frozenset(stopwords)
+    rows = spread(docs.select(*names, "document"), "pid").select(*names, F.lower("document").alias("document"))
+    fields = [T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]
+    sent = docs.sparkSession.sparkContext.broadcast(only)
+    out = T.StructType([T.StructField("term", T.StringType()), *(rows.schema[c] for c in names), *fields])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, term_of = re.compile(X.WORD).findall, _terms(stops, stemming, sent.value)
+        for batch in batches:
+            terms, owner, ends, places = [], [], [0], []
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(owner, pa.int64())
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+                tf = pa.array(np.diff(ends).astype(np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(batch.column(i).take(at) for i in range(len(names))), tf, held], names=out.names)
+
+            for i, text in enumerate(batch.column(len(names)).to_pylist()):
+                found: dict[str, list[int]] = {}
+                for position, word in enumerate(find(text or ""), 1):
+                    term = term_of(word)
+                    if term is not None:
+                        found.setdefault(term, []).append(position)
+                for term, at in found.items():
+                    terms.append(term)
+                    owner.append(i)
+                    places.extend(at)
+                    ends.append(len(places))
+                if len(terms) >= BATCH_POSTINGS:
+                    yield flush()
+                    terms, owner, ends, places = [], [], [0], []
+            if terms:
+                yield flush()
+
+    index = rows.mapInArrow(fold, out)
+    if unique_ids:
+        return index
+    merged = index.groupBy("term", *names).agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return merged.select(*out.names)
+
+
+def query_postings(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Postings of documents that have no index, for one batch of queries: the documents are read
+    once and only terms of the queries leave them. More than ``SENT_TERMS`` terms are not
+    sent; all postings are made then."""
+    found = parsed.select(F.explode("terms").alias("term")).distinct().limit(SENT_TERMS + 1).collect()
+    only = frozenset(r["term"] for r in found) if len(found) <= SENT_TERMS else None
+    return text_index(docs, only=only)
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -97,13 +185,17 @@ def damped_count(tf: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda acc, j: acc + F.lit(1.0) / (j * j))
 
 
-def rank_frequency(postings: DataFrame, parsed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """More occurrences score higher, each further one by less."""
-    rows = matched_postings(postings, parsed, stats)
+def score_frequency(rows: DataFrame) -> DataFrame:
+    """``query_id, pid, score`` from the matched postings of whole candidates."""
     scored = all_terms(rows, F.sum(damped_count(F.col("tf"))).alias("_sum"))
     return scored.select("query_id", "pid", (F.col("_sum") / F.col("n_terms")).alias("score"))
 
 
+def rank_frequency(postings: DataFrame, parsed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """More occurrences score higher, each further one by less."""
+    return score_frequency(matched_postings(postings, parsed, stats))
+
+
 def _cover_score(places: Column, n_terms: Column) -> Column:
     """Sum of 1 / (1 + noise) over the minimal covers of one sorted place list.
 
@@ -134,8 +226,8 @@ def _cover_score(places: Column, n_terms: Column) -> Column:
     return F.aggregate(places, start, step, lambda acc: acc["score"])
 
 
-def rank_cover_density(postings: DataFrame, parsed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Terms that stand closer together score higher (Clarke, Cormack & Tudhope 2000)."""
+def score_cover_density(rows: DataFrame) -> DataFrame:
+    """``query_id, pid, score`` from matched postings with ``positions``."""
     numbered = F.flatten(
         F.transform(
             "hits",
@@ -144,18 +236,26 @@ def rank_cover_density(postings: DataFrame, parsed: DataFrame, stats: DataFrame
             ),
         )
     )
-    rows = matched_postings(postings, parsed, stats, ["positions"])
     matched = all_terms(rows, F.collect_list(F.struct("term", "positions")).alias("hits"))
     placed = matched.select("query_id", "pid", "n_terms", F.array_sort(numbered).alias("places"))
     return placed.select("query_id", "pid", _cover_score(F.col("places"), F.col("n_terms")).alias("score"))
 
 
-def rank_tfidf(postings: DataFrame, parsed: DataFrame, n_docs: Column, stats: DataFrame | None = None) -> DataFrame:
-    stats = stats if stats is not None else term_stats(postings)
-    rows = matched_postings(postings, parsed, stats).join(stats, "term")
+def rank_cover_density(postings: DataFrame, parsed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Terms that stand closer together score higher (Clarke, Cormack & Tudhope 2000)."""
+    return score_cover_density(matched_postings(postings, parsed, stats, ["positions"]))
+
+
+def score_tfidf(rows: DataFrame, n_docs: Column) -> DataFrame:
+    """``query_id, pid, score`` from matched postings with ``df``."""
     weight = F.col("tf") * F.ln((n_docs + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))
     return all_terms(rows, F.sum(weight).alias("score")).drop("n_terms")
 
 
+def rank_tfidf(postings: DataFrame, parsed: DataFrame, n_docs: Column, stats: DataFrame | None = None) -> DataFrame:
+    stats = stats if stats is not None else term_stats(postings)
+    return score_tfidf(matched_postings(postings, parsed, stats).join(stats, "term"), n_docs)
+
+
 def text_topk(scored: DataFrame, k: int) -> DataFrame:
     return normalize_top(top_k(scored, k), style="text")

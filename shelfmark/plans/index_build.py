@@ -1,24 +1,15 @@
-"""Raw products and embeddings to the tables a search reads."""
+"""Raw products and embeddings to a stored index, and additions to one."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.parsing import parse_text
-from shelfmark.operators import clean, ids, ivf, textsearch
+from shelfmark.operators import clean, ids, ivf, textstore, vectorstore
 from shelfmark.operators.hybrid import Catalog
-
-
-@dataclass
-class IndexTables:
-    products: DataFrame
-    postings: DataFrame
-    term_stats: DataFrame
-    centroids: DataFrame
-    cells: DataFrame
+from shelfmark.session import staged
+from shelfmark.sources.tables import append_folder, parts, replace_folder
 
 
 def build_products(raw: DataFrame) -> DataFrame:
@@ -30,44 +21,73 @@ def build_products(raw: DataFrame) -> DataFrame:
     return clean.build_document(clean.clean_products(once))
 
 
-def build_index(raw: DataFrame, vectors: DataFrame, nlist: int, seed: int = 42) -> IndexTables:
-    """``vectors(pid, embedding)`` of one embedding type."""
+def _complete(raw: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """The products that have a vector of every embedding type, written once for all that read them."""
     products = build_products(raw)
-    postings = textsearch.text_index(products.select(F.col("Pid").alias("pid"), "document"))
-    centroids = ivf.ivf_train(vectors, nlist, seed)
-    return IndexTables(
-        products, postings, textsearch.term_stats(postings), centroids, ivf.ivf_assign(vectors, centroids)
-    )
+    whole = ids.intersect_ids(products.select(F.col("Pid").alias("pid")), embeddings)
+    return staged(products.join(whole.select(F.col("pid").alias("Pid")), "Pid", "left_semi"), "index-products")
 
 
-def write_index(tables: IndexTables, path: str) -> None:
-    """Layout for pruned reads. Postings are ranged by (term, pid) and vectors by
-    (cell, pid), so a common term or a large cell spans several files. Searches that name
-    cells as literals skip files by their statistics; joined ones read all files."""
-    tables.products.repartitionByRange("Pid").sortWithinPartitions("Pid").write.mode("overwrite").parquet(f"{path}/products")
-    tables.postings.repartitionByRange("term", "pid").sortWithinPartitions("term", "pid").write.mode("overwrite").parquet(
-        f"{path}/postings"
-    )
-    tables.cells.repartitionByRange("nlist", "cell", "pid").sortWithinPartitions("nlist", "cell").write.mode(
-        "overwrite"
-    ).partitionBy("nlist").parquet(f"{path}/cells")
-    tables.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    stored = tables.products.sparkSession.read.parquet(f"{path}/postings")
-    textsearch.term_stats(stored).write.mode("overwrite").parquet(f"{path}/term_stats")
+def _vectors_of(embeddings: DataFrame, kind: str, products: DataFrame) -> DataFrame:
+    """One vector per product, of the lowest value where an id has several."""
+    mine = embeddings.filter(F.col("embedding_type") == kind).join(products.select(F.col("Pid").alias("pid")), "pid", "left_semi")
+    return mine.groupBy("pid").agg(F.min("embedding").alias("embedding"))
+
+
+def write_index(raw: DataFrame, embeddings: DataFrame, path: str, nlist: int, seed: int = 42, buckets: int = vectorstore.BUCKETS) -> None:
+    """The index of raw product rows and ``embeddings(pid, embedding_type, embedding)`` at ``path``, in
+    place of the one that is there.
+
+    Products without a key, of other currencies or without a vector of each type are left out,
+    as in the tables of the index all ids have to be the same. Everything is written beside the old
+    index, which is read until the last table of the new one is there.
+    """
+    spark = raw.sparkSession
+
+    def write(folder: str) -> None:
+        products = _complete(raw, embeddings)
+        kinds = sorted(r["embedding_type"] for r in embeddings.select("embedding_type").distinct().collect())
+        for kind in kinds:
+            vectors = staged(_vectors_of(embeddings, kind, products), "index-vectors")
+            vectorstore.write_store(vectors, ivf.ivf_train(vectors, nlist, seed), f"{folder}/vectors-{kind}", buckets)
+        textstore.write_store(products.select(F.col("Pid").alias("pid"), "document"), f"{folder}/text", buckets)
+        replace_folder(spark, f"{folder}/products", _product_writer(products))
+        spark.createDataFrame([(k,) for k in kinds], "kind string").write.parquet(f"{folder}/kinds")
+
+    replace_folder(spark, path, write)
+
+
+def _product_writer(products: DataFrame):
+    return lambda folder: products.repartitionByRange("Pid").sortWithinPartitions("Pid").write.parquet(folder)
+
+
+def append_index(raw: DataFrame, embeddings: DataFrame, path: str) -> None:
+    """Add the products whose ids the index does not hold yet. Centroids and the layout stay as they are.
+
+    Vectors come first, then text, then products; each is a part of its own that appears as a
+    whole. An addition that fails on the way can be run again: tables that have the ids already
+    take nothing twice, and results without a product row are dropped when they are looked up.
+    """
+    spark = raw.sparkSession
+    folder = parts(spark, path)[0]
+    held = spark.read.parquet(*parts(spark, f"{folder}/products")).select("Pid")
+    new = staged(_complete(raw, embeddings).join(held, "Pid", "left_anti"), "index-new")
+    for kind in _kinds(spark, folder):
+        vectorstore.append_store(_vectors_of(embeddings, kind, new), f"{folder}/vectors-{kind}")
+    textstore.append_store(new.select(F.col("Pid").alias("pid"), "document"), f"{folder}/text")
+    append_folder(spark, f"{folder}/products", _product_writer(new))
+
 
+def _kinds(spark: SparkSession, folder: str) -> list[str]:
+    return sorted(r["kind"] for r in spark.read.parquet(f"{folder}/kinds").collect())
 
-def read_index(spark: SparkSession, path: str, embedding_type: str = "fusion") -> Catalog:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}")
 
-    # Several clusterings may be stored; the finest is searched.
-    finest = F.col("nlist") == (read("centroids").agg(F.max("nlist").alias("n")).first()["n"] or 0)
-    cells = read("cells").filter(finest)
+def read_index(spark: SparkSession, path: str) -> Catalog:
+    folder = parts(spark, path)[0]
+    stores = {kind: vectorstore.read_store(spark, f"{folder}/vectors-{kind}") for kind in _kinds(spark, folder)}
     return Catalog(
-        products=read("products"),
-        postings=read("postings"),
-        term_stats=read("term_stats"),
-        vectors={embedding_type: cells.select("pid", "embedding")},
-        centroids={embedding_type: read("centroids").filter(finest)},
-        cells={embedding_type: cells},
+        products=spark.read.parquet(*parts(spark, f"{folder}/products")),
+        text=textstore.read_store(spark, f"{folder}/text"),
+        vectors={kind: store.cells.filter(F.col("nlist") == store.finest).select("pid", "embedding") for kind, store in stores.items()},
+        stores=stores,
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
 from shelfmark.operators import textsearch as ops
+from shelfmark.operators import textstore as store
 from shelfmark.registry.base import (
     BENCHMARK,
     DOCUMENTS,
@@ -20,7 +21,7 @@ from shelfmark.registry.base import (
     table,
     tokens_sql,
 )
-from shelfmark.session import staged
+from shelfmark.session import scratch_path, staged
 
 SEARCH = f"WITH {search_sql(DOCUMENTS, BENCHMARK)}"
 
@@ -46,9 +47,9 @@ def stem_s(spark, sf_dir):
 
 
 def searched(spark, sf_dir):
-    """The stored postings of all documents, and the parsed passages."""
-    postings = staged(ops.text_index(documents(spark, sf_dir)), "postings")
-    return postings, ops.parse_queries(benchmark(spark, sf_dir))
+    """The postings that the passages ask for, made in one scan of all documents, and the parsed passages."""
+    parsed = ops.parse_queries(benchmark(spark, sf_dir))
+    return staged(ops.query_postings(documents(spark, sf_dir), parsed), "postings"), parsed
 
 
 @query("match_all_terms", f"{SEARCH} SELECT query_id, pid, CAST(n AS INTEGER) AS n_terms FROM pairs")
@@ -112,6 +113,64 @@ def name_texts(spark, sf_dir):
       ELSE score / max(score) OVER (PARTITION BY query_id) END, 6) AS score FROM ({ranked_sql('freq', 10)})""",
 )
 def text_topk(spark, sf_dir):
-    postings = staged(ops.text_index(products(spark, sf_dir)), "postings")
-    scored = ops.rank_frequency(postings, ops.parse_queries(name_texts(spark, sf_dir)))
+    parsed = ops.parse_queries(name_texts(spark, sf_dir))
+    scored = ops.rank_frequency(staged(ops.query_postings(products(spark, sf_dir), parsed), "postings"), parsed)
     return ops.text_topk(scored, 10).withColumn("score", F.round("score", 6))
+
+
+# --- a stored index -------------------------------------------------------------------
+
+COVER_SCORES = f"""{COVERS}, scores AS (SELECT c.query_id, c.pid, sum(1.0::DOUBLE / (1 + (c.position - o.position) - (c.i - c.opening))) AS score
+    FROM covers c JOIN places o ON o.query_id = c.query_id AND o.pid = c.pid AND o.i = c.opening GROUP BY 1, 2)"""
+TOP = "SELECT query_id, pid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank"
+#: Benchmark passages, and the words that begin documents: short queries with many matches.
+ASKED = """(SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark
+    UNION ALL SELECT DISTINCT concat('w ', w), w FROM (SELECT substring(text, 1, 5) AS w FROM documents))"""
+
+
+def asked(spark, sf_dir):
+    passages = benchmark(spark, sf_dir).select(F.col("query_id").cast("string").alias("query_id"), "text")
+    starts = documents(spark, sf_dir).select(F.substring("document", 1, 5).alias("text")).distinct()
+    return passages.unionByName(starts.select(F.concat(F.lit("w "), F.col("text")).alias("query_id"), "text"))
+
+
+STORE_SEARCH = f"WITH {search_sql(DOCUMENTS, ASKED)}"
+
+
+def stored(spark, sf_dir):
+    return store.store_of(documents(spark, sf_dir), buckets=16, block_rows=32)
+
+
+@query("text_store_search", f"{STORE_SEARCH}, freq AS ({FREQUENCY}) {TOP} FROM ({ranked_sql('freq', 10)})")
+def text_store_search(spark, sf_dir):
+    found = store.search(stored(spark, sf_dir), asked(spark, sf_dir), 10, store.RANKERS["ts_rank"])
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("text_store_cover", f"{STORE_SEARCH}, {COVER_SCORES} {TOP} FROM ({ranked_sql('scores', 10)})")
+def text_store_cover(spark, sf_dir):
+    found = store.search(stored(spark, sf_dir), asked(spark, sf_dir), 10, store.RANKERS["ts_rank_cd"])
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("text_store_append", f"{STORE_SEARCH}, freq AS ({FREQUENCY}) {TOP} FROM ({ranked_sql('freq', 10)})")
+def text_store_append(spark, sf_dir):
+    """A store of the shorter documents, the others added by two overlapping appends."""
+    docs = documents(spark, sf_dir)
+    path = scratch_path(spark, "text-appended")
+    short, even = F.coalesce(F.length("document"), F.lit(0)) < 1500, F.col("pid") % 2 == 0
+    store.write_store(docs.filter(short), path, buckets=16, block_rows=32)
+    store.append_store(docs.filter(short | even), path)
+    store.append_store(docs, path)
+    found = store.search(store.read_store(spark, path), asked(spark, sf_dir), 10, store.RANKERS["ts_rank"])
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "text_store_terms",
+    f"""WITH {tokens_sql('t', DOCUMENTS, 'pid', 'document')}, p AS (SELECT term, pid, count(*) AS tf FROM t GROUP BY 1, 2)
+    SELECT term, CAST(count(*) AS BIGINT) AS df, max(tf) AS max_tf FROM p GROUP BY 1""",
+)
+def text_store_terms(spark, sf_dir):
+    """What the block rows say of each term."""
+    return stored(spark, sf_dir).blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vectors as V
-from shelfmark.operators import encode, ivf, quantize, vectors as ops
+from shelfmark.operators import encode, ivf, quantize, vectorstore, vectors as ops
 from shelfmark.operators import nearest as nearest_ops
 from shelfmark.operators.nearest import BlockSizes, nearest
 from shelfmark.registry.base import (
@@ -18,7 +18,7 @@ from shelfmark.registry.base import (
     vectors,
 )
 from shelfmark.registry.ids import TYPED, typed_embeddings
-from shelfmark.session import pinned
+from shelfmark.session import pinned, scratch_path
 
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 
@@ -284,6 +284,53 @@ def ivf_search(spark, sf_dir):
     return ivf.ivf_search(name_queries(spark, sf_dir), c, p, 10, 4).withColumn("score", F.round("score", 6))
 
 
+COSINE_IN_CELLS = IN_CELLS.replace("AS score FROM", "AS score, list_cosine_similarity(embedding, v) AS cosine FROM")
+STORED = f"""WITH {NAME_QUERIES}, {VECTORS}, {CENTROIDS}, {POSTINGS}, {probes_sql('name_queries', 4)}, {COSINE_IN_CELLS}
+    SELECT query_id, pid, round(score, 6) AS score, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM ({ranked_sql('in_cells', 10)})"""
+
+
+def found_in_store(found):
+    return found.select("query_id", "pid", F.round("score", 6).alias("score"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def stored_vectors(spark, sf_dir):
+    return vectorstore.store_of(vectors(spark, sf_dir), seeds(spark, sf_dir), buckets=8)
+
+
+@query("ivf_store_search", STORED)
+def ivf_store_search(spark, sf_dir):
+    """Cells read by bucket, the cosine from the same pass."""
+    return found_in_store(vectorstore.search(stored_vectors(spark, sf_dir), name_queries(spark, sf_dir), 10, 4))
+
+
+@query("ivf_sq8_search", STORED)
+def ivf_sq8_search(spark, sf_dir):
+    """By the codes, then what their error leaves open by the vectors: the same rows."""
+    return found_in_store(vectorstore.search_codes(stored_vectors(spark, sf_dir), name_queries(spark, sf_dir), 10, 4))
+
+
+@query("ivf_store_append", STORED)
+def ivf_store_append(spark, sf_dir):
+    """A store of a part of the vectors, the others added by two overlapping appends."""
+    v, path = vectors(spark, sf_dir), scratch_path(spark, "vectors-appended")
+    vectorstore.write_store(v.filter("label < 3"), seeds(spark, sf_dir), path, buckets=8)
+    vectorstore.append_store(v.filter("label < 6"), path)
+    vectorstore.append_store(v, path)
+    return found_in_store(vectorstore.search_codes(vectorstore.read_store(spark, path), name_queries(spark, sf_dir), 10, 4))
+
+
+@query(
+    "ivf_sq8_recall",
+    f"""WITH {NAME_QUERIES} SELECT query_id, true AS enough FROM name_queries""",
+)
+def ivf_sq8_recall(spark, sf_dir):
+    """All cells probed, twice k rows kept by their codes alone: 0.9 of the exact top 10 at least."""
+    queries, v = name_queries(spark, sf_dir), vectors(spark, sf_dir)
+    found = vectorstore.search_codes(stored_vectors(spark, sf_dir), queries, 10, 20, keep=2)
+    recall = ivf.ivf_recall(nearest(v, queries, 10, "ip"), found, ["query_id"], 10)
+    return recall.select("query_id", (F.col("recall") >= 0.9).alias("enough"))
+
+
 LAYERS = f"centroids AS ({seeds_sql(1)} UNION ALL {seeds_sql(3)})"
 
 

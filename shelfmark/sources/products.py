@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.clean import null_tokens
 from shelfmark.schema import RAW_COLUMNS
+from shelfmark.sources.tables import swap_folder
 
 _BOM = "\ufeff"
 
@@ -17,9 +18,12 @@ CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
 
 
 def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """All columns as text, by header name. Quoted line breaks need ``multi_line``, which
-    reads each file in one task: ship such data as many files."""
-    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', quote='"', nullValue=None, emptyValue="")
+    """All columns as text, by header name. Files of one path have to have one header: another
+    order of columns is an error, as it would be read into wrong columns. Quoted line breaks need
+    ``multi_line``, which reads each file in one task: ship such data as many files."""
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "quote": '"', "emptyValue": ""}
+    schema = spark.read.csv(path, **options).schema
+    df = spark.read.schema(schema).csv(path, enforceSchema=False, **options)
     return df.toDF(*[c.strip(_BOM) for c in df.columns])
 
 
@@ -30,8 +34,9 @@ def scan_products_csv(spark: SparkSession, path: str, multi_line: bool = True) -
 
 
 def scan_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark queries; a byte order mark before the first column name is removed."""
-    return _csv(spark, path, True)
+    """Benchmark queries, missing-token texts as NULL; a byte order mark before the first column
+    name is removed."""
+    return null_tokens(_csv(spark, path, True))
 
 
 def scan_parquet_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -39,19 +44,18 @@ def scan_parquet_columns(spark: SparkSession, path: str, columns: Sequence[str])
 
 
 def write_clean_products(df: DataFrame, path: str, file_format: str = "parquet") -> None:
-    writer = df.write.mode("overwrite")
-    if file_format == "csv":
-        writer.options(**CSV_OPTIONS).csv(path)
-    elif file_format == "parquet":
-        writer.parquet(path)
-    else:
+    """Write cleaned rows in place of the table at ``path``, which a failed write leaves as it was."""
+    if file_format not in ("csv", "parquet"):
         raise ValueError(f"unknown file format: {file_format}")
+    options = CSV_OPTIONS if file_format == "csv" else {}
+    swap_folder(df.sparkSession, path, lambda folder: df.write.options(**options).format(file_format).save(folder))
 
 
 def product_table_write(df: DataFrame, path: str, key: str = "Pid") -> None:
-    """The product table as files sorted by key, so that id lookups skip row groups. The
-    commit is atomic: a failed load leaves no half table."""
-    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    """The product table as files sorted by key, so that id lookups skip row groups. It is written
+    beside the old one and then takes its place: a failed load leaves the old table."""
+    rows = df.repartitionByRange(key).sortWithinPartitions(key)
+    swap_folder(df.sparkSession, path, lambda folder: rows.write.parquet(folder))
 
 
 def product_table_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], batch_rows: int = 3000) -> None:
@@ -59,4 +63,4 @@ def product_table_jdbc(df: DataFrame, url: str, table: str, properties: dict[str
 
 
 def summary_write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    swap_folder(df.sparkSession, path, lambda folder: df.write.options(**CSV_OPTIONS).csv(folder))

@@ -104,9 +104,8 @@ def test_lookup_and_facets(spark):
 def test_whole_flow(spark, data, tmp_path):
     from shelfmark.registry.base import name_queries, raw_products, vectors
 
-    v = vectors(spark, data).select(F.concat(F.lit("P"), F.col("pid").cast("string")).alias("pid"), "embedding")
-    tables = index_build.build_index(raw_products(spark, data).drop("row_no"), v, 8)
-    index_build.write_index(tables, str(tmp_path))
+    v = vectors(spark, data).select(F.concat(F.lit("P"), F.col("pid").cast("string")).alias("pid"), F.lit("fusion").alias("embedding_type"), "embedding")
+    index_build.write_index(raw_products(spark, data).drop("row_no"), v, str(tmp_path), 8, buckets=4)
     catalog = index_build.read_index(spark, str(tmp_path))
     queries = name_queries(spark, data)
     parts = [hybrid.text_component("ts_rank_cd"), hybrid.clustered_component("fusion", 8)]
