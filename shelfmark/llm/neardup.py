@@ -151,16 +151,30 @@ def signed(rows: DataFrame, bands: int = BANDS, per_band: int = PER_BAND) -> Dat
     return rows.select(ROW, "doc_id", or_empty("text").alias("text")).mapInArrow(run, f"{ROW} bigint, doc_id {kind}, digest binary, weight bigint, keys array<bigint>, marks binary")
 
 
+def packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bag as bytes: how many hashes, the hashes, then place and count of those that come more than
+    once. Most come once, so a shingle takes 8 bytes."""
+    more = np.flatnonzero(counts > 1)
+    return np.int64(len(hashes)).tobytes() + hashes.astype(np.uint64).tobytes() + more.astype(np.int64).tobytes() + counts[more].astype(np.int64).tobytes()
+
+
+def unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(bag, np.int64, 1)[0])
+    more, counts = np.split(np.frombuffer(bag, np.int64, offset=8 * (n + 1)), 2)
+    out = np.ones(n, np.int64)
+    out[more] = counts
+    return np.frombuffer(bag, np.uint64, n, 8), out
+
+
 def bag_table(rows: DataFrame) -> DataFrame:
-    """``_row`` and ``bag``: hashes, then counts, 8 bytes each."""
+    """``_row`` and ``bag``, packed."""
 
     def run(batches):
         bags = Bags()
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                h, c = bags.bag(tokens(text))
-                out.append(h.tobytes() + c.astype(np.int64).tobytes())
+                out.append(packed(*bags.bag(tokens(text))))
             yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(out, pa.binary())], names=[ROW, "bag"])
 
     return rows.select(ROW, or_empty("text").alias("text")).mapInArrow(run, f"{ROW} bigint, bag binary")
@@ -168,7 +182,7 @@ def bag_table(rows: DataFrame) -> DataFrame:
 
 def similarity(a: bytes, b: bytes) -> float:
     """Sum of minima over sum of maxima."""
-    (ha, ca), (hb, cb) = (np.split(np.frombuffer(x, np.uint64), 2) for x in (a, b))
+    (ha, ca), (hb, cb) = unpacked(a), unpacked(b)
     _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     common = int(np.minimum(ca[ia], cb[ib]).sum())
     total = int(ca.sum() + cb.sum()) - common
