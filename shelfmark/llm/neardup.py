@@ -192,10 +192,28 @@ def similarity(a: bytes, b: bytes) -> float:
 def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """The pairs ``(pivot, member)`` that are similar enough.
 
-    Each pivot's bag is sent once for every ``PER_PIVOT`` of its members, ahead of them in
-    sort order, so a task holds one pivot's bag and streams the members past it.
+    Bags meet where the pivots' bags lie, so those of members move twice and those of pivots once.
+    The bag of a pivot with more than ``PER_PIVOT`` members is sent once for every so many of them, ahead
+    of them in sort order, so a task holds that one bag and streams the members past it.
     """
-    load = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / PER_PIVOT).cast("int"))
+    load = stored(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PER_PIVOT), "pivot-loads")
+    # Both reads of the bags are one exchange: they are alike up to the join.
+    held = bags.select(ROW, "bag")
+    few = pairs.join(load, "pivot", "left_anti")
+    sent = few.join(held, few["member"] == held[ROW]).select("pivot", "member", F.col("bag").alias("other"))
+    met = sent.join(held, sent["pivot"] == held[ROW]).select("pivot", "member", "other", "bag")
+
+    def compare(batches):
+        for batch in batches:
+            keep = [i for i, (a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bag", "other")))) if similarity(a, b) >= least]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("pivot", "member")], names=["pivot", "member"])
+
+    found = met.mapInArrow(compare, "pivot bigint, member bigint")
+    return found if load.isEmpty() else found.unionByName(_past_pivots(pairs, load, bags, least))
+
+
+def _past_pivots(pairs: DataFrame, load: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    load = load.withColumn("shares", F.ceil(F.col("n") / PER_PIVOT).cast("int"))
     share = F.pmod(F.xxhash64("member"), F.col("shares")).cast("int")
     members = (
         pairs.join(load.select("pivot", "shares"), "pivot")
@@ -254,6 +272,7 @@ def blocked(members: DataFrame, signatures: DataFrame, *carried: str) -> DataFra
     block pair ``(i, j)`` that a member takes part in. A bucket is cut into blocks of about
     ``BLOCK`` members by a hash, so the largest bucket is spread over many groups of rows."""
     blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    signatures = only(signatures, members.select(F.col("node").alias(ROW)).distinct())
     rows = (
         members.join(signatures.select(F.col(ROW).alias("node"), *carried), "node")
         .join(blocks, "bucket")
@@ -378,11 +397,16 @@ def links_in_blocks(members: DataFrame, signatures: DataFrame, rows: DataFrame,
     return by_block(met).mapInArrow(compare, "pivot bigint, member bigint").distinct()
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows named by ``ids(_row)``; up to ``SENT_IDS`` ids are sent, so that the rows stay where they are."""
+    ids = stored(ids, "row-ids")
+    wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return rows.join(wanted, ROW, "left_semi")
+
+
 def bags_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The bags of the documents named by ``ids(_row)``, read from their whole texts."""
-    ids = stored(ids, "bag-ids")
-    wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    return stored(bag_table(rows.join(wanted, ROW, "left_semi")), "bags")
+    return stored(bag_table(only(rows, ids)), "bags")
 
 
 def near_links(signatures: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -410,9 +434,10 @@ def classes(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sigs = stored(signed(rows), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     worded = sigs.filter("weight > 0")
-    texts = stored(worded.groupBy("digest").agg(F.min(ROW).alias(ROW), F.min(first).alias("first")), "texts")
-    reps = worded.join(texts.select(ROW), ROW, "left_semi").select(ROW, "weight", "keys", "marks")
-    labels = near_links(reps, rows, least).select(F.col("node").alias(ROW), "label")
+    # The signature of a text moves once, with the fold; copies are folded before they move.
+    signature = F.min_by(F.struct(ROW, "weight", "keys", "marks"), ROW).alias("s")
+    texts = stored(worded.groupBy("digest").agg(signature, F.min(first).alias("first")).select("digest", "first", "s.*"), "texts")
+    labels = near_links(texts.select(ROW, "weight", "keys", "marks"), rows, least).select(F.col("node").alias(ROW), "label")
     grouped = texts.join(labels, ROW, "left").withColumn("label", F.coalesce("label", F.col(ROW)))
     heads = grouped.groupBy("label").agg(F.min("first").alias("head"))
     of_text = grouped.select("digest", "label").join(heads, "label").select("digest", "head")
