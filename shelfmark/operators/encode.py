@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
-from shelfmark.functions import vectors as V
 from shelfmark.functions.parsing import is_blank
 from shelfmark.session import spread
 
 BATCH_ROWS = 100
+#: Words whose buckets a task remembers.
+VOCABULARY = 1_000_000
 
 
 def bucket(word: Column, dim: int) -> Column:
@@ -24,17 +28,40 @@ def bucket(word: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
+def word_buckets(dim: int) -> Callable[[str], int]:
+    """``bucket`` for the words of a task, which mostly come again."""
+    known: dict[str, int] = {}
+
+    def of(word: str) -> int:
+        if word not in known:
+            if len(known) >= VOCABULARY:
+                known.clear()
+            known[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dim
+        return known[word]
+
+    return of
+
+
 def encode_text_hashed(df: DataFrame, column: str, dim: int = 256) -> DataFrame:
-    """(pid, embedding): unit vectors of word counts per hash bucket. Blank text has none.
-
-    Counting is by (pid, bucket), summed before the shuffle, so a long text is no
-    heavier than a short one.
-    """
-    rows = spread(df.select("pid", column), "pid")
-    hits = rows.select("pid", X.rows_of(X.words(F.col(column))).alias("_w")).filter(F.col("_w").isNotNull()).select("pid", bucket(F.col("_w"), dim).alias("b"))
-    counts = hits.groupBy("pid", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    sparse = counts.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    return sparse.select("pid", V.let(V.dense(F.col("m"), dim), V.l2_normalize).alias("embedding"))
+    """(pid, embedding): unit vectors of word counts per hash bucket, a row per text; a text without
+    words has none. A text is one row, so it is counted where it lies and nothing is shuffled."""
+    out = T.StructType([df.schema["pid"], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, of = re.compile(X.WORD).findall, word_buckets(dim)
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = find(text or "")
+                if words:
+                    n = np.bincount([of(w) for w in words], minlength=dim).astype(np.float64)
+                    at.append(i)
+                    rows.append(n / np.sqrt((n * n).sum()))
+            flat = pa.array(np.concatenate(rows) if rows else np.zeros(0))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * len(rows) + 1, dim), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), lists], names=out.names)
+
+    return spread(df.select("pid", column), "pid").select("pid", F.lower(column).alias("text")).mapInArrow(run, out)
 
 
 class Encoder(Protocol):

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
-from shelfmark.functions import vectors as V
 from shelfmark.functions.text import STOPWORDS
-from shelfmark.operators.encode import bucket
+from shelfmark.operators.encode import bucket, word_buckets
 from shelfmark.session import spread
 
 # The words and patterns of each tag family.
@@ -56,7 +58,7 @@ def top_ngrams(
     df: DataFrame, column: str, n_range: tuple[int, int] = (1, 1), k: int = 20, stopwords: Sequence[str] = STOPWORDS
 ) -> DataFrame:
     """The k most frequent n-grams for n in the range; equal counts go by text."""
-    lists = spread(df.select(column), column).select(corpus_words(F.col(column), stopwords).alias("_w"))
+    lists = spread(df.select(column)).select(corpus_words(F.col(column), stopwords).alias("_w"))
     grams = F.concat(*[X.ngrams(F.col("_w"), n) for n in range(n_range[0], n_range[1] + 1)])
     rows = lists.select(X.rows_of(grams).alias("_g")).filter(F.col("_g").isNotNull())
     counts = rows.groupBy(F.array_join("_g", " ").alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
@@ -86,13 +88,12 @@ def combined_info(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return df.withColumn("CombinedInfo", F.concat_ws(", ", *parts))
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
-
-
-def sample_by_id(df: DataFrame, ident: str, percent: int) -> DataFrame:
-    """A repeatable sample: a digest of the id decides, whatever the partitioning."""
-    return df.filter(F.pmod(bucket(F.col(ident).cast("string"), 100), F.lit(100)) < percent)
+def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, ident: str | None = None) -> DataFrame:
+    """About ``fraction`` of the rows. With ``ident`` a digest of that column decides, in steps of
+    one in 10,000, so the sample is the same whatever the partitioning."""
+    if ident is None:
+        return df.sample(fraction=fraction, seed=seed)
+    return df.filter(bucket(F.col(ident).cast("string"), 10_000) < round(fraction * 10_000))
 
 
 def keyword_extract(
@@ -100,45 +101,49 @@ def keyword_extract(
 ) -> DataFrame:
     """The k candidate n-grams closest to their document, by cosine of hashed word counts.
 
-    Texts are hashed by pid once; counting words per (pid, bucket), building the dense
-    document vector and joining it back all happen in that partitioning.
-    Candidates are scored inside their document's row and only k of them leave it.
+    A document is one row, so it is counted and its candidates are scored where it lies, all n-grams
+    of one length at once; only k of them leave the row. Ids have to be unique.
     """
-    rows = spread(docs.select("pid", "document"), "pid")
-    tokens = rows.select("pid", corpus_words(F.col("document"), stopwords).alias("w"))
-    hashed = tokens.select("pid", F.transform("w", lambda w: F.struct(w.alias("w"), bucket(w, dim).alias("b"))).alias("t"))
-    counts = hashed.select("pid", X.rows_of("t.b").alias("b")).filter(F.col("b").isNotNull()).groupBy("pid", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    sparse = counts.groupBy("pid").agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"),
-        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"),
-    )
-    dense = sparse.select(
-        "pid", "length", V.dense(F.col("m"), dim).alias("v")
-    )
-    both = hashed.join(dense, "pid")
-    def fold(kept: Column, n: int) -> Column:
-        """Put the n-grams into the k best so far. Most are worse than the last one kept
-        and cost one score; only the others become text and are merged in."""
-
-        def step(best: Column, i: Column) -> Column:
-            gram = [F.get("t", i + j) for j in range(n)]
-            dot = reduce(Column.__add__, [F.get("v", t["b"]) for t in gram])
+    stops = frozenset(stopwords)
+    out = T.StructType([docs.schema["pid"], T.StructField("rank", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def best(words: list[str], buckets: np.ndarray) -> list[tuple[float, str]]:
+        counts = np.bincount(buckets, minlength=dim).astype(np.float64)
+        length, weight = np.sqrt((counts * counts).sum()), counts[buckets]
+        scores, sizes = [], []
+        for n in range(n_range[0], min(n_range[1], len(words)) + 1):
+            last = len(words) - n + 1
+            dot = sum(weight[j : last + j] for j in range(n))
             # Words that share a bucket add up before squaring.
-            shared = [(a["b"] == b["b"]).cast("int") * 2 for a, b in combinations(gram, 2)]
-            own = reduce(Column.__add__, shared, F.lit(n))
-            minus = -F.round(dot / (F.sqrt(own) * F.col("length")), 6)
-            entry = F.struct(minus.alias("minus"), F.concat_ws(" ", *[t["w"] for t in gram]).alias("keyword"))
-            merged = F.slice(F.array_sort(F.array_distinct(F.concat(best, F.array(entry)))), 1, k)
-            # The k-th entry is NULL until there are k.
-            return F.when(minus > F.get(best, F.lit(k - 1))["minus"], best).otherwise(merged)
-
-        last = F.size("t") - n
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(starts, kept, step)
-
-    best = F.array().cast("array<struct<minus: double, keyword: string>>")
-    for n in range(n_range[0], n_range[1] + 1):
-        best = fold(best, n)
-    return both.select("pid", F.posexplode(best).alias("at", "best")).select(
-        "pid", (F.col("at") + 1).alias("rank"), F.col("best.keyword").alias("keyword"), (-F.col("best.minus")).alias("score")
-    )
+            shared = sum(((buckets[a : last + a] == buckets[b : last + b]) * 2 for a, b in combinations(range(n), 2)), np.zeros(last, np.int64))
+            scores.append(np.round(dot / (np.sqrt(n + shared) * length), 6))
+            sizes.append(np.full(last, n))
+        if not scores:
+            return []
+        score, size, at = np.concatenate(scores), np.concatenate(sizes), np.concatenate([np.arange(len(s)) for s in scores])
+        order = np.argsort(-score, kind="stable")
+        found: set[tuple[float, str]] = set()
+        for value, start, n in zip(score[order].tolist(), at[order].tolist(), size[order].tolist()):
+            if len(found) >= k and value < last_kept:
+                break
+            found.add((-value, " ".join(words[start : start + n])))
+            last_kept = value
+        return sorted(found)[:k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, find, of = re.compile("[^a-z \\t\\n\\x0b\\f\\r]"), re.compile("[a-z]{2,}").findall, word_buckets(dim)
+        for batch in batches:
+            at, ranks, keywords, scores = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = [w for w in find(letters.sub("", text or "")) if w not in stops]
+                if words:
+                    for rank, (minus, keyword) in enumerate(best(words, np.array([of(w) for w in words])), 1):
+                        at.append(i)
+                        ranks.append(rank)
+                        keywords.append(keyword)
+                        scores.append(-minus)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ranks, pa.int32()), pa.array(keywords, pa.string()), pa.array(scores, pa.float64())], names=out.names
+            )
+
+    return spread(docs.select("pid", "document"), "pid").select("pid", F.lower("document").alias("document")).mapInArrow(run, out)

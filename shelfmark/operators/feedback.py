@@ -39,7 +39,11 @@ def feedback_fold(events: DataFrame, rows_per_fold: int) -> DataFrame:
     A longer session goes on in further rows with the next ``fold`` number, from 0, so
     that no row and no task has to hold a session without bound. Nothing is dropped.
     """
-    placed = feedback_entries(events)
+    return fold_entries(feedback_entries(events), rows_per_fold)
+
+
+def fold_entries(placed: DataFrame, rows_per_fold: int) -> DataFrame:
+    """Entries ``session_id, pos, pid, feedback`` as arrays."""
     fold = F.floor((F.col("pos") - 1) / rows_per_fold).cast("int")
     lists = placed.groupBy("session_id", fold.alias("fold")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "pid", "feedback"))).alias("_l")

@@ -56,7 +56,7 @@ def feedback_stream(spark, sf_dir):
     log, state = scratch_path(spark, "feedback-log"), scratch_path(spark, "feedback-state")
     source = streams.file_stream(spark, sf_dir, schema, "events.parquet")
     streams.feedback_stream(shaped(source), log, state).awaitTermination()
-    return as_text(ops.feedback_fold(streams.read_feedback_log(spark, log), FOLD_ROWS))
+    return as_text(ops.fold_entries(streams.logged_entries(spark, log), FOLD_ROWS))
 
 
 @query("feedback_late", f"WITH {RATED}, {FOLDED} SELECT session_id, fold, feedback, n FROM folded")
@@ -71,7 +71,7 @@ def feedback_late(spark, sf_dir):
         events.filter(part).write.mode("append").parquet(folder)
     source = streams.file_stream(spark, folder, events.schema, "*.parquet", files_per_batch=2)
     streams.feedback_stream(shaped(source), log, state).awaitTermination()
-    return as_text(ops.feedback_fold(streams.read_feedback_log(spark, log), FOLD_ROWS))
+    return as_text(ops.fold_entries(streams.logged_entries(spark, log), FOLD_ROWS))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators import hybrid, rerank, textsearch
@@ -190,6 +191,30 @@ def rerank_rules(spark, sf_dir):
     return rerank.rerank_rules(asked).select("query_id", "pid", "keyword_hits", "brand_hit", "price_ok")
 
 
+RULED = """WITH r AS (SELECT p.p_partkey AS pid, p_name AS name, p_brand AS brand, p_retailprice AS price, l_orderkey AS query_id,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rank,
+        concat('cheap ', CASE WHEN l_orderkey % 3 = 0 THEN lower(p_brand) ELSE '' END, ' ring', CASE WHEN l_orderkey % 2 = 0 THEN concat(' under $', CAST(l_orderkey % 700 + 900 AS VARCHAR)) ELSE '' END) AS q
+      FROM lineitem JOIN part p ON l_partkey = p.p_partkey),
+    s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(q, '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')))) AS hits,
+      contains(q, lower(brand)) AS brand_hit, coalesce(price < TRY_CAST(regexp_extract(q, 'under \\$?([0-9]+)', 1) AS DOUBLE), true) AS price_ok, rank <= 5 AS shown FROM r),
+    t AS (SELECT *, rank + rank() OVER (PARTITION BY query_id, shown ORDER BY hits DESC) + rank() OVER (PARTITION BY query_id, shown ORDER BY brand_hit DESC)
+      + rank() OVER (PARTITION BY query_id, shown ORDER BY price_ok DESC) AS total FROM s)
+    SELECT query_id, pid, CAST(rank AS INTEGER) AS rank,
+      CAST(CASE WHEN shown THEN row_number() OVER (PARTITION BY query_id, shown ORDER BY total, rank) ELSE rank END AS INTEGER) AS new_rank FROM t"""
+
+
+@query("rerank_by_rules", RULED)
+def rerank_by_rules(spark, sf_dir):
+    """The lines of an order as the results of a query; the first five are put in order."""
+    goods = products(spark, sf_dir).select("pid", "name", "brand", "price")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("pid"), F.col("l_linenumber").alias("at"))
+    asked = lines.join(goods, "pid").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "pid")))
+    brand = F.when(F.col("query_id") % 3 == 0, F.lower("brand")).otherwise("")
+    limit = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit(" under $"), (F.col("query_id") % 700 + 900).cast("string"))).otherwise("")
+    asked = asked.withColumn("query_text", F.concat(F.lit("cheap "), brand, F.lit(" ring"), limit))
+    return rerank.rerank_by_rules(asked, 5).select("query_id", "pid", "rank", "new_rank")
+
+
 @query(
     "retrieve_by_modality",
 )

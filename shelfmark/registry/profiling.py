@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import enrich, profile
 from shelfmark.registry.base import RAW, STOP_LIST, documents, query, raw_products, table
+from shelfmark.session import staged
 
 WITH_RAW = f"WITH raw AS ({RAW})"
 PROFILED = ["Name", "Category", "Brand", "Manufacturer", "Color", "Gender", "Size"]
@@ -29,6 +30,15 @@ def distinct_counts(spark, sf_dir):
     return profile.distinct_counts(raw_products(spark, sf_dir), PROFILED)
 
 
+@query("distinct_sketches", " UNION ALL ".join(f"SELECT '{c}' AS column_name, true AS within" for c in PROFILED))
+def distinct_sketches(spark, sf_dir):
+    """Sketches of each currency's rows, united: within three standard errors of the exact counts."""
+    raw = raw_products(spark, sf_dir)
+    sketches = staged(profile.distinct_sketches(raw, PROFILED, ["PriceCurrency"]), "sketches")
+    both = profile.sketched_counts(sketches).join(profile.distinct_counts(raw, PROFILED), "column_name")
+    return both.select("column_name", (F.abs(F.col("estimate") - F.col("n_distinct")) <= 3 * F.col("error") * F.col("n_distinct")).alias("within"))
+
+
 @query("value_share", f"{WITH_RAW} SELECT Brand AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM raw), 6) AS share FROM raw GROUP BY 1")
 def value_share(spark, sf_dir):
     return profile.value_share(raw_products(spark, sf_dir), "Brand").withColumn("share", F.round("share", 6))
@@ -150,9 +160,9 @@ def combined_info(spark, sf_dir):
     return enrich.combined_info(tagged, fields).select("row_no", "CombinedInfo")
 
 
-@query("sample_fraction", "SELECT o_orderkey, o_totalprice FROM orders WHERE (('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7))::BIGINT) % 100 < 10")
+@query("sample_fraction", "SELECT o_orderkey, o_totalprice FROM orders WHERE (('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7))::BIGINT) % 10000 < 1000")
 def sample_fraction(spark, sf_dir):
-    return enrich.sample_by_id(table(spark, sf_dir, "orders"), "o_orderkey", 10).select("o_orderkey", "o_totalprice")
+    return enrich.sample_fraction(table(spark, sf_dir, "orders"), 0.1, ident="o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 KEYWORD_DIM = 64

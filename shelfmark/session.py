@@ -74,11 +74,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Give CPU-heavy row work all cores when a scan has fewer partitions than there are task
-    slots (a small or badly split table). Wider inputs stay as they are, with no shuffle."""
+    slots (a small or badly split table). Wider inputs stay as they are, with no shuffle. Rows
+    go by ``key``, an id, or in turn."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots) if key is None else df.repartition(slots, key)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

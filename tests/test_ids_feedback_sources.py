@@ -1,4 +1,6 @@
 import io
+import time
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -92,6 +94,57 @@ def test_feedback_stream_over_several_batches(spark, tmp_path):
     assert got == feedback.feedback_fold(rows, 1000).first()["feedback"]
 
 
+def by_session(df):
+    return sorted(tuple(r) for r in df.select("session_id", "pos", "pid", "feedback").collect())
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2, 1)])
+def test_deliveries_in_any_order(spark, tmp_path, order):
+    """The stream gives the batch fold, and its state is a row per session, however many entries there are."""
+    source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    rows = events(spark, 95)
+    cuts = ["event_id < 30", "event_id >= 30 AND event_id < 60", "event_id >= 60"]
+    for i in order:
+        rows.filter(cuts[i]).coalesce(1).write.mode("append").parquet(source)
+        query = streams.feedback_stream(streams.file_stream(spark, source, rows.schema, "*.parquet"), log, state)
+        query.awaitTermination()
+        held = sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"])
+        assert held <= rows.select("session_id").distinct().count()
+    assert by_session(streams.logged_entries(spark, log)) == by_session(feedback.feedback_entries(rows))
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    rows = events(spark, 40)
+    rows.filter("event_id < 20").coalesce(1).write.parquet(source)
+    stream = streams.file_stream(spark, source, rows.schema, "*.parquet")
+    query = streams.feedback_stream(stream, log, state, idle=timedelta(seconds=1), every="1 second")
+
+    def until(reached):
+        end = time.time() + 40
+        while not reached():
+            assert query.isActive and time.time() < end, query.exception()
+            time.sleep(0.5)
+
+    def logged(n):
+        found = list((tmp_path / "log").glob("*/_SUCCESS"))
+        return bool(found) and spark.read.parquet(log).count() == n
+
+    def states():
+        return [s["numRowsTotal"] for s in query.lastProgress["stateOperators"]]
+
+    try:
+        until(lambda: logged(20))
+        until(lambda: states() == [0])
+        rows.filter("event_id >= 20").coalesce(1).write.mode("append").parquet(source)
+        until(lambda: logged(40))
+    finally:
+        query.stop()
+    segments = spark.read.parquet(log).filter("opens").groupBy("session_id").count()
+    assert segments.agg({"count": "max"}).first()[0] == 2
+    assert by_session(streams.logged_entries(spark, log)) == by_session(feedback.feedback_entries(rows))
+
+
 def test_search_log(spark, tmp_path):
     source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
     spark.createDataFrame([("s", "red chair", None), (None, "lamp", None)], "session_id string, query_text string, timestamp timestamp").write.parquet(source)
@@ -145,3 +198,29 @@ def test_csv(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first()["n"] == " a "
     with pytest.raises(ValueError):
         products.write_clean_products(clean, str(tmp_path / "x"), "xml")
+
+
+def test_csv_of_another_column_order_is_an_error(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Pid,Name\n1,one\n")
+    (folder / "b.csv").write_text("Pid,Name\n2,two\n")
+    assert {(r["Pid"], r["Name"]) for r in products.scan_products_csv(spark, str(folder)).collect()} == {("1", "one"), ("2", "two")}
+    (folder / "b.csv").write_text("Name,Pid\ntwo,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        products.scan_products_csv(spark, str(folder)).collect()
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    good = spark.createDataFrame([("b", 1), ("a", 2)], "Pid string, n int")
+    bad = good.withColumn("n", F.when(F.col("Pid") == "a", F.raise_error(F.lit("broken row")).cast("int")).otherwise(F.col("n")))
+    for write in (products.write_clean_products, products.product_table_write, products.summary_write):
+        path = str(tmp_path / write.__name__)
+        write(good, path)
+        with pytest.raises(Exception, match="broken row"):
+            write(bad, path)
+        again = (lambda: spark.read.csv(path, header=True)) if write is products.summary_write else (lambda: spark.read.parquet(path))
+        assert sorted(r["Pid"] for r in again().collect()) == ["a", "b"]
+        write(good.filter("Pid = 'a'"), path)
+        assert [r["Pid"] for r in again().collect()] == ["a"]
+        assert [p.name for p in tmp_path.iterdir() if p.name.startswith(write.__name__)] == [write.__name__]

@@ -133,3 +133,17 @@ def test_whole_flow(spark, data, tmp_path):
     ]
     recall = evaluation.run_benchmark(asked, catalog, configs, 40).collect()
     assert {r["config"] for r in recall} == {"text", "exact"} and all(0 <= r["recall"] <= 1 for r in recall)
+
+
+def test_order_from_the_hints(spark):
+    rows = [
+        (1, 1, "plain chair", "Acme", 50.0), (1, 2, "red lamp", "Lumo", 90.0), (1, 3, "red lamp shade", "Acme", 20.0), (1, 4, "red lamp", "Lumo", 10.0),
+        (2, 1, "b", "x", 1.0), (2, 2, "a", "y", None),
+    ]
+    df = spark.createDataFrame(rows, "query_id int, rank int, name string, brand string, price double")
+    df = df.withColumn("query_text", F.when(F.col("query_id") == 1, "red lamp by lumo under $60").otherwise("nothing"))
+    got = {(r.query_id, r.rank): r.new_rank for r in rerank.rerank_by_rules(df).collect()}
+    # Places by words 4 1 1 1, brand 3 1 3 1, price 1 4 1 1 and rank: 9, 8, 8, 7.
+    assert got == {(1, 1): 4, (1, 2): 2, (1, 3): 3, (1, 4): 1, (2, 1): 1, (2, 2): 2}
+    got = {(r.query_id, r.rank): r.new_rank for r in rerank.rerank_by_rules(df, 2).collect()}
+    assert (got[1, 3], got[1, 4]) == (3, 4)  # beyond the window

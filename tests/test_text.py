@@ -1,11 +1,14 @@
+import hashlib
 import itertools
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import STOPWORDS, stem
-from shelfmark.operators import enrich
+from shelfmark.operators import encode, enrich, profile
 from shelfmark.operators import textsearch as ops
 
 
@@ -93,6 +96,41 @@ def test_tags(spark):
 
 def test_samples(spark):
     df = spark.range(2000).withColumnRenamed("id", "pid")
-    a = {r[0] for r in enrich.sample_by_id(df, "pid", 10).collect()}
-    assert a == {r[0] for r in enrich.sample_by_id(df.repartition(7), "pid", 10).collect()} and 120 < len(a) < 280
+    a = {r[0] for r in enrich.sample_fraction(df, 0.1, ident="pid").collect()}
+    assert a == {r[0] for r in enrich.sample_fraction(df.repartition(7), 0.1, ident="pid").collect()} and 120 < len(a) < 280
     assert 100 < enrich.sample_fraction(df, 0.1).count() < 300
+
+
+def test_keywords_and_encoding_against_plain_counts(spark):
+    rng = random.Random(1)
+    words = ["red", "lamp", "wood", "desk", "the", "soft", "chair", "x", "oak"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 14)))) for i in range(40)] + [(98, None), (99, "!! 7")]
+    df = spark.createDataFrame(docs, "pid long, document string")
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 5
+    got = {}
+    for r in enrich.keyword_extract(df, 3, (1, 2), 5).orderBy("pid", "rank").collect():
+        got.setdefault(r.pid, []).append((r.keyword, r.score))
+    vectors = {r.pid: r.embedding for r in encode.encode_text(df, "document", dim=5).collect()}
+    for pid, text in docs:
+        all_words = re.findall("[a-z0-9]+", text or "")
+        counts = [sum(bucket(w) == b for w in all_words) for b in range(5)]
+        length = math.sqrt(sum(c * c for c in counts))
+        assert vectors.get(pid) == (None if not all_words else pytest.approx([c / length for c in counts]))
+        kept = [w for w in re.findall("[a-z]{2,}", text or "") if w != "the"]
+        v = [sum(bucket(w) == b for w in kept) for b in range(5)]
+        scored = set()
+        for n in (1, 2):
+            for i in range(len(kept) - n + 1):
+                g = [sum(bucket(w) == b for w in kept[i : i + n]) for b in range(5)]
+                score = sum(a * b for a, b in zip(g, v)) / math.sqrt(sum(a * a for a in g) * sum(b * b for b in v))
+                scored.add((-round(score, 6), " ".join(kept[i : i + n])))
+        assert got.get(pid, []) == [(w, pytest.approx(-s)) for s, w in sorted(scored)[:3]]
+
+
+def test_sketches_of_parts_are_united(spark):
+    df = spark.range(40_000).selectExpr("id % 7 AS part", "id % 9000 AS a", "CAST(id AS STRING) AS b", "CAST(NULL AS INT) AS c")
+    parts = profile.distinct_sketches(df.filter("part < 3"), ["a", "b", "c"], ["part"])
+    rest = profile.distinct_sketches(df.filter("part >= 3"), ["a", "b", "c"], ["part"])
+    got = {r.column_name: (r.estimate, r.error) for r in profile.sketched_counts(parts.unionByName(rest)).collect()}
+    for column, exact in (("a", 9000), ("b", 40_000), ("c", 0)):
+        assert abs(got[column][0] - exact) <= 4 * got[column][1] * exact
