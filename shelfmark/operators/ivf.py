@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import vectors as V
-from shelfmark.functions.ranking import normalize_top, top_k
+from shelfmark.functions.ranking import global_index, normalize_top, top_k
 from shelfmark.operators.nearest import DEFAULT_BLOCKS, BlockSizes, collect_bounded, matrix, nearest
 from shelfmark.schema import SCORE_DECIMALS
-from shelfmark.session import pinned
+from shelfmark.session import pinned, staged
 
 MIN_ROWS_PER_CELL = 10
 # Beyond these bounds centroids are matched in blocks instead of travelling to the rows.
@@ -48,6 +48,53 @@ def ivf_train(vectors: DataFrame, nlist: int, seed: int = 42, iterations: int =
     return vectors.sparkSession.createDataFrame(rows, "nlist int, cell int, centroid array<double>")
 
 
+def _spread_out(rows: DataFrame, seed: int) -> DataFrame:
+    """``_mix``: an order of the ids that is the same on every run."""
+    return rows.withColumn("_mix", F.xxhash64("pid", F.lit(seed)))
+
+
+def _means(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Lloyd's step: ``assigned(cell, embedding)`` gives each cell its mean, of length 1; a cell that has
+    no rows, or whose mean is zero, keeps its place."""
+    mean = Summarizer.mean(array_to_vector(V.as_double(F.col("embedding"))))
+    new = assigned.groupBy("cell").agg(mean.alias("_m")).select("cell", V.l2_normalize(vector_to_array("_m")).alias("_new"))
+    moved = centroids.join(new, "cell", "left").withColumn("centroid", F.coalesce("_new", "centroid"))
+    return staged(moved.select(*centroids.columns), "centroids")
+
+
+def ivf_train_two_level(vectors: DataFrame, nlist: int, seed: int = 42, iterations: int = 5, groups: int | None = None) -> DataFrame:
+    """Spherical k-means for more cells than a driver should hold: all centres are tables.
+
+    The vectors are split into about sqrt(nlist) groups by a first k-means, and each group gets
+    cells in proportion to its vectors. A vector then meets the centres of its own group only, in
+    blocks of bounded size, so a round costs n * sqrt(nlist) products instead of n * nlist, and a
+    large group is more blocks. The first centres are vectors in the order of a hash of their id.
+    NULL and zero vectors do not train; ids may be repeated.
+    """
+    unit = vectors.select("pid", V.l2_normalize(F.col("embedding")).alias("embedding")).filter(F.col("embedding").isNotNull())
+    rows = staged(_spread_out(unit, seed).withColumn("_row", F.monotonically_increasing_id()), "train")
+    check_training_size(rows.count(), nlist)
+    n_groups = groups or max(1, round(nlist**0.5))
+    by_hash = rows.select("_mix", "_row", F.col("embedding").alias("centroid"))
+    upper = global_index(by_hash.orderBy("_mix", "_row").limit(n_groups), ["_mix", "_row"], "_n")
+    upper = staged(upper.select(F.lit(n_groups).alias("nlist"), F.col("_n").cast("int").alias("cell"), "centroid"), "groups")
+    for _ in range(iterations):
+        upper = _means(best_cells(rows.select("_row", "embedding"), upper, 1), upper)
+    grouped = best_cells(rows.select("_row", "_mix", "embedding"), upper, 1).select("_row", "_mix", "embedding", F.col("cell").alias("_group"))
+    grouped = staged(grouped, "grouped")
+    # One centre for each group that has vectors, the rest in the order of the hash.
+    first = grouped.groupBy("_group").agg(F.min(F.struct("_mix", "_row")).alias("_f")).select(F.col("_f._row").alias("_row"), F.lit(0).alias("_turn"))
+    seeds = grouped.join(first, "_row", "left").withColumn("_turn", F.coalesce("_turn", F.lit(1))).orderBy("_turn", "_mix", "_row").limit(nlist)
+    cells = global_index(seeds, ["_turn", "_mix", "_row"], "_n").select(F.col("_n").cast("int").alias("cell"), "_group", F.col("embedding").alias("centroid"))
+    cells = staged(cells, "centroids")
+    probes = grouped.select(F.col("_row").alias("query_id"), "embedding", F.col("_group").alias("cell"))
+    for _ in range(iterations):
+        own = cells.select(F.col("cell").alias("pid"), F.col("centroid").alias("embedding"), F.col("_group").alias("cell"))
+        best = nearest(own, probes, 1, "ip", cell="cell").select(F.col("query_id").alias("_row"), F.col("pid").alias("cell"))
+        cells = _means(grouped.select("_row", "embedding").join(best, "_row"), cells)
+    return cells.select(F.lit(nlist).alias("nlist"), "cell", "centroid")
+
+
 def ivf_seed(vectors: DataFrame, stratum: str, per_stratum: int) -> DataFrame:
     """Centroids without training: the first vectors of each stratum, by id. Repeatable,
     and a start for ``ivf_refine``."""

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
 from shelfmark.functions.ranking import normalize_top, top_k
+from shelfmark.functions.stemming import english_stem
 from shelfmark.functions.text import STOPWORDS
 from shelfmark.session import spread
 
@@ -25,22 +26,28 @@ BATCH_POSTINGS = 100_000
 SENT_TERMS = 200_000
 
 
-def _terms(stops: frozenset[str], stemming: bool, only: frozenset[str] | None) -> Callable[[str], str | None]:
-    """The term of a word, None for stopwords and terms that are not wanted."""
+#: How words become terms: not at all, without plural endings, by the English stemmer.
+STEMMERS = {False: str, True: X.stem_word, "english": english_stem}
+
+
+def _terms(stops: frozenset[str], stemming: bool | str, only: frozenset[str] | None) -> Callable[[str], str | None]:
+    """The term of a word, None for stopwords and terms that are not wanted. Words come again, so each
+    is stemmed about once in a task."""
     known: dict[str, str | None] = {}
+    stem = STEMMERS[stemming]
 
     def term_of(word: str) -> str | None:
         if word not in known:
             if len(known) >= VOCABULARY:
                 known.clear()
-            term = None if word in stops else X.stem_word(word) if stemming else word
+            term = None if word in stops else stem(word)
             known[word] = term if only is None or term in only else None
         return known[word]
 
     return term_of
 
 
-def document_counts(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
+def document_counts(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool | str = True) -> DataFrame:
     """``term, df`` of ``docs(document)`` without making postings: counted in the tasks, then added up."""
     stops = frozenset(stopwords)
 
@@ -64,7 +71,7 @@ def document_counts(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemm
 
 
 def text_index(
-    docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True, unique_ids: bool = True, carry: Sequence[str] = (), only: frozenset[str] | None = None
+    docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool | str = True, unique_ids: bool = True, carry: Sequence[str] = (), only: frozenset[str] | None = None
 ) -> DataFrame:
     """Postings ``term, pid, *carry, tf, positions`` of ``docs(pid, document)``. Positions start
     at 1 and count stopwords too. A document is one row, so its postings are made where it
@@ -128,12 +135,37 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def parse_queries(queries: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
+def parse_queries(queries: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool | str = True) -> DataFrame:
     """(query_id, terms, n_terms); a query without terms matches nothing and is left out."""
-    parsed = queries.select("query_id", X.query_terms(F.col("text"), stopwords, stemming).alias("terms"))
+    if stemming == "english":
+        parsed = _stemmed(queries.select("query_id", X.query_terms(F.col("text"), stopwords, False).alias("terms")))
+    else:
+        parsed = queries.select("query_id", X.query_terms(F.col("text"), stopwords, stemming).alias("terms"))
     return parsed.withColumn("n_terms", F.size("terms")).filter(F.col("n_terms") > 0)
 
 
+def _stemmed(rows: DataFrame) -> DataFrame:
+    """The distinct stems of ``terms``, in order of first use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [None if t is None else list(dict.fromkeys(map(english_stem, t))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=rows.columns)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def english_stems(words: DataFrame) -> DataFrame:
+    """``word, stem`` for distinct words, by the English stemmer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if w is None else english_stem(w) for w in found], pa.string())], names=["word", "stem"])
+
+    return words.select("word").mapInArrow(run, "word string, stem string")
+
+
 def _rarest_term(parsed: DataFrame, stats: DataFrame) -> DataFrame:
     """Each query with its rarest term; queries with an unknown term are dropped."""
     terms = parsed.select("query_id", "n_terms", F.explode("terms").alias("term"))

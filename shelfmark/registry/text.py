@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions import stemming
 from shelfmark.functions import text as X
 from shelfmark.operators import textsearch as ops
 from shelfmark.operators import textstore as store
@@ -11,6 +12,7 @@ from shelfmark.registry.base import (
     BENCHMARK,
     DOCUMENTS,
     PRODUCTS,
+    STOP_LIST,
     benchmark,
     documents,
     products,
@@ -46,6 +48,70 @@ def stem_s(spark, sf_dir):
     return found.withColumn("stem", X.stem(F.col("word")))
 
 
+SYLLABLE = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+
+
+def _stem_step(name: str, source: str, endings, rule: str) -> str:
+    """A CTE that takes the longest of the endings as ``e`` off as ``b``, and makes ``w`` by the rule."""
+    return f"""{name} AS (SELECT word, done, r1, r2, {rule} AS w FROM (
+      SELECT *, left(w, len(w) - len(e)) AS b FROM (SELECT *, regexp_extract(w, '({"|".join(sorted(endings, key=len, reverse=True))})$') AS e FROM {source})))"""
+
+
+def english_sql(source: str) -> str:
+    """CTEs from ``source(word)`` to ``stems(word, stem)``: the English stemmer by regular expressions."""
+
+    def replaced(step: dict[str, str]) -> str:
+        return "CASE e " + " ".join(f"WHEN '{e}' THEN b || '{to}'" for e, to in step.items()) + " END"
+
+    region = "coalesce(nullif(len(regexp_extract({0}, '" + SYLLABLE + "')), 0), len({0}))"
+    known = " ".join(f"WHEN '{w}' THEN '{s}'" for w, s in stemming.EXCEPTIONS.items())
+    starts = " ".join(f"WHEN w LIKE '{h}%' THEN {len(h)}" for h in stemming.REGION_STARTS)
+    later = ", ".join(f"'{w}'" for w in sorted(stemming.UNCHANGED_LATER))
+    short_end = "(regexp_matches({0}, '^[aeiouy][^aeiouy]$') OR regexp_matches({0}, '[^aeiouy][aeiouy][^aeiouywxY]$'))"
+    past = f"""CASE WHEN e = '' THEN w WHEN e IN ('eed', 'eedly') THEN CASE WHEN len(b) >= r1 THEN b || 'ee' ELSE w END
+      WHEN NOT regexp_matches(b, '[aeiouy]') THEN w WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e'
+      WHEN regexp_matches(b, '({"|".join(stemming.DOUBLES)})$') THEN left(b, len(b) - 1)
+      WHEN r1 >= len(b) AND {short_end.format('b')} THEN b || 'e' ELSE b END"""
+    li = "".join(sorted(stemming.LI_ENDINGS))
+    two = f"CASE WHEN e = '' OR len(b) < r1 OR (e = 'ogi' AND b NOT LIKE '%l') OR (e = 'li' AND NOT regexp_matches(b, '[{li}]$')) THEN w ELSE {replaced(stemming.STEP_2)} END"
+    three = f"CASE WHEN e = '' OR len(b) < CASE WHEN e = 'ative' THEN r2 ELSE r1 END THEN w ELSE {replaced(stemming.STEP_3)} END"
+    four = "CASE WHEN e = '' OR len(b) < r2 OR (e = 'ion' AND NOT regexp_matches(b, '[st]$')) THEN w ELSE b END"
+    last = f"""CASE WHEN e = 'e' AND (len(b) >= r2 OR (len(b) >= r1 AND NOT {short_end.format('b')})) THEN b
+      WHEN e = 'l' AND b LIKE '%l' AND len(b) >= r2 THEN b ELSE w END"""
+    return f"""s0 AS (SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w,
+      CASE word {known} ELSE CASE WHEN len(word) <= 2 THEN word END END AS done FROM {source}),
+    s1 AS (SELECT *, r1 + {region.format('substr(w, r1 + 1)')} AS r2 FROM (SELECT *, CASE {starts} ELSE {region.format('w')} END AS r1 FROM s0)),
+    s2 AS (SELECT word, r1, r2, w, coalesce(done, CASE WHEN w IN ({later}) THEN w END) AS done FROM (SELECT * REPLACE (CASE WHEN w LIKE '%sses' THEN left(w, len(w) - 2)
+      WHEN regexp_matches(w, 'ie[ds]$') THEN left(w, len(w) - CASE WHEN len(w) > 4 THEN 2 ELSE 1 END) WHEN regexp_matches(w, '(us|ss)$') THEN w
+      WHEN w LIKE '%s' AND regexp_matches(left(w, len(w) - 2), '[aeiouy]') THEN left(w, len(w) - 1) ELSE w END AS w) FROM s1)),
+    {_stem_step('s3', 's2', ('eedly', 'eed', 'edly', 'ed', 'ingly', 'ing'), past)},
+    s4 AS (SELECT * REPLACE (regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i') AS w) FROM s3),
+    {_stem_step('s5', 's4', stemming.STEP_2, two)}, {_stem_step('s6', 's5', stemming.STEP_3, three)}, {_stem_step('s7', 's6', stemming.STEP_4, four)},
+    {_stem_step('s8', 's7', ('e', 'l'), last)},
+    stems AS (SELECT word, coalesce(done, replace(w, 'Y', 'y')) AS stem FROM s8)"""
+
+
+VOCABULARY = "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents)"
+
+
+@query("stem_english", f"WITH {english_sql(VOCABULARY)} SELECT word, stem FROM stems")
+def stem_english(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
+    return ops.english_stems(found)
+
+
+@query(
+    "text_index_english",
+    f"""WITH {english_sql(VOCABULARY)},
+    t AS (SELECT pid, position, w FROM (SELECT doc_id AS pid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w,
+      generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS position FROM documents) WHERE w NOT IN ({STOP_LIST}))
+    SELECT stem AS term, pid, count(*) AS tf, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions FROM t JOIN stems ON word = w GROUP BY 1, 2""",
+)
+def text_index_english(spark, sf_dir):
+    index = ops.text_index(documents(spark, sf_dir), stemming="english")
+    return index.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
 def searched(spark, sf_dir):
     """The postings that the passages ask for, made in one scan of all documents, and the parsed passages."""
     parsed = ops.parse_queries(benchmark(spark, sf_dir))

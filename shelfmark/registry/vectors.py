@@ -18,7 +18,7 @@ from shelfmark.registry.base import (
     vectors,
 )
 from shelfmark.registry.ids import TYPED, typed_embeddings
-from shelfmark.session import pinned, scratch_path
+from shelfmark.session import pinned, scratch_path, staged
 
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 
@@ -256,6 +256,28 @@ def ivf_train(spark, sf_dir):
     )
 
 
+@query(
+    "ivf_train_two_level",
+    f"""WITH {VECTORS} SELECT CAST(count(*) // 20 AS INTEGER) AS nlist, count(*) // 20 AS cells, CAST(min(len(v)) AS INTEGER) AS dim,
+    count(*) // 20 AS unit_centroids, count(*) AS assigned, true AS all_cells_are_exact FROM vectors""",
+)
+def ivf_train_two_level(spark, sf_dir):
+    """A cell for each 20 vectors: what must hold of any training, and that probing all cells finds what a
+    search of all vectors finds."""
+    v, queries = vectors(spark, sf_dir), pinned(name_queries(spark, sf_dir))
+    trained = pinned(ivf.ivf_train_two_level(v, v.count() // 20, iterations=2))
+    posted = staged(ivf.ivf_assign(v, trained), "two-level")
+    assigned = posted.groupBy("nlist", "cell").agg(F.count(F.lit(1)).alias("n"))
+    unit = F.abs(V.norm(F.col("centroid")) - 1) < 1e-6
+    n = trained.count()
+    found = ivf.ivf_search(queries, trained, posted, 10, n).select("query_id", "pid", "rank")
+    exact = nearest(v, queries, 10, "ip").select("query_id", "pid", "rank")
+    same = exact.exceptAll(found).isEmpty() and found.exceptAll(exact).isEmpty()
+    return trained.join(assigned, ["nlist", "cell"], "left").groupBy("nlist").agg(
+        F.count_distinct("cell").alias("cells"), F.min(F.size("centroid")).alias("dim"), F.count_if(unit).alias("unit_centroids"), F.sum(F.coalesce("n", F.lit(0))).alias("assigned")
+    ).withColumn("all_cells_are_exact", F.lit(same))
+
+
 @query("ivf_seed", f"WITH {VECTORS}, {CENTROIDS}, s AS (SELECT cell AS pid, centroid AS v FROM centroids) {exploded_sql('s')}")
 def ivf_seed(spark, sf_dir):
     return exploded(seeds(spark, sf_dir).select(F.col("cell").alias("pid"), F.col("centroid").alias("embedding")))

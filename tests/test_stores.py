@@ -206,3 +206,22 @@ def test_cells_beyond_the_bound(spark, monkeypatch):
     queries = v.filter("pid < 5").select(v.pid.alias("query_id"), "embedding")
     found = ivf.ivf_search(queries, c, ivf.ivf_assign(v, c), 3, 2)
     assert rows(vectorstore.search(store, queries, 3, 2), "query_id", "pid", "score") == rows(found, "query_id", "pid", "score")
+
+
+def test_two_level_training(spark, monkeypatch):
+    """Cells of planted groups, the same again, through blocks as well."""
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(12, 6))
+    data = [(i % 200, [float(x) for x in middle[i % 12] + rng.normal(0, 0.02, 6)]) for i in range(360)]  # repeated ids
+    v = pinned(spark.createDataFrame(data + [(1000, None), (None, [0.0] * 6)], "pid long, embedding array<double>"))
+    trained = ivf.ivf_train_two_level(v, 12, iterations=3, groups=3).orderBy("cell").collect()
+    assert [r.cell for r in trained] == list(range(12)) and {r.nlist for r in trained} == {12}
+    c = np.array([r.centroid for r in trained])
+    assert np.allclose((c * c).sum(axis=1), 1)
+    unit = np.array([x for _, x in data]) / np.sqrt((np.array([x for _, x in data]) ** 2).sum(axis=1))[:, None]
+    assert (unit @ c.T).max(axis=1).mean() > 0.9
+    monkeypatch.setattr(ivf, "MAX_CENTROID_ROWS", 1)
+    again = ivf.ivf_train_two_level(v, 12, iterations=3, groups=3).orderBy("cell").collect()
+    assert np.allclose([r.centroid for r in again], c)
+    with pytest.raises(ValueError, match="needed"):
+        ivf.ivf_train_two_level(v, 100)

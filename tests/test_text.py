@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions.stemming import english_stem
 from shelfmark.functions.text import STOPWORDS, stem
 from shelfmark.operators import encode, enrich, profile
 from shelfmark.operators import textsearch as ops
@@ -134,3 +135,19 @@ def test_sketches_of_parts_are_united(spark):
     got = {r.column_name: (r.estimate, r.error) for r in profile.sketched_counts(parts.unionByName(rest)).collect()}
     for column, exact in (("a", 9000), ("b", 40_000), ("c", 0)):
         assert abs(got[column][0] - exact) <= 4 * got[column][1] * exact
+
+
+def test_english_stems(spark):
+    want = {
+        "consistency": "consist", "consolatory": "consolatori", "conspiracies": "conspiraci", "knackeries": "knackeri", "knitting": "knit",
+        "knives": "knive", "generally": "general", "general": "general", "generate": "generat", "hoping": "hope", "hopping": "hop", "agreed": "agre",
+        "feed": "feed", "cries": "cri", "ties": "tie", "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "skies": "sky", "dying": "die", "proceed": "proceed",
+        "relational": "relat", "rational": "ration", "happy": "happi", "say": "say", "by": "by", "controlling": "control", "youth": "youth",
+        "adoption": "adopt", "communism": "communism", "7s": "7s", "a": "a", "analogy": "analog", "sensational": "sensat", "negative": "negat",
+    }
+    assert {w: english_stem(w) for w in want} == want
+    df = spark.createDataFrame([(1, "Knitted hopes, knitting hoped"), (2, None)], "pid long, document string")
+    index = {r.term: r.positions for r in ops.text_index(df, stemming="english").collect()}
+    assert index == {"knit": [1, 3], "hope": [2, 4]}
+    asked = spark.createDataFrame([(1, "the knits hoping KNIT")], "query_id long, text string")
+    assert ops.parse_queries(asked, stemming="english").first().terms == ["knit", "hope"]
