@@ -147,10 +147,12 @@ def parse_queries(queries: DataFrame, stopwords: Sequence[str] = STOPWORDS, stem
 def _stemmed(rows: DataFrame) -> DataFrame:
     """The distinct stems of ``terms``, in order of first use."""
 
+    names = rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = [None if t is None else list(dict.fromkeys(map(english_stem, t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=rows.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 
