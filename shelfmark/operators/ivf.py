@@ -43,6 +43,10 @@ def ivf_train(vectors: DataFrame, nlist: int, seed: int = 42, iterations: int =
     train = vectors.select("pid", array_to_vector(V.as_double(F.col("embedding"))).alias("features"))
     if rows_per_cell is not None and rows_per_cell * nlist < n_rows:
         train = train.filter(F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) < int(rows_per_cell * nlist / n_rows * (1 << 30)))
+    if nlist == 1:  # one cell around the mean direction
+        mean = Summarizer.mean(F.col("features"))
+        one = train.agg(F.coalesce(V.l2_normalize(vector_to_array(mean)), vector_to_array(mean)).alias("centroid"))
+        return pinned(one.select(F.lit(1).alias("nlist"), F.lit(0).alias("cell"), "centroid"))
     model = KMeans(k=nlist, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(train.select("features"))
     rows = [(nlist, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "nlist int, cell int, centroid array<double>")

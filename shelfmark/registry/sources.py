@@ -161,7 +161,8 @@ def index_content(catalog):
 @query("index_build", INDEXED)
 def index_build(spark, sf_dir):
     path = scratch_path(spark, "index")
-    plan.write_index(*index_inputs(spark, sf_dir), path, 8, buckets=4)
+    raw, typed = index_inputs(spark, sf_dir)
+    plan.write_index(raw, typed, path, max(1, raw.count() // 250), buckets=4)
     return index_content(plan.read_index(spark, path))
 
 
@@ -170,6 +171,6 @@ def index_append(spark, sf_dir):
     """Half of the products first, then all of them: only what is new is added."""
     raw, typed = index_inputs(spark, sf_dir)
     path = scratch_path(spark, "index")
-    plan.write_index(raw.filter(F.crc32(F.coalesce("Pid", F.lit(""))) % 2 == 0), typed, path, 8, buckets=4)
+    plan.write_index(raw.filter(F.crc32(F.coalesce("Pid", F.lit(""))) % 2 == 0), typed, path, max(1, raw.count() // 250), buckets=4)
     plan.append_index(raw, typed, path)
     return index_content(plan.read_index(spark, path))

@@ -12,7 +12,8 @@ CROSS_SECTION = [
     "chunk_gap_report", "fuse_full_outer", "hit_test", "fuse_query_embedding", "encode_text", "knn_exact",
     "knn_exact_blocked", "ivf_search", "ivf_refine", "sq8_search", "verify_index", "ivf_recall", "text_index",
     "rank_cover_density", "rank_tfidf", "text_topk", "hybrid_search", "rerank_apply", "facet_share", "category_rollup",
-    "top_ngrams", "extract_tags", "recall_breakdown", "feedback_fold", "scan_products_csv",
+    "top_ngrams", "extract_tags", "recall_breakdown", "feedback_fold", "scan_products_csv", "keyword_extract", "feedback_late",
+    "text_store_append", "text_store_cover", "ivf_sq8_search", "stem_english", "rerank_by_rules", "index_append",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("SHELFMARK_ALL") else CROSS_SECTION
 
