@@ -6,6 +6,7 @@ that carry the name of an output, are without effect.
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Callable
 
@@ -43,10 +44,35 @@ def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: lineage ends there, and
     a lost executor finds the same rows in the same files."""
     path = scratch_path(df.sparkSession, name)
+    if _noted is not None:
+        _noted.append(path)
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_noted: list[str] | None = None
+
+
+@contextlib.contextmanager
+def noted(paths: list[str]):
+    """Add the folders of the tables that are stored meanwhile to ``paths``, so that they can be forgotten
+    when what was made of them is written."""
+    global _noted
+    before, _noted = _noted, paths
+    try:
+        yield
+    finally:
+        _noted = before
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more, and empty the list."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """The rows with a unique ``_row``, stored so that every later read sees the same ids."""
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)

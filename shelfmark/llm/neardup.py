@@ -462,7 +462,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` per class, the one with the lowest id."""
     rows = numbered(docs, "dup-rows")
     keep = classes(rows, least).filter(F.col(ROW) == F.col("class_row")).select(ROW)
-    return rows.join(keep, ROW, "left_semi").select(docs.columns)
+    return only(rows, keep).select(docs.columns)
 
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
