@@ -7,14 +7,15 @@ the more bits, so a block holds about ``block_rows`` postings whatever the term.
 the same for all terms, blocks of different terms nest. A small table keeps for each block its
 number of postings and its largest count; long documents, which hold the large counts, share blocks.
 
-A top-k search scores a few blocks of the highest bounds, and then only those blocks of the rarest
-term whose bound reaches the k-th score found. Nothing else leaves the scan, and the result is exact.
+A top-k search scores a few blocks of the highest bounds, and then only those postings of the rarest
+term whose own bound, made of their count and the most that the other terms add in their block, reaches
+the k-th score found. The bound of a single term is its score, so nothing is looked up for it. Nothing else leaves the scan, and the result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +40,8 @@ SMALL_QUERIES = 1000
 SMALL_BLOCKS = 100_000
 #: Candidate documents of a batch up to which there is one step only.
 ONE_GO = 200_000
+#: Terms that are sent to the postings.
+SENT_TERMS = 500_000
 
 
 @dataclass
@@ -52,18 +55,25 @@ class TextStore:
 @dataclass(frozen=True)
 class Ranker:
     """How matched postings become scores, and the most that a document of a block can score:
-    ``whole`` of the sum of the terms' ``share``, which grows with ``max_tf``, and the number of terms."""
+    ``whole`` of the sum of the terms' ``share``, which grows with ``max_tf``, and the number of terms, and not
+    above ``cap`` times that number and the least share, where there is a cap."""
 
     columns: tuple[str, ...]
     score: Callable[[DataFrame], DataFrame]
     share: Callable[[], Column]
     whole: Callable
+    cap: float | None = None
+
+    def bound(self, total: Column, least: Column, n: Column) -> Column:
+        most = self.whole(total, n) if self.cap is None else F.least(self.whole(total, n), self.cap * n * least)
+        return most.cast("double")
 
 
 RANKERS = {
     "ts_rank": Ranker(("tf",), S.score_frequency, lambda: S.damped_count(F.col("max_tf")), lambda total, n: total / n),
-    # Minimal covers open at different places, and the last places of all terms but one open none.
-    "ts_rank_cd": Ranker(("positions",), S.score_cover_density, lambda: F.col("max_tf").cast("double"), lambda total, n: total - n + 1),
+    # Minimal covers open at different places, and the last places of all terms but one open none. A cover holds
+    # each term; those that hold one place of a term open where some term is last seen before it, n at most.
+    "ts_rank_cd": Ranker(("positions",), S.score_cover_density, lambda: F.col("max_tf").cast("double"), lambda total, n: total - n + 1, 1.0),
 }
 
 
@@ -88,7 +98,7 @@ def _with_keys(docs: DataFrame, cuts: list[int]) -> DataFrame:
 def _stored_form(flat: DataFrame, levels: DataFrame, buckets: int) -> DataFrame:
     """Postings with their block; terms that ``levels(term, level)`` does not name have one block."""
     block = F.expr(f"CASE WHEN coalesce(level, 0) = 0 THEN 0L ELSE shiftright(_key, {KEY_BITS} - level) END")
-    placed = flat.join(levels, "term", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    placed = flat.join(F.broadcast(levels) if levels.count() <= SENT_TERMS else levels, "term", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     return placed.select("term", "pid", "tf", "positions", "level", block.alias("block"), _bucket(F.col("term"), buckets).alias("bucket"))
 
 
@@ -146,7 +156,7 @@ def append_store(docs: DataFrame, path: str) -> None:
         rows = staged(new, "text-new")
         flat = S.text_index(_with_keys(rows, list(facts["cuts"])), carry=["_key"])
         levels = store.blocks.filter(F.col("level") > 0).select("term", "level").distinct()
-        _write_part(_stored_form(flat, levels, store.buckets), folder)
+        _write_part(_stored_form(flat, staged(levels, "text-levels"), store.buckets), folder)
         _write_facts(rows, folder, store.buckets, list(facts["cuts"]))
 
     append_folder(spark, path, write)
@@ -174,13 +184,15 @@ def store_of(docs: DataFrame, buckets: int = BUCKETS, block_rows: int = BLOCK_RO
 
 @dataclass
 class _Search:
-    """A batch of queries with what it needs of the store."""
+    """A batch of queries with what it needs of the store. Queries of a large batch that ask for the same
+    terms are one ``query_id`` here, and ``named(query_id, _set)`` tells whose it is."""
 
     parsed: DataFrame
     terms: DataFrame  # query_id, n_terms, term, bucket
     postings: DataFrame  # of the terms' buckets, or of the terms alone
-    candidates: DataFrame  # query_id, n_terms, term, bucket, finer (bits its own blocks have more), block, n, ub
+    candidates: DataFrame  # query_id, n_terms, term, bucket, finer (bits its own blocks have more), block, n, ub, rest (the part of other terms)
     documents: int | None  # in the candidate blocks, where that is known
+    named: DataFrame | None = None
 
 
 def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None) -> _Search:
@@ -192,9 +204,9 @@ def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None) -> _Se
     plan is made. Anything larger is matched by joins; both give the same blocks. Of the
     buckets, one number for each folder, the driver always knows which are read.
     """
-    spark, parsed = queries.sparkSession, S.parse_queries(queries)
+    spark, parsed, named = queries.sparkSession, S.parse_queries(queries), None
     share = F.lit(0.0) if ranker is None else ranker.share()
-    whole = (lambda total, n: total) if ranker is None else ranker.whole
+    ranker = ranker or Ranker((), lambda rows: rows, lambda: share, lambda total, n: total)
     buckets = F.transform("terms", lambda t: _bucket(t, store.buckets)).alias("_buckets")
     few = parsed.select("query_id", "n_terms", "terms", buckets).limit(SMALL_QUERIES + 1).toArrow().combine_chunks()
     if few.num_rows <= SMALL_QUERIES:
@@ -208,8 +220,8 @@ def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None) -> _Se
         postings, blocks = store.postings.filter(mine), store.blocks.filter(mine)
         found = blocks.select("term", "level", "block", "n", share.alias("share")).limit(SMALL_BLOCKS + 1).toArrow()
         if found.num_rows <= SMALL_BLOCKS:
-            chosen = _nested(per_query, found.to_pandas(), whole)
-            at, n_terms, least, finer, block, n, ub = (list(c) for c in zip(*chosen)) if chosen else ([],) * 7
+            chosen = _nested(per_query, found.to_pandas(), ranker)
+            at, n_terms, least, finer, block, n, ub, rest = (list(c) for c in zip(*chosen)) if chosen else ([],) * 8
             table = pa.table(
                 {
                     "query_id": ids.take(pa.array(at, pa.int64())),
@@ -220,11 +232,14 @@ def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None) -> _Se
                     "block": pa.array(block, pa.int64()),
                     "n": pa.array(n, pa.int64()),
                     "ub": pa.array(ub, pa.float64()),
+                    "rest": pa.array(rest, pa.float64()),
                 }
             )
             return _Search(parsed, terms, postings, spark.createDataFrame(table), sum(n))
     else:
-        parsed = pinned(parsed)
+        named = pinned(parsed.withColumn("terms", F.array_sort("terms")))
+        parsed = pinned(named.select("terms", "n_terms").distinct().select(F.monotonically_increasing_id().alias("query_id"), "terms", "n_terms"))
+        named = named.join(parsed.select("terms", F.col("query_id").alias("_set")), "terms").select("query_id", "_set")
         terms = parsed.select("query_id", "n_terms", F.explode("terms").alias("term")).withColumn("bucket", _bucket(F.col("term"), store.buckets))
         used = sorted(r["bucket"] for r in terms.select("bucket").distinct().collect())
         mine = F.col("bucket").isin(used) if used else F.lit(False)
@@ -239,49 +254,71 @@ def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None) -> _Se
     # unless the store was appended to: then those with the fewest bits are taken.
     inside = met.join(known, "query_id").filter(F.col("_known") == F.col("n_terms"))
     coarse = inside.withColumn("block", F.expr("shiftright(block, level - _level)"))
-    own = F.sum(F.when(F.col("term") == F.col("_least.term"), F.col("n")))
+    is_own = F.col("term") == F.col("_least.term")
+    own = F.sum(F.when(is_own, F.col("n")))
     per_term = coarse.groupBy("query_id", "n_terms", "_least", "_level", "block", "term").agg(F.max("share").alias("share"), own.alias("n"))
-    met_all = per_term.groupBy("query_id", "n_terms", "_least", "_level", "block").agg(F.count(F.lit(1)).alias("_terms"), F.sum("share").alias("_total"), F.sum("n").alias("n"))
-    kept = met_all.filter(F.col("_terms") == F.col("n_terms")).withColumn("ub", whole(F.col("_total"), F.col("n_terms")).cast("double"))
-    chosen = kept.select("query_id", "n_terms", F.col("_least.term").alias("term"), F.col("_least.bucket").alias("bucket"), (F.col("_least.level") - F.col("_level")).alias("finer"), "block", "n", "ub")
-    return _Search(parsed, terms, postings, staged(chosen, "text-candidates"), None)
+    others = F.coalesce(F.sum(F.when(~is_own, F.col("share"))), F.lit(0.0))
+    met_all = per_term.groupBy("query_id", "n_terms", "_least", "_level", "block").agg(F.count(F.lit(1)).alias("_terms"), F.sum("share").alias("_total"), F.min("share").alias("_fewest"), F.sum("n").alias("n"), others.alias("rest"))
+    kept = met_all.filter(F.col("_terms") == F.col("n_terms")).withColumn("ub", ranker.bound(F.col("_total"), F.col("_fewest"), F.col("n_terms")))
+    chosen = kept.select("query_id", "n_terms", F.col("_least.term").alias("term"), F.col("_least.bucket").alias("bucket"), (F.col("_least.level") - F.col("_level")).alias("finer"), "block", "n", "ub", "rest")
+    return _Search(parsed, terms, postings, staged(chosen, "text-candidates"), None, named)
 
 
-def _nested(queries: list[list[str]], blocks: pd.DataFrame, whole: Callable) -> list[tuple]:
-    """The same for a small batch: (query number, n_terms, rarest term, finer, block, n, ub)."""
+def _nested(queries: list[list[str]], blocks: pd.DataFrame, ranker: Ranker) -> list[tuple]:
+    """The same for a small batch: (query number, n_terms, rarest term, finer, block, n, ub, rest)."""
     out = []
     by_term = {t: (int(part["n"].sum()), int(part["level"].iat[0]), part) for t, part in blocks.groupby("term")}
     for q, terms in enumerate(queries):
         if any(t not in by_term for t in terms):
             continue
         rarest, level = min(terms, key=lambda t: (by_term[t][0], t)), min(by_term[t][1] for t in terms)
-        totals, held, n = {}, {}, {}
+        totals, held, n, most, fewest = {}, {}, {}, {}, {}
         for term in terms:
             _, own, part = by_term[term]
-            for block, share, size in part.assign(block=part["block"].to_numpy() >> (own - level)).groupby("block").agg(share=("share", "max"), n=("n", "sum")).itertuples():
+            for block, share, rows in part.assign(block=part["block"].to_numpy() >> (own - level)).groupby("block").agg(share=("share", "max"), n=("n", "sum")).itertuples():
                 totals[block], held[block] = totals.get(block, 0.0) + share, held.get(block, 0) + 1
+                fewest[block] = min(share, fewest.get(block, share))
                 if term == rarest:
-                    n[block] = int(size)
+                    n[block], most[block] = int(rows), share
         finer = by_term[rarest][1] - level
-        out += [(q, len(terms), rarest, finer, int(b), n[b], float(whole(totals[b], len(terms)))) for b in totals if held[b] == len(terms)]
+        size = len(terms)
+        ub = {b: ranker.whole(totals[b], size) if ranker.cap is None else min(ranker.whole(totals[b], size), ranker.cap * size * fewest[b]) for b in totals}
+        out += [(q, size, rarest, finer, int(b), n[b], float(ub[b]), float(totals[b] - most[b])) for b in totals if held[b] == size]
     return out
 
 
-def _matched(batch: _Search, chosen: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The postings of the query terms in the documents of the chosen blocks. Documents come from the
-    blocks of the rarest term, which are small; the other terms are looked up by term and id, which
-    spreads a common term over its documents."""
+def _documents(batch: _Search, chosen: DataFrame, *more: str) -> DataFrame:
+    """``query_id, n_terms, pid, max_tf, *more`` of the documents in the chosen blocks of the rarest terms;
+    ``max_tf`` is the count of the rarest term in the document itself."""
     own = F.expr("explode(sequence(shiftleft(block, finer), shiftleft(block + 1, finer) - 1))").alias("block")
-    documents = chosen.select("query_id", "n_terms", "bucket", "term", own).join(batch.postings.select("bucket", "term", "block", "pid"), ["bucket", "term", "block"])
-    looked_up = documents.select("query_id", "n_terms", "pid").join(batch.parsed.select("query_id", "terms"), "query_id")
-    looked_up = looked_up.select("query_id", "n_terms", "pid", F.explode("terms").alias("term"))
-    return looked_up.join(batch.postings.select("term", "pid", *columns), ["term", "pid"])
+    held = batch.postings.select("bucket", "term", "block", "pid", F.col("tf").alias("max_tf"))
+    return chosen.select("query_id", "n_terms", "bucket", "term", *more, own).join(held, ["bucket", "term", "block"]).select("query_id", "n_terms", "pid", "max_tf", *more)
+
+
+def _looked_up(batch: _Search, documents: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The postings of all query terms in these documents, by term and id, which spreads a common term over
+    its documents."""
+    asked = documents.select("query_id", "n_terms", "pid").join(batch.parsed.select("query_id", "terms"), "query_id")
+    asked = asked.select("query_id", "n_terms", "pid", F.explode("terms").alias("term"))
+    return asked.join(batch.postings.select("term", "pid", *columns), ["term", "pid"])
+
+
+def _matched(batch: _Search, chosen: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The postings of the query terms in the documents of the chosen blocks."""
+    return _looked_up(batch, _documents(batch, chosen), columns)
+
+
+def _of_queries(batch: _Search, found: DataFrame) -> DataFrame:
+    """Rows of the batch's queries as rows of the queries that were asked."""
+    if batch.named is None:
+        return found
+    return found.withColumnRenamed("query_id", "_set").join(batch.named, "_set").select(*found.columns)
 
 
 def match_all(store: TextStore, queries: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """The matched postings of every document that holds all terms of a query, for ``textsearch``'s scores."""
     batch = _prepare(store, queries, None)
-    return _matched(batch, batch.candidates, columns)
+    return _of_queries(batch, _matched(batch, batch.candidates, columns))
 
 
 def _placed(batch: _Search) -> DataFrame:
@@ -298,6 +335,18 @@ def _first_blocks(k: int) -> int:
     return max(1, -(-FIRST_BLOCKS * k // BLOCK_ROWS))
 
 
+def _reaching(documents: DataFrame, ranker: Ranker) -> DataFrame:
+    """Documents whose own bound, ``ub``, reaches the k-th score: by their count of the rarest term and the most
+    that the other terms add in their block."""
+    return documents.withColumn("ub", ranker.bound(F.col("rest") + ranker.share(), ranker.share(), F.col("n_terms"))).filter(_reaches())
+
+
+def _score_alone(documents: DataFrame) -> DataFrame:
+    """``query_id, pid, score`` where the bound is the score, as it is for queries of one term."""
+    alone = documents.filter(F.col("pid").isNotNull()).groupBy("query_id", "pid").agg(F.count(F.lit(1)).alias("_n"), F.max("ub").alias("score"))
+    return alone.filter(F.col("_n") == 1).select("query_id", "pid", "score")
+
+
 def _kth(found: DataFrame, k: int) -> DataFrame:
     reached = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min(score_key("score")).alias("_least"))
     return reached.filter(F.col("_n") >= k).select("query_id", "_least")
@@ -308,19 +357,27 @@ def search(store: TextStore, queries: DataFrame, k: int, ranker: Ranker) -> Data
 
     A query without known terms finds nothing. Scores are compared as everywhere, rounded, then
     by id; a block is left out only where its bound, rounded alike, is below the k-th score.
-    Where all candidate blocks hold few documents they are scored in one go.
+    Where all candidate blocks hold few documents they are scored in one go. Queries of a large batch
+    that have the same terms are searched once.
     """
     batch = _prepare(store, queries, ranker)
 
-    def scored(chosen: DataFrame) -> DataFrame:
-        return ranker.score(_matched(batch, chosen, ranker.columns))
-
     if batch.documents is not None and batch.documents <= ONE_GO:
-        return top_k(scored(batch.candidates), k)
+        return top_k(ranker.score(_matched(batch, batch.candidates, ranker.columns)), k)
+    wanted = staged(batch.terms.filter(F.col("n_terms") > 1).select("bucket", "term").distinct(), "text-wanted")
+    many = wanted.count() > SENT_TERMS
+    terms = replace(batch, postings=batch.postings.join(wanted if many else F.broadcast(wanted), ["bucket", "term"], "left_semi"))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        one = _reaching(_documents(batch, blocks.filter(F.col("n_terms") == 1), "rest", "_least"), ranker)
+        several = _reaching(_documents(terms, blocks.filter(F.col("n_terms") > 1), "rest", "_least"), ranker)
+        return _score_alone(one).unionByName(ranker.score(_looked_up(terms, several, ranker.columns)))
+
     placed = _placed(batch)
-    first = staged(top_k(scored(placed.filter(F.col("_place") <= _first_blocks(k))), k), "text-first")
+    first = placed.filter(F.col("_place") <= _first_blocks(k)).withColumn("_least", F.lit(None).cast("double"))
+    first = staged(top_k(scored(first), k), "text-first")
     later = placed.filter(F.col("_place") > _first_blocks(k)).join(_kth(first, k), "query_id", "left").filter(_reaches())
-    return top_k(first.select("query_id", "pid", "score").unionByName(scored(later)), k)
+    return _of_queries(batch, top_k(first.select("query_id", "pid", "score").unionByName(scored(later)), k))
 
 
 def blocks_read(store: TextStore, queries: DataFrame, k: int, ranker: Ranker) -> DataFrame:
@@ -330,4 +387,4 @@ def blocks_read(store: TextStore, queries: DataFrame, k: int, ranker: Ranker) ->
     found = ranker.score(_matched(batch, _placed(batch).filter(F.col("_place") <= _first_blocks(k)), ranker.columns))
     open_ = (F.col("_place") <= _first_blocks(k)) | _reaches()
     placed = _placed(batch).join(_kth(top_k(found, k), k), "query_id", "left")
-    return placed.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(open_).alias("scored"))
+    return _of_queries(batch, placed.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(open_).alias("scored")))
