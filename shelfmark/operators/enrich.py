@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 from shelfmark.functions import text as X
 from shelfmark.functions.text import STOPWORDS
 from shelfmark.operators.encode import bucket, word_buckets
-from shelfmark.session import spread
+from shelfmark.session import spread, staged
+
+#: Words that are frequent enough for n-grams, up to which they are sent to the documents.
+FREQUENT_WORDS = 1000
 
 # The words and patterns of each tag family.
 TAG_FAMILIES = {
@@ -57,12 +60,34 @@ def corpus_words(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
 def top_ngrams(
     df: DataFrame, column: str, n_range: tuple[int, int] = (1, 1), k: int = 20, stopwords: Sequence[str] = STOPWORDS
 ) -> DataFrame:
-    """The k most frequent n-grams for n in the range; equal counts go by text."""
+    """The k most frequent n-grams for n in the range; equal counts go by text.
+
+    No n-gram is more frequent than any of its words. Where single words are asked for too, they are
+    counted first, and longer n-grams only where each word reaches the count of the k-th word: the others
+    cannot be among the k best. With more than ``FREQUENT_WORDS`` such words all n-grams are counted.
+    """
     lists = spread(df.select(column)).select(corpus_words(F.col(column), stopwords).alias("_w"))
+    order = F.col("n").desc(), F.col("ngram")
+    if n_range[0] != 1 or n_range[1] < 2:
+        return _gram_counts(lists, n_range).orderBy(*order).limit(k)
+    words = staged(_gram_counts(lists, (1, 1)), "words")
+    best = words.orderBy(*order).limit(k)
+    least = best.agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("n")).first()
+    # With fewer than k words the least count that there is excludes nothing.
+    frequent = [r["ngram"] for r in words.filter(F.col("n") >= least["n"]).select("ngram").limit(FREQUENT_WORDS + 1).collect()] if least["held"] == k and k else None
+    fit = frequent is not None and len(frequent) <= FREQUENT_WORDS
+    if fit:
+        lists = lists.select(F.transform("_w", lambda w: F.when(w.isin(frequent), w)).alias("_w"))
+    return best.unionByName(_gram_counts(lists, (2, n_range[1]), fit)).orderBy(*order).limit(k)
+
+
+def _gram_counts(lists: DataFrame, n_range: tuple[int, int], gaps: bool = False) -> DataFrame:
+    """``ngram, n`` of the word lists ``_w``. With ``gaps`` n-grams with a NULL word are not counted."""
     grams = F.concat(*[X.ngrams(F.col("_w"), n) for n in range(n_range[0], n_range[1] + 1)])
+    if gaps:
+        grams = F.filter(grams, lambda g: ~F.exists(g, lambda w: w.isNull()))
     rows = lists.select(X.rows_of(grams).alias("_g")).filter(F.col("_g").isNotNull())
-    counts = rows.groupBy(F.array_join("_g", " ").alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.col("n").desc(), "ngram").limit(k)
+    return rows.groupBy(F.array_join("_g", " ").alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def extract_tags(df: DataFrame, column: str, families: Mapping[str, Sequence[str]] = TAG_FAMILIES) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,27 @@ def test_english_stems(spark):
     assert index == {"knit": [1, 3], "hope": [2, 4]}
     asked = spark.createDataFrame([(1, "the knits hoping KNIT")], "query_id long, text string")
     assert ops.parse_queries(asked, stemming="english").first().terms == ["knit", "hope"]
+
+
+def test_top_ngrams_with_frequent_words_only(spark, monkeypatch):
+    docs = spark.createDataFrame([("red red fox",), ("red fox bird",), ("bird red fox owl",), (None,)], "text string")
+    all_ = [("fox", 3), ("red", 4), ("red fox", 3)]
+    for limit in (1000, 0):
+        monkeypatch.setattr(enrich, "FREQUENT_WORDS", limit)
+        assert sorted(tuple(r) for r in enrich.top_ngrams(docs, "text", (1, 2), 3).collect()) == all_
+    counted = []
+    monkeypatch.setattr(enrich, "FREQUENT_WORDS", 1000)
+    monkeypatch.setattr(enrich, "_gram_counts", lambda *a, f=enrich._gram_counts: counted.append(f(*a)) or counted[-1])
+    enrich.top_ngrams(docs, "text", (1, 2), 3).collect()
+    assert {r.ngram for r in counted[1].collect()} == {"red red", "red fox", "bird red", "fox bird"}
+
+
+def test_chunks_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(ops, "CHUNK_BYTES", 10)
+    texts = ["abcdefgh", None, "é" * 3, "", "x" * 50, "y", "z"]
+    chunks = list(ops._chunks(pa.array(texts)))
+    assert [t for _, c in chunks for t in c] == texts
+    assert [at for at, _ in chunks] == [0, 2, 4, 5]
+    vocabulary = ops._Vocabulary(frozenset(["the"]), True, None)
+    assert vocabulary.ids(["the", "foxes", "foxe", "the", "owl"]).tolist()[0] == -1
+    assert sorted(vocabulary.terms) == ["foxe", "owl"]
