@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import vectors as V
 from shelfmark.functions.ranking import global_index, normalize_top, top_k
-from shelfmark.operators.nearest import DEFAULT_BLOCKS, BlockSizes, collect_bounded, matrix, nearest
+from shelfmark.operators.nearest import DEFAULT_BLOCKS, SCORE_CELLS, BlockSizes, collect_bounded, matrix, nearest
 from shelfmark.schema import SCORE_DECIMALS
 from shelfmark.session import pinned, staged
 
@@ -156,11 +156,7 @@ def best_cells(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
                 continue
             v = matrix(batch.column(at))
             for nlist, cells, c in shared.value:
-                key = np.round(v @ c.T, SCORE_DECIMALS)
-                if n == 1:
-                    pick = key.argmax(axis=1)[:, None]
-                else:
-                    pick = np.argsort(-key, axis=1, kind="stable")[:, :n]
+                pick = _picked(v, c, n)
                 take = np.repeat(np.arange(batch.num_rows), pick.shape[1])
                 source = batch if n == 1 else batch.take(pa.array(take))
                 yield pa.RecordBatch.from_arrays(
@@ -176,6 +172,16 @@ def best_cells(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(assign, out)
 
 
+def _picked(v: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the n best cells of each row, best first. Scored in slices of ``SCORE_CELLS``, as a batch of
+    rows against many cells is a matrix of gigabytes."""
+    step, picks = max(1, SCORE_CELLS // max(1, len(c))), []
+    for at in range(0, len(v), step):
+        key = np.round(v[at : at + step] @ c.T, SCORE_DECIMALS)
+        picks.append(key.argmax(axis=1)[:, None] if n == 1 else np.argsort(-key, axis=1, kind="stable")[:, :n])
+    return np.concatenate(picks)
+
+
 def _best_cells_blocked(rows: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     """The same for any number of centroids: rows are the probes of ``nearest``, one run for
     each ``nlist``. Rows are numbered, so ids may be repeated or missing."""

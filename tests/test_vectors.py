@@ -154,3 +154,14 @@ def test_encoder_hook(spark):
     assert got == {1: [3.0, 1.0]}
     images = spark.createDataFrame([(1, b"P5 2 1\n255\n" + bytes([3, 4])), (2, b"junk")], "pid long, content binary")
     assert [list(r["embedding"]) for r in encode.encode_image(images).collect()] == [[0.6, 0.8]]
+
+
+def test_scores_of_many_cells_are_made_in_slices(monkeypatch):
+    v, c = np.random.default_rng(1).normal(size=(50, 4)), np.random.default_rng(2).normal(size=(30, 4))
+    whole = np.argsort(-np.round(v @ c.T, 6), axis=1, kind="stable")
+    made = []
+    monkeypatch.setattr(ivf, "SCORE_CELLS", 90)
+    monkeypatch.setattr(ivf.np, "round", lambda x, d, f=np.round: made.append(x.size) or f(x, d))
+    assert (ivf._picked(v, c, 3) == whole[:, :3]).all()
+    assert (ivf._picked(v, c, 1) == whole[:, :1]).all()
+    assert max(made) <= 90
