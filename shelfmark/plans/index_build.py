@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions import vectors as V
 from shelfmark.functions.parsing import parse_text
 from shelfmark.operators import clean, ids, ivf, textstore, vectorstore
 from shelfmark.operators.hybrid import Catalog
@@ -34,10 +35,22 @@ def _vectors_of(embeddings: DataFrame, kind: str, products: DataFrame) -> DataFr
     return mine.groupBy("pid").agg(F.min("embedding").alias("embedding"))
 
 
+#: Cells up to which one k-means trains all of them at once; its work grows with vectors times cells.
+ONE_LEVEL_CELLS = 256
+
+
+def _trained(vectors: DataFrame, nlist: int, seed: int) -> DataFrame:
+    """Centroids of ``nlist`` cells, or of as many as the vectors can train; many cells are trained in two levels."""
+    usable = vectors.filter(V.l2_normalize(F.col("embedding")).isNotNull()).count()
+    cells = max(1, min(nlist, usable // ivf.MIN_ROWS_PER_CELL))
+    return (ivf.ivf_train if cells <= ONE_LEVEL_CELLS else ivf.ivf_train_two_level)(vectors, cells, seed)
+
+
 def write_index(raw: DataFrame, embeddings: DataFrame, path: str, nlist: int, seed: int = 42, buckets: int = vectorstore.BUCKETS) -> None:
     """The index of raw product rows and ``embeddings(pid, embedding_type, embedding)`` at ``path``, in
     place of the one that is there.
 
+    ``nlist`` is an upper bound: a table that cannot train so many cells gets fewer.
     Products without a key, of other currencies or without a vector of each type are left out,
     as in the tables of the index all ids have to be the same. Everything is written beside the old
     index, which is read until the last table of the new one is there.
@@ -49,7 +62,7 @@ def write_index(raw: DataFrame, embeddings: DataFrame, path: str, nlist: int, se
         kinds = sorted(r["embedding_type"] for r in embeddings.select("embedding_type").distinct().collect())
         for kind in kinds:
             vectors = staged(_vectors_of(embeddings, kind, products), "index-vectors")
-            vectorstore.write_store(vectors, ivf.ivf_train(vectors, nlist, seed), f"{folder}/vectors-{kind}", buckets)
+            vectorstore.write_store(vectors, _trained(vectors, nlist, seed), f"{folder}/vectors-{kind}", buckets)
         textstore.write_store(products.select(F.col("Pid").alias("pid"), "document"), f"{folder}/text", buckets)
         replace_folder(spark, f"{folder}/products", _product_writer(products))
         spark.createDataFrame([(k,) for k in kinds], "kind string").write.parquet(f"{folder}/kinds")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.ranking import top_k
 from shelfmark.operators import ivf, textsearch, textstore, vectorstore
 from shelfmark.operators.nearest import BlockSizes
+from shelfmark.plans import index_build
 from shelfmark.session import pinned, scratch_path
 from shelfmark.sources.tables import append_folder, parts, replace_folder
 
@@ -225,3 +226,35 @@ def test_two_level_training(spark, monkeypatch):
     assert np.allclose([r.centroid for r in again], c)
     with pytest.raises(ValueError, match="needed"):
         ivf.ivf_train_two_level(v, 100)
+
+
+def test_queries_with_the_same_terms_are_one(spark, monkeypatch):
+    docs = documents(spark)
+    asked = [("a", "word1 word0"), ("b", "Word0 word1"), ("c", "word3"), ("d", "word3 WORD3")]
+    store = textstore.store_of(docs, buckets=4, block_rows=8)
+    queries, out = spark.createDataFrame(asked, "query_id string, text string"), ["query_id", "pid", "score", "rank"]
+    want = rows(top_k(textsearch.rank_cover_density(textsearch.text_index(docs), textsearch.parse_queries(queries)), 5), *out)
+    monkeypatch.setattr(textstore, "SMALL_QUERIES", 0)
+    ranker = textstore.RANKERS["ts_rank_cd"]
+    assert textstore._prepare(store, queries, ranker).parsed.count() == 2
+    assert rows(textstore.search(store, queries, 5, ranker), *out) == want
+
+
+def test_documents_below_the_kth_score_are_not_looked_up(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x y x y x y" if i < 3 else "x y y y y y y") for i in range(40)], "pid long, document string")
+    store = textstore.store_of(docs, buckets=4, block_rows=1000)
+    batch = textstore._prepare(store, spark.createDataFrame([("a", "x y")], "query_id string, text string"), textstore.RANKERS["ts_rank_cd"])
+    placed = textstore._placed(batch).withColumn("_least", F.lit(4.5))
+    held = textstore._documents(batch, placed, "rest", "_least")
+    assert held.count() == 40
+    assert {r.pid for r in textstore._reaching(held, textstore.RANKERS["ts_rank_cd"]).collect()} == {0, 1, 2}
+
+
+def test_cells_of_an_index_fit_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = pinned(spark.createDataFrame([(f"P{i}", rng.normal(size=4).tolist()) for i in range(60)] + [("Z", [0.0] * 4)], "pid string, embedding array<double>"))
+    assert index_build._trained(vectors.filter("pid <> 'Z'"), 100, 1).count() == 6
+    monkeypatch.setattr(index_build, "ONE_LEVEL_CELLS", 3)
+    monkeypatch.setattr(index_build.ivf, "ivf_train", None)  # one k-means of all cells is not made
+    assert index_build._trained(vectors, 100, 1).columns == ["nlist", "cell", "centroid"]
+    assert index_build._trained(vectors, 5, 1).count() == 5
