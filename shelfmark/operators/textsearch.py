@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +19,9 @@ from shelfmark.functions.text import STOPWORDS
 from shelfmark.session import spread
 
 
-#: Words whose terms a task remembers, and postings of an output batch.
-VOCABULARY = 1_000_000
-BATCH_POSTINGS = 100_000
+#: Words whose terms a task remembers, and bytes of text that it takes at once, whole documents.
+VOCABULARY = 200_000
+CHUNK_BYTES = 2 << 20
 #: Query terms that travel to the documents.
 SENT_TERMS = 200_000
 
@@ -30,21 +30,59 @@ SENT_TERMS = 200_000
 STEMMERS = {False: str, True: X.stem_word, "english": english_stem}
 
 
-def _terms(stops: frozenset[str], stemming: bool | str, only: frozenset[str] | None) -> Callable[[str], str | None]:
-    """The term of a word, None for stopwords and terms that are not wanted. Words come again, so each
+class _Vocabulary:
+    """Numbers of the terms of words, -1 for stopwords and terms that are not wanted. Words come again, so each
     is stemmed about once in a task."""
-    known: dict[str, str | None] = {}
-    stem = STEMMERS[stemming]
 
-    def term_of(word: str) -> str | None:
-        if word not in known:
-            if len(known) >= VOCABULARY:
-                known.clear()
-            term = None if word in stops else stem(word)
-            known[word] = term if only is None or term in only else None
-        return known[word]
-
-    return term_of
+    def __init__(self, stops: frozenset[str], stemming: bool | str, only: frozenset[str] | None):
+        self.stops, self.stem, self.only = stops, STEMMERS[stemming], only
+        self.known: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
+        self.terms: list[str] = []
+
+    def full(self) -> bool:
+        return len(self.known) >= VOCABULARY
+
+    def clear(self) -> None:
+        self.known, self.numbers, self.terms = {}, {}, []
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        for word in set(words).difference(known):
+            term = None if word in self.stops else self.stem(word)
+            if term is None or (self.only is not None and term not in self.only):
+                known[word] = -1
+            else:
+                known[word] = number = self.numbers.setdefault(term, len(self.terms))
+                if number == len(self.terms):
+                    self.terms.append(term)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch by ``CHUNK_BYTES``, each chunk with the number of its first row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+        yield at, column.slice(at, to - at).to_pylist()
+        at = to
+
+
+def _uses(texts: list[str | None], find: Callable[[str], list[str]], vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The uses of terms in a chunk: term, text and position of each, by term, text and position, and where
+    the uses of a term in a text start."""
+    found = [find(t or "") for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ids = vocabulary.ids([w for words in found for w in words])
+    text = np.repeat(np.arange(len(found)), sizes)
+    position = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    kept = np.flatnonzero(ids >= 0)
+    key = ids[kept] * len(found) + text[kept]
+    order = np.argsort(key, kind="stable")
+    kept, key = kept[order], key[order]
+    return ids[kept], text[kept], position[kept], np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
 
 
 def document_counts(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool | str = True) -> DataFrame:
@@ -52,18 +90,19 @@ def document_counts(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemm
     stops = frozenset(stopwords)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, term_of, counts = re.compile(X.WORD).findall, _terms(stops, stemming, None), Counter()
+        find, vocabulary, counts = re.compile(X.WORD).findall, _Vocabulary(stops, stemming, None), np.zeros(0, np.int64)
 
         def flush() -> pa.RecordBatch:
-            counts.pop(None, None)
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(vocabulary.terms, pa.string()), pa.array(counts, pa.int64())], names=["term", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update({term_of(w) for w in set(find(text or ""))})
-            if len(counts) >= VOCABULARY:
-                yield flush()
-                counts.clear()
+            for _, texts in _chunks(batch.column(0)):
+                ids, _, _, starts = _uses(texts, find, vocabulary)
+                counts = np.r_[counts, np.zeros(len(vocabulary.terms) - len(counts), np.int64)] + np.bincount(ids[starts], minlength=len(vocabulary.terms))
+                if vocabulary.full():
+                    yield flush()
+                    vocabulary.clear()
+                    counts = np.zeros(0, np.int64)
         yield flush()
 
     lower = spread(docs.select("pid", "document"), "pid").select(F.lower("document").alias("document"))
@@ -88,32 +127,18 @@ def text_index(
     out = T.StructType([T.StructField("term", T.StringType()), *(rows.schema[c] for c in names), *fields])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, term_of = re.compile(X.WORD).findall, _terms(stops, stemming, sent.value)
+        find, vocabulary = re.compile(X.WORD).findall, _Vocabulary(stops, stemming, sent.value)
         for batch in batches:
-            terms, owner, ends, places = [], [], [0], []
-
-            def flush() -> pa.RecordBatch:
-                at = pa.array(owner, pa.int64())
-                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-                tf = pa.array(np.diff(ends).astype(np.int64))
-                return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(batch.column(i).take(at) for i in range(len(names))), tf, held], names=out.names)
-
-            for i, text in enumerate(batch.column(len(names)).to_pylist()):
-                found: dict[str, list[int]] = {}
-                for position, word in enumerate(find(text or ""), 1):
-                    term = term_of(word)
-                    if term is not None:
-                        found.setdefault(term, []).append(position)
-                for term, at in found.items():
-                    terms.append(term)
-                    owner.append(i)
-                    places.extend(at)
-                    ends.append(len(places))
-                if len(terms) >= BATCH_POSTINGS:
-                    yield flush()
-                    terms, owner, ends, places = [], [], [0], []
-            if terms:
-                yield flush()
+            for first, texts in _chunks(batch.column(len(names))):
+                ids, text, position, starts = _uses(texts, find, vocabulary)
+                if len(starts):
+                    used, which = np.unique(ids[starts], return_inverse=True)
+                    terms = pa.array([vocabulary.terms[i] for i in used.tolist()], pa.string()).take(pa.array(which))
+                    at, ends = pa.array(first + text[starts]), np.r_[starts, len(ids)]
+                    held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([terms, *(batch.column(i).take(at) for i in range(len(names))), pa.array(np.diff(ends)), held], names=out.names)
+                if vocabulary.full():
+                    vocabulary.clear()
 
     index = rows.mapInArrow(fold, out)
     if unique_ids:
