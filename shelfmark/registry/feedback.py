@@ -11,6 +11,7 @@ from shelfmark.session import scratch_path
 from shelfmark.streaming import feedback as streams
 
 FOLD_ROWS = 16
+LATE_BATCHES = 6
 RATED = """rated AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS session_id, props AS pid,
     CASE WHEN event_type IN ('click', 'purchase') THEN true WHEN event_type = 'error' THEN false END AS feedback FROM events),
     valid AS (SELECT * FROM rated WHERE feedback IS NOT NULL)"""
@@ -62,14 +63,15 @@ def feedback_stream(spark, sf_dir):
 @query("feedback_late", f"WITH {RATED}, {FOLDED} SELECT session_id, fold, feedback, n FROM folded")
 def feedback_late(spark, sf_dir):
     """The events in three deliveries, the newest third first and the oldest last, with the middle
-    third delivered twice; a micro-batch takes a few files."""
+    third delivered twice; a micro-batch takes a share of the files, so that there are as many whatever the input."""
     events = table(spark, sf_dir, "events")
     folder, log, state = (scratch_path(spark, n) for n in ("late-events", "late-log", "late-state"))
     cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.33, 0.67]).alias("c")).first()["c"]
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     for part in (at > cuts[1], (at > cuts[0]) & (at <= cuts[1]), (at > cuts[0]) & (at <= cuts[1]), at <= cuts[0]):
         events.filter(part).write.mode("append").parquet(folder)
-    source = streams.file_stream(spark, folder, events.schema, "*.parquet", files_per_batch=2)
+    files = len(spark.read.parquet(folder).inputFiles())
+    source = streams.file_stream(spark, folder, events.schema, "*.parquet", files_per_batch=max(2, -(-files // LATE_BATCHES)))
     streams.feedback_stream(shaped(source), log, state).awaitTermination()
     return as_text(ops.fold_entries(streams.logged_entries(spark, log), FOLD_ROWS))
 
