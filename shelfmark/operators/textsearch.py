@@ -21,7 +21,7 @@ from shelfmark.session import spread
 
 #: Words whose terms a task remembers, and bytes of text that it takes at once, whole documents.
 VOCABULARY = 200_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Query terms that travel to the documents.
 SENT_TERMS = 200_000
 
