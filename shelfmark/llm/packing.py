@@ -14,7 +14,6 @@ from it do not grow with the corpus. Pieces meet their places by their number wi
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from array import array
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.ranking import global_index
-from shelfmark.llm.base import ROW, WORD, or_empty, query, stored, table
+from shelfmark.llm.base import ROW, or_empty, query, stored, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -172,9 +171,7 @@ class Places:
 
 # --- tokens -------------------------------------------------------------------------
 
-#: White space to the tokenizer or to ``str.split`` but not to both or not to WORD.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: Words whose ids a worker keeps (beyond those of one slice of texts), and the longest of them.
+#: Pieces whose ids a worker keeps (beyond those of one slice of texts), and the longest of them in bytes.
 CACHED, CACHED_LENGTH = 600_000, 64
 
 
@@ -185,9 +182,58 @@ def as_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+#: Kinds of bytes. An odd word has a byte of the last kind: its normal form or split is not plain.
+SPACE, LETTER, MARK, DIGIT, ODD = range(5)
 
-#: Words whose normal form and split are plain: Latin letters, then ASCII marks but no apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+def byte_kinds() -> np.ndarray:
+    """The kind of each byte. Marks are the ASCII ones but the apostrophe, white space is that between words (``base.WORD``)."""
+    kinds = np.full(256, ODD, dtype=np.uint8)
+    kinds[33:127] = MARK
+    kinds[ord("'")] = ODD
+    kinds[48:58] = DIGIT
+    kinds[65:91] = kinds[97:123] = LETTER
+    kinds[9:14] = kinds[32] = SPACE
+    return kinds
+
+
+_KINDS = byte_kinds()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def cut_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where the pieces of UTF-8 bytes start, which of them are odd words, and the pieces.
+
+    A word of Latin letters (ASCII and À to ÿ), ASCII digits and marks has a piece, in lower case, for each run
+    of letters, each run of marks and each digit, as the tokenizer splits it. Any other word is one
+    piece, unchanged. The last byte has to be white space.
+    """
+    kind, lower = _KINDS[data], _LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)  # of À to ÿ, where 97 and B7 are signs
+    second = data[lead + 1]
+    lead = lead[(second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    capital = lead[data[lead + 1] < 0x9F]
+    lower[capital + 1] += 0x20
+
+    if (kind == ODD).any():
+        word = np.concatenate([[False], kind != SPACE])
+        first, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+        odd = np.logical_or.reduceat(kind == ODD, first)
+        first, size = first[odd], (end - first)[odd]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        kind[at] = ODD
+        lower[at] = data[at]
+
+    kept = kind != SPACE
+    starts = kept & (kind == DIGIT)
+    starts[0] = kept[0]
+    starts[1:] |= kept[1:] & (kind[1:] != kind[:-1])
+    ends = np.flatnonzero(kept[:-1] & (starts[1:] | ~kept[1:])) + 1
+    starts = np.flatnonzero(starts)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(lower[kept])])
+    return starts, kind[starts] == ODD, pieces
 
 
 def byte_letters() -> dict[int, str]:
@@ -202,56 +248,78 @@ class Encoder:
     """Ids of whole texts as little-endian bytes.
 
     The tokenizer's normaliser and splitter never join characters across white space, so a
-    text's ids are those of its words in turn; words that come again are looked up. Plain words
-    go to the tokenizer's BPE model at once, all others through its whole chain.
+    text's ids are those of its words in turn, and those of a plain word are those of its pieces.
+    Pieces that come again are looked up. Pieces of plain words go to the tokenizer's BPE
+    model at once, odd words through its whole chain.
     """
 
-    _LETTERS = byte_letters()
+    #: Pieces in one call of the tokenizer.
+    TOGETHER = 1000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.model.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.letters = {b: c for b, c in byte_letters().items() if b != 32}
+        self.known: dict[bytes, bytes] = {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Look up new words."""
-        rest, marks = [], self.marks
-        tokenize, known, letters = self.tokenizer.model.tokenize, self.known, self._LETTERS
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m is None:
-                rest.append(w)
-                continue
-            word = m[1].lower()
-            if not word.isascii():
-                word = "".join(letters[b] for b in word.encode())
-            end = m[2]
-            if end and end not in marks:
-                if len(marks) > 10_000:
-                    marks.clear()
-                marks[end] = self.ids_of([end])[0]
-            known[w] = as_bytes([t.id for t in tokenize(word)]) + (marks[end] if end else b"")
-        known.update(zip(rest, self.ids_of(rest)))
+    def ids_of_plain(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of plain words. The model sees them in one text; a piece ends where
+        an id closes a word."""
+        text = b" ".join(pieces).decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        if len(ends) != len(pieces):  # a vocabulary without marked ends
+            return [as_bytes([t.id for t in self.tokenizer.model.tokenize(w)]) for w in text.split(" ")]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, pieces: list[bytes], words: list[bytes]) -> None:
+        """Look up new pieces of plain words and new odd words."""
+        for i in range(0, len(pieces), self.TOGETHER):
+            some = pieces[i : i + self.TOGETHER]
+            self.known.update(zip(some, self.ids_of_plain(some)))
+        self.known.update(zip(words, self.ids_of([w.decode() for w in words])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [WORD.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        distinct = set().union(*words)
-        new = distinct.difference(self.known)
+        if not texts:
+            return []
+        parts = [t.encode() for t in texts]
+        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        starts, odd, pieces = cut_pieces(np.frombuffer(b"\n".join([*parts, b""]), np.uint8))
+        coded = pieces.dictionary_encode()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        is_odd = np.zeros(len(distinct), dtype=bool)
+        is_odd[number[odd]] = True
+        new = [i for i, w in enumerate(distinct) if w not in self.known]
         if len(self.known) + len(new) > CACHED:
-            self.known, new = {}, distinct
-        self.learn(list(new))
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del self.known[w]
-        return out
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        self.learn([distinct[i] for i in new if not is_odd[i]], [distinct[i] for i in new if is_odd[i]])
+
+        found = list(map(self.known.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        sizes = size[number]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(first[number] - ends[:-1], sizes)
+        at += np.arange(len(at))
+        data = ids[at].tobytes()
+        for i in new:
+            if len(distinct[i]) > CACHED_LENGTH:
+                del self.known[distinct[i]]
+        cuts = (4 * ends[np.searchsorted(starts, begins)]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}

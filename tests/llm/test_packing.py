@@ -106,6 +106,22 @@ def test_word_wise_ids_are_whole_text_ids(texts):
     assert encoder.encode(texts) == encoder.ids_of(texts)
 
 
+def test_pieces_are_tokenized_once():
+    encoder = p.Encoder(p.tokenizer_path())
+    texts = [f"{a}{w}{b}" for a in ("", "(", "4") for w in ("alpha", "Alpha", "ALPHA", "état", "ÉTAT") for b in ("", ",", "...", ")-alpha")]
+    assert encoder.encode(texts) == encoder.ids_of(texts)
+    assert len(encoder.known) <= 8  # two words, the digit and five runs of marks
+
+
+def test_few_known_pieces(monkeypatch):
+    monkeypatch.setattr(p, "CACHED", 4)
+    encoder = p.Encoder(p.tokenizer_path())
+    for texts in (["one two three", "J\u030c É×a"], ["two, four's five six", "x" * 100], ["six two"], []):
+        assert encoder.encode(texts) == encoder.ids_of(texts)
+        assert b"x" * 100 not in encoder.known
+    assert set(encoder.known) == {b"six", b"two"}
+
+
 def test_sequences(spark):
     docs = spark.createDataFrame([(i, "alpha beta gamma " * i) for i in range(1, 30)], "doc_id long, text string")
     out = p.packed_sequences(docs, capacity=64).collect()
