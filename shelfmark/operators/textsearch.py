@@ -85,30 +85,6 @@ def _uses(texts: list[str | None], find: Callable[[str], list[str]], vocabulary:
     return ids[kept], text[kept], position[kept], np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
 
 
-def document_counts(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool | str = True) -> DataFrame:
-    """``term, df`` of ``docs(document)`` without making postings: counted in the tasks, then added up."""
-    stops = frozenset(stopwords)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, vocabulary, counts = re.compile(X.WORD).findall, _Vocabulary(stops, stemming, None), np.zeros(0, np.int64)
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(vocabulary.terms, pa.string()), pa.array(counts, pa.int64())], names=["term", "n"])
-
-        for batch in batches:
-            for _, texts in _chunks(batch.column(0)):
-                ids, _, _, starts = _uses(texts, find, vocabulary)
-                counts = np.r_[counts, np.zeros(len(vocabulary.terms) - len(counts), np.int64)] + np.bincount(ids[starts], minlength=len(vocabulary.terms))
-                if vocabulary.full():
-                    yield flush()
-                    vocabulary.clear()
-                    counts = np.zeros(0, np.int64)
-        yield flush()
-
-    lower = spread(docs.select("pid", "document"), "pid").select(F.lower("document").alias("document"))
-    return lower.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
-
-
 def text_index(
     docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, stemming: bool | str = True, unique_ids: bool = True, carry: Sequence[str] = (), only: frozenset[str] | None = None
 ) -> DataFrame:

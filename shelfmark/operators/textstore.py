@@ -14,18 +14,26 @@ the k-th score found. The bound of a single term is its score, so nothing is loo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark.functions import text as X
 from shelfmark.functions.ranking import score_key, top_k
 from shelfmark.functions.text import STOPWORDS
+from shelfmark.operators import textscore
 from shelfmark.operators import textsearch as S
-from shelfmark.session import pinned, scratch_path, staged
+from shelfmark.operators.packed import BLOBS, blobs, by_part, pack
+from shelfmark.session import pinned, scratch_path, spread, staged
 from shelfmark.sources.tables import append_folder, parts, read_parts, replace_folder
 
 BUCKETS = 64
@@ -42,6 +50,13 @@ SMALL_BLOCKS = 100_000
 ONE_GO = 200_000
 #: Terms that are sent to the postings.
 SENT_TERMS = 500_000
+#: Postings that a task packs at once, and that a part of a bucket holds about; characters of text for each.
+PACKED = 1 << 20
+TEXT_OF_POSTING = 12
+#: New ids that are sent to the documents.
+SENT_IDS = 2_000_000
+#: Rows that leave a part at once.
+OUT_ROWS = 1 << 16
 
 
 @dataclass
@@ -56,13 +71,16 @@ class TextStore:
 class Ranker:
     """How matched postings become scores, and the most that a document of a block can score:
     ``whole`` of the sum of the terms' ``share``, which grows with ``max_tf``, and the number of terms, and not
-    above ``cap`` times that number and the least share, where there is a cap."""
+    above ``cap`` times that number and the least share, where there is a cap. ``alone`` are the scores of counts for
+    queries of one term, and ``among`` scores the matches of others in numpy; both as ``score`` does."""
 
     columns: tuple[str, ...]
     score: Callable[[DataFrame], DataFrame]
     share: Callable[[], Column]
     whole: Callable
     cap: float | None = None
+    alone: Callable | None = None
+    among: Callable | None = None
 
     def bound(self, total: Column, least: Column, n: Column) -> Column:
         most = self.whole(total, n) if self.cap is None else F.least(self.whole(total, n), self.cap * n * least)
@@ -70,7 +88,7 @@ class Ranker:
 
 
 RANKERS = {
-    "ts_rank": Ranker(("tf",), S.score_frequency, lambda: S.damped_count(F.col("max_tf")), lambda total, n: total / n),
+    "ts_rank": Ranker(("tf",), S.score_frequency, lambda: S.damped_count(F.col("max_tf")), lambda total, n: total / n, None, textscore.damped_counts, textscore.frequency),
     # Minimal covers open at different places, and the last places of all terms but one open none. A cover holds
     # each term; those that hold one place of a term open where some term is last seen before it, n at most.
     "ts_rank_cd": Ranker(("positions",), S.score_cover_density, lambda: F.col("max_tf").cast("double"), lambda total, n: total - n + 1, 1.0),
@@ -81,36 +99,197 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _cuts(docs: DataFrame) -> list[int]:
-    """Lengths between the length classes."""
+def _lengths(docs: DataFrame) -> tuple[list[int], int, int]:
+    """Lengths between the length classes, the number of documents, and the length of all of them."""
     length = F.coalesce(F.length("document"), F.lit(0))
-    found = docs.agg(F.percentile_approx(length, [i / CLASSES for i in range(1, CLASSES)], 10_000).alias("q")).first()["q"]
-    return list(found or [])
-
-
-def _with_keys(docs: DataFrame, cuts: list[int]) -> DataFrame:
-    length = F.coalesce(F.length("document"), F.lit(0))
-    longer = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<int>"), lambda c: c < length)).cast("bigint")
-    mixed = F.shiftrightunsigned(F.xxhash64("pid"), 7)
-    return docs.withColumn("_key", F.shiftleft(longer, 57).bitwiseOR(mixed))
-
-
-def _stored_form(flat: DataFrame, levels: DataFrame, buckets: int) -> DataFrame:
-    """Postings with their block; terms that ``levels(term, level)`` does not name have one block."""
-    block = F.expr(f"CASE WHEN coalesce(level, 0) = 0 THEN 0L ELSE shiftright(_key, {KEY_BITS} - level) END")
-    placed = flat.join(F.broadcast(levels) if levels.count() <= SENT_TERMS else levels, "term", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    return placed.select("term", "pid", "tf", "positions", "level", block.alias("block"), _bucket(F.col("term"), buckets).alias("bucket"))
+    quantiles = F.percentile_approx(length, [i / CLASSES for i in range(1, CLASSES)], 10_000)
+    found = docs.agg(quantiles.alias("q"), F.count(F.lit(1)).alias("n"), F.sum(length.cast("bigint")).alias("size")).first()
+    return list(found["q"] or []), found["n"], found["size"] or 0
+
+
+def _key() -> Column:
+    """The key of a document, from its length class and id."""
+    return F.shiftleft(F.col("_class").cast("bigint"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64("pid"), 7))
+
+
+def _part_of(terms: list[str], parts: int) -> np.ndarray:
+    """The parts of terms, as ``_bucket`` makes them: with a multiple of the buckets a part lies in one bucket."""
+    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), np.uint64, len(terms)).view(np.int64) % parts
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+
+
+def _packed_postings(docs: DataFrame, cuts: list[int], parts: int) -> DataFrame:
+    """Postings of ``docs(pid, document)``, made where a document lies, by parts of terms: ``BLOBS`` of
+    the ``terms`` in a part, the number of postings of each, and the postings term by term."""
+    stops = frozenset(STOPWORDS)
+    length = F.coalesce(F.length("document"), F.lit(0)).alias("length")
+    rows = spread(docs.select("pid", "document"), "pid").select("pid", length, F.lower("document").alias("document"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, vocabulary = re.compile(X.WORD).findall, S._Vocabulary(stops, True, None)
+        held, part, size = [], np.zeros(0, np.int64), 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal part
+            part = np.r_[part, _part_of(vocabulary.terms[len(part) :], parts)]
+            term, tf, position = (np.concatenate([h[i] for h in held]) for i in (0, 3, 4))
+            pid, cls = (pa.concat_arrays([h[i] for h in held]) for i in (1, 2))
+            rank = np.empty(len(part), np.int64)
+            rank[np.argsort(part, kind="stable")] = np.arange(len(part))
+            order = np.argsort(rank[term], kind="stable")
+            ends = np.concatenate([[0], np.cumsum(tf)])
+            position = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position)).take(pa.array(order)).flatten()
+            term, tf = term[order], tf[order]
+            pid, cls, ends = pid.take(pa.array(order)), cls.take(pa.array(order)), np.concatenate([[0], np.cumsum(tf)])
+            words, out = pa.array(vocabulary.terms, pa.string()), []
+            cuts = [*_changes(part[term]).tolist(), len(term)]
+            for a, b in zip(cuts, cuts[1:]):
+                runs = _changes(term[a:b])
+                counts = np.diff(np.r_[runs, b - a]).astype(np.int32)
+                out.append((int(part[term[a]]), pack({
+                    "terms": words.take(pa.array(term[a:b][runs])), "counts": pa.array(counts), "pid": pid.slice(a, b - a), "class": cls.slice(a, b - a),
+                    "tf": pa.array(tf[a:b]), "positions": position.slice(int(ends[a]), int(ends[b] - ends[a])), "level": pa.array([], pa.int32()),
+                })))
+            held.clear()
+            return blobs(out)
+
+        for batch in batches:
+            longer = pa.array(np.searchsorted(cuts, batch.column(1).to_numpy()).astype(np.int8))
+            for first, texts in S._chunks(batch.column(2)):
+                ids, text, position, starts = S._uses(texts, find, vocabulary)
+                if len(starts):
+                    at = pa.array(first + text[starts])
+                    held.append((ids[starts], batch.column(0).take(at), longer.take(at), np.diff(np.r_[starts, len(ids)]).astype(np.int32), position.astype(np.int32)))
+                    size += len(starts)
+                if held and (size >= PACKED or vocabulary.full()):
+                    yield flush()
+                    size = 0
+                if vocabulary.full():
+                    vocabulary.clear()
+                    part = np.zeros(0, np.int64)
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, BLOBS)
+
+
+def _packed_levels(levels: DataFrame, parts: int) -> DataFrame:
+    """``levels(term, level)`` as blobs without postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, none = [], 0, pa.array([], pa.int32())
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.concat_batches(held)
+            part, out = _part_of(rows.column(0).to_pylist(), parts), []
+            rows = rows.take(pa.array(np.argsort(part, kind="stable")))
+            part.sort()
+            cuts = [*_changes(part).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:]):
+                some = rows.slice(a, b - a)
+                out.append((int(part[a]), pack({"terms": some.column(0), "level": some.column(1), "counts": none, "tf": none, "positions": none})))
+            held.clear()
+            return blobs(out)
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= PACKED:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return levels.select("term", F.col("level").cast("int").alias("level")).mapInArrow(run, BLOBS)
+
+
+def _unpacked(packed: DataFrame, pid: T.StructField, block_rows: int | None) -> DataFrame:
+    """``term, pid, _class, level, positions`` of packed postings, term by term. A part has all postings of its terms,
+    so it knows how many there are and makes the level of it, for blocks of about ``block_rows``; without that, levels come in the blobs, and
+    are 0 where none comes."""
+    out = T.StructType([T.StructField("term", T.StringType()), pid, T.StructField("_class", T.ByteType()), T.StructField("level", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in by_part(batches):
+            given = {t: v for f in found if len(f["level"]) for t, v in zip(f["terms"].to_pylist(), f["level"].to_pylist())}
+            found = [f for f in found if len(f["tf"])]
+            if not found:
+                continue
+            words = pa.concat_arrays([f["terms"] for f in found]).dictionary_encode()
+            names, number = words.dictionary, words.indices.to_numpy()
+            by_name = pc.sort_indices(names).to_numpy()
+            rank = np.empty(len(names), np.int64)
+            rank[by_name] = np.arange(len(names))
+            term = np.repeat(rank[number], np.concatenate([f["counts"].to_numpy() for f in found]))
+            names, df = names.take(pa.array(by_name)), np.bincount(term, minlength=len(names))
+            if block_rows is None:
+                level = np.fromiter((given.get(t, 0) for t in names.to_pylist()), np.int32, len(names))
+            else:
+                level = np.where(df > block_rows, np.ceil(np.log2(np.maximum(df, 1) / block_rows)), 0).astype(np.int32)
+            order = np.argsort(term, kind="stable")
+            tf = np.concatenate([f["tf"].to_numpy() for f in found])
+            ids, cls = (pa.concat_arrays([f[c] for f in found]) for c in ("pid", "class"))
+            places = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf, dtype=np.int64)])), pa.concat_arrays([f["positions"] for f in found]))
+            del found, tf
+            for a in range(0, len(order), OUT_ROWS):
+                some = pa.array(order[a : a + OUT_ROWS])
+                at = pa.array(term[order[a : a + OUT_ROWS]])
+                yield pa.RecordBatch.from_arrays([names.take(at), ids.take(some), cls.take(some), pa.array(level).take(at), places.take(some).cast(pa.list_(pa.int32()))], names=out.names)
+
+    return packed.sortWithinPartitions("part").mapInArrow(run, out)
+
+
+def _postings(docs: DataFrame, cuts: list[int], length: int, buckets: int, block_rows: int | None, levels: DataFrame | None = None) -> DataFrame:
+    """The stored form of the postings of ``docs``. They move once, packed, to the part that has their term."""
+    expected = -(-length // TEXT_OF_POSTING)
+    parts = buckets * max(1, -(-expected // (buckets * PACKED)))
+    packed = _packed_postings(docs, cuts, parts)
+    if levels is not None:
+        packed = packed.unionByName(_packed_levels(levels, parts))
+    slots = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = min(parts, max(slots, -(-expected // PACKED)))
+    packed = packed.repartitionById(tasks, F.col("part") % tasks)
+    flat = _unpacked(packed, docs.schema["pid"], block_rows).withColumn("_key", _key())
+    block = F.expr(f"CASE WHEN level = 0 THEN 0L ELSE shiftright(_key, {KEY_BITS} - level) END")
+    return flat.select("term", "pid", F.size("positions").cast("bigint").alias("tf"), "positions", "level", block.alias("block"), _bucket(F.col("term"), buckets).alias("bucket"))
 
 
 def block_maxima(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("bucket", "term", "level", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"))
+    """``bucket, term, level, block, n, max_tf`` of postings in their stored order, in the tasks that read them: a
+    block that two tasks read has a row of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            n = np.ones(len(batch), np.int64)
+            if last is not None:
+                batch, n = pa.concat_batches([last.select(batch.schema.names), batch]), np.r_[last.column("n").to_numpy(), n]
+            if not len(batch):
+                continue
+            term, block = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+            new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+            rows = pa.array(new)
+            out = [batch.column(c).take(rows) for c in ("bucket", "term", "level", "block")]
+            most = pa.array(np.maximum.reduceat(batch.column("max_tf").to_numpy(), new))
+            found = pa.RecordBatch.from_arrays([*out, most, pa.array(np.add.reduceat(n, new))], schema=batch.schema.append(pa.field("n", pa.int64())))
+            last = found.slice(len(found) - 1)
+            yield found.slice(0, len(found) - 1)
+        if last is not None:
+            yield last
+
+    rows = postings.select("bucket", "term", "level", "block", F.col("tf").alias("max_tf"))
+    return rows.mapInArrow(run, "bucket int, term string, level int, block bigint, max_tf bigint, n bigint")
 
 
 def _write_part(postings: DataFrame, folder: str) -> None:
     order = ["bucket", "term", "block", "pid"]
-    postings.hint("rebalance", "bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{folder}/postings")
-    maxima = block_maxima(postings.sparkSession.read.schema(postings.schema).parquet(f"{folder}/postings").select("bucket", "term", "level", "block", "tf"))
-    maxima.hint("rebalance", "bucket").sortWithinPartitions(*order[:3]).write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    postings.sortWithinPartitions(*order).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
+    maxima = block_maxima(postings.sparkSession.read.schema(postings.schema).parquet(f"{folder}/postings"))
+    maxima.hint("rebalance", "bucket").sortWithinPartitions(*order[:3]).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def write_store(docs: DataFrame, path: str, buckets: int = BUCKETS, block_rows: int = BLOCK_ROWS) -> None:
@@ -123,24 +302,35 @@ def write_store(docs: DataFrame, path: str, buckets: int = BUCKETS, block_rows:
     spark, docs = docs.sparkSession, docs.select("pid", "document")
 
     def write(folder: str) -> None:
-        cuts = _cuts(docs)
-        # Terms of one block are the bulk; the list of the others is shorter than the postings by ``block_rows``.
-        often = S.document_counts(docs).filter(F.col("df") > block_rows)
-        levels = often.select("term", F.ceil(F.log2(F.col("df") / block_rows)).cast("int").alias("level"))
-        flat = S.text_index(_with_keys(docs, cuts), carry=["_key"])
-        _write_part(_stored_form(flat, staged(levels, "text-levels"), buckets), folder)
-        _write_facts(docs, folder, buckets, cuts)
+        cuts, n_docs, length = _lengths(docs)
+        _write_part(_postings(docs, cuts, length, buckets, block_rows), folder)
+        _write_facts(docs, folder, buckets, cuts, n_docs)
 
     replace_folder(spark, path, write)
 
 
-def _write_facts(docs: DataFrame, folder: str, buckets: int, cuts: list[int]) -> None:
-    facts = docs.agg(F.count(F.lit(1)).alias("n_docs")).withColumns(
+def _write_facts(docs: DataFrame, folder: str, buckets: int, cuts: list[int], n_docs: int) -> None:
+    facts = docs.sparkSession.range(1).select(F.lit(n_docs).cast("bigint").alias("n_docs")).withColumns(
         {"buckets": F.lit(buckets), "pid_type": F.lit(docs.schema["pid"].dataType.simpleString()), "cuts": F.array(*[F.lit(c) for c in cuts]).cast("array<int>")}
     )
     facts.write.parquet(f"{folder}/facts")
 
 
+def _rows_of(docs: DataFrame, new: DataFrame, n: int) -> DataFrame:
+    """The rows of ``docs`` whose ids are in ``new(pid, copies)``, one for each; of no id there is one row too. Texts
+    stay where they lie as long as the ids can be sent to them."""
+
+    def having(wanted: Column) -> DataFrame:
+        ids = new.filter(wanted & F.col("pid").isNotNull()).select("pid")
+        return docs.join(F.broadcast(ids) if n <= SENT_IDS else ids, "pid", "left_semi")
+
+    several = F.col("copies") > 1
+    rows = having(~several)
+    if new.filter(several | F.col("pid").isNull()).isEmpty():
+        return rows
+    return rows.unionByName(staged(having(several).unionByName(docs.filter(F.col("pid").isNull())).dropDuplicates(["pid"]), "text-repeated"))
+
+
 def append_store(docs: DataFrame, path: str) -> None:
     """Add the documents whose ids the store does not hold yet, as a part of its own; of repeated new ids
     one row is taken. A document without terms leaves no trace, so it may be counted again.
@@ -149,15 +339,16 @@ def append_store(docs: DataFrame, path: str) -> None:
     grow with the terms, so a store that has become several times as large should be rewritten.
     """
     spark, store = docs.sparkSession, read_store(docs.sparkSession, path)
-    facts = spark.read.parquet(f"{parts(spark, path)[0]}/facts").first()
-    new = docs.select("pid", "document").join(store.postings.select("pid").distinct(), "pid", "left_anti").dropDuplicates(["pid"])
+    docs, cuts = docs.select("pid", "document"), list(spark.read.parquet(f"{parts(spark, path)[0]}/facts").first()["cuts"])
+    new = docs.select("pid").join(store.postings.select("pid").distinct(), "pid", "left_anti").groupBy("pid").agg(F.count(F.lit(1)).alias("copies"))
 
     def write(folder: str) -> None:
-        rows = staged(new, "text-new")
-        flat = S.text_index(_with_keys(rows, list(facts["cuts"])), carry=["_key"])
+        ids = staged(new, "text-new")
+        n_docs = ids.count()
+        rows = _rows_of(docs, ids, n_docs)
         levels = store.blocks.filter(F.col("level") > 0).select("term", "level").distinct()
-        _write_part(_stored_form(flat, staged(levels, "text-levels"), store.buckets), folder)
-        _write_facts(rows, folder, store.buckets, list(facts["cuts"]))
+        _write_part(_postings(rows, cuts, _lengths(rows)[2], store.buckets, None, levels), folder)
+        _write_facts(rows, folder, store.buckets, cuts, n_docs)
 
     append_folder(spark, path, write)
 
@@ -195,7 +386,13 @@ class _Search:
     named: DataFrame | None = None
 
 
-def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None) -> _Search:
+def _few(store: TextStore, parsed: DataFrame) -> pa.RecordBatch | pa.Table:
+    """The queries of a small batch, or one more than it may have."""
+    buckets = F.transform("terms", lambda t: _bucket(t, store.buckets)).alias("_buckets")
+    return parsed.select("query_id", "n_terms", "terms", buckets).limit(SMALL_QUERIES + 1).toArrow().combine_chunks()
+
+
+def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None, few: pa.Table | None = None) -> _Search:
     """Queries to candidate blocks: the blocks of each query's rarest term in which all its terms occur,
     with the most that a document there can score.
 
@@ -207,8 +404,7 @@ def _prepare(store: TextStore, queries: DataFrame, ranker: Ranker | None) -> _Se
     spark, parsed, named = queries.sparkSession, S.parse_queries(queries), None
     share = F.lit(0.0) if ranker is None else ranker.share()
     ranker = ranker or Ranker((), lambda rows: rows, lambda: share, lambda total, n: total)
-    buckets = F.transform("terms", lambda t: _bucket(t, store.buckets)).alias("_buckets")
-    few = parsed.select("query_id", "n_terms", "terms", buckets).limit(SMALL_QUERIES + 1).toArrow().combine_chunks()
+    few = _few(store, parsed) if few is None else few
     if few.num_rows <= SMALL_QUERIES:
         ids, per_query = few.column("query_id"), few.column("terms").to_pylist()
         words, where = ([x for row in few.column(c).to_pylist() for x in row] for c in ("terms", "_buckets"))
@@ -352,15 +548,129 @@ def _kth(found: DataFrame, k: int) -> DataFrame:
     return reached.filter(F.col("_n") >= k).select("query_id", "_least")
 
 
+def _alone(postings: DataFrame, ranker: Ranker, k: int) -> DataFrame:
+    """``query_id, pid, score`` of one-term queries, from ``query_id, pid, tf`` in their stored order: the best of what
+    each task reads, and a document that comes twice not at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept(rows: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+            query, tf = (rows.column(c).to_numpy() for c in (0, 2))
+            return rows.take(pa.array(textscore.best_alone(query, rows.column(1), tf, ranker.alone, k)))
+
+        held, best, size = [], [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= PACKED:
+                rows = pa.concat_batches(held)
+                # Rows of one document are neighbours, so the last ones wait for the next batch.
+                last = rows.slice(len(rows) - 1)
+                mine = pc.and_(pc.equal(rows.column(0), last.column(0)[0]), pc.equal(rows.column(1), last.column(1)[0]))
+                held, best = [rows.filter(mine)], [kept(pa.concat_batches([*best, rows.filter(pc.invert(mine))]))]
+                size = len(held[0])
+        if size:
+            found = kept(pa.concat_batches([*best, *held]))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.array(ranker.alone(found.column(2).to_numpy()))], names=["query_id", "pid", "ub"])
+
+    rows = postings.select("query_id", "pid", "tf")
+    out = T.StructType([rows.schema["query_id"], rows.schema["pid"], T.StructField("ub", T.DoubleType())])
+    return _score_alone(rows.mapInArrow(run, out))
+
+
+def _together(postings: DataFrame, sets: textscore.Sets, ranker: Ranker, k: int, shards: int) -> DataFrame:
+    """``query_id, pid, score`` of queries of several terms, from ``number, pid, tf`` and positions where the ranker asks
+    for them. All postings of a document meet in its shard, packed, and each shard finds its k best for every query."""
+    places = "positions" in ranker.columns
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.concat_batches(held)
+            part = rows.column("part").to_numpy()
+            rows = rows.take(pa.array(np.argsort(part, kind="stable")))
+            part, out = rows.column("part").to_numpy(), []
+            cuts = [*_changes(part).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:]):
+                some = rows.slice(a, b - a)
+                position = some.column("positions").flatten() if places else pa.array([], pa.int32())
+                out.append((int(part[a]), pack({"number": some.column("number"), "pid": some.column("pid"), "tf": some.column("tf"), "positions": position})))
+            held.clear()
+            return blobs(out)
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= PACKED:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    sent = postings.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in by_part(batches):
+            for query_id, pid, score in textscore.searched(found, sent.value, ranker.among, k):
+                yield pa.RecordBatch.from_arrays([pa.array(query_id), pid, pa.array(score)], names=["query_id", "pid", "score"])
+
+    of_shard = F.pmod(F.xxhash64("pid"), F.lit(shards)).cast("int").alias("part")
+    rows = postings.select("number", "pid", F.col("tf").cast("int").alias("tf"), of_shard, *(["positions"] if places else []))
+    out = T.StructType([T.StructField("query_id", T.LongType()), rows.schema["pid"], T.StructField("score", T.DoubleType())])
+    packed = rows.mapInArrow(shard, BLOBS).repartitionById(shards, F.col("part"))
+    return packed.sortWithinPartitions("part").mapInArrow(run, out)
+
+
+def _search_large(store: TextStore, parsed: DataFrame, k: int, ranker: Ranker) -> DataFrame | None:
+    """The search of a large batch whose terms can be sent to the postings, else None. Queries of one term
+    are answered where their postings lie; postings of the others meet by document."""
+    spark = parsed.sparkSession
+    named = staged(parsed.select("query_id", F.array_sort("terms").alias("terms")), "text-asked")
+    sets = staged(named.select("terms").distinct().select(F.monotonically_increasing_id().alias("_set"), "terms"), "text-sets")
+    if (sets.agg(F.sum(F.size("terms"))).first()[0] or 0) > SENT_TERMS:
+        return None
+    known = sets.toArrow().combine_chunks()
+    coded = pc.list_flatten(known.column("terms").combine_chunks()).dictionary_encode()
+    terms, number, sizes = coded.dictionary, coded.indices.to_numpy(), pc.list_value_length(known.column("terms")).to_numpy()
+    ids, several = known.column("_set").to_numpy(), np.repeat(sizes > 1, sizes)
+    own, shared = np.full(len(terms), -1, np.int64), np.zeros(len(terms), bool)
+    own[number[~several]] = ids[sizes == 1]
+    shared[number[several]] = True
+    buckets = _part_of(terms.to_pylist(), store.buckets).astype(np.int32)
+    asked = spark.createDataFrame(pa.table({"term": terms, "bucket": pa.array(buckets), "number": pa.array(np.arange(len(terms), dtype=np.int32)), "own": pa.array(own), "shared": pa.array(shared)}))
+
+    def of(rows: DataFrame, mine: np.ndarray, wanted: Column, *columns: str) -> DataFrame:
+        here = F.col("bucket").isin(np.unique(buckets[mine]).tolist()) if mine.any() else F.lit(False)
+        return rows.filter(here).join(F.broadcast(asked.filter(wanted).select("term", *columns)), "term")
+
+    with_id = store.postings.filter(F.col("pid").isNotNull())
+    found = _alone(of(with_id, own >= 0, F.col("own") >= 0, "own").withColumnRenamed("own", "query_id"), ranker, k)
+    if shared.any():
+        n = of(store.blocks, shared, F.col("shared")).agg(F.sum("n")).first()[0] or 0
+        slots = spark.sparkContext.defaultParallelism
+        asks = textscore.Sets(ids[sizes > 1], number[several], np.cumsum(sizes[sizes > 1]) - sizes[sizes > 1], len(terms))
+        found = found.unionByName(_together(of(with_id, shared, F.col("shared"), "number"), asks, ranker, k, max(slots, -(-n // PACKED))))
+    best = top_k(found, k).withColumnRenamed("query_id", "_set")
+    return best.join(sets, "_set").join(named, "terms").select("query_id", "pid", "score", "rank")
+
+
 def search(store: TextStore, queries: DataFrame, k: int, ranker: Ranker) -> DataFrame:
     """The k best documents of ``queries(query_id, text)``: ``query_id, pid, score, rank``.
 
     A query without known terms finds nothing. Scores are compared as everywhere, rounded, then
     by id; a block is left out only where its bound, rounded alike, is below the k-th score.
     Where all candidate blocks hold few documents they are scored in one go. Queries of a large batch
-    that have the same terms are searched once.
+    that have the same terms are searched once, and as long as their terms can be sent to the postings, those are
+    read once and move packed, once, to their documents.
     """
-    batch = _prepare(store, queries, ranker)
+    parsed = S.parse_queries(queries)
+    few = _few(store, parsed)
+    if few.num_rows > SMALL_QUERIES and ranker.among is not None:
+        found = _search_large(store, parsed, k, ranker)
+        if found is not None:
+            return found
+    batch = _prepare(store, queries, ranker, few)
 
     if batch.documents is not None and batch.documents <= ONE_GO:
         return top_k(ranker.score(_matched(batch, batch.candidates, ranker.columns)), k)

@@ -109,6 +109,43 @@ def test_text_store_reads_its_buckets_only(spark):
     assert len(buckets(textstore._prepare(store, one, None).postings)) <= 2 < len(buckets(store.postings))
 
 
+def test_postings_move_packed(spark, monkeypatch):
+    docs = documents(spark)
+    monkeypatch.setattr(textstore, "PACKED", 700)
+    monkeypatch.setattr(textsearch, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(textsearch, "VOCABULARY", 40)
+    words = ["word1", "a", "x" * 7, "y" * 40, "z" * 33]
+    seen = spark.createDataFrame([(w,) for w in words], "term string").select(textstore._bucket(F.col("term"), 48)).collect()
+    assert [r[0] for r in seen] == textstore._part_of(words, 48).tolist()
+    want = textsearch.text_index(docs)
+    packed = textstore._packed_postings(docs, textstore._lengths(docs)[0], 4)
+    assert packed.count() < want.count() / 20
+    store = textstore.store_of(docs, buckets=4, block_rows=8)
+    columns = ["term", "pid", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("at")]
+    assert rows(store.postings, *columns) == rows(want, *columns)
+    maxima = store.postings.groupBy("bucket", "term", "level", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"))
+    whole = store.blocks.groupBy("bucket", "term", "level", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"))
+    assert rows(whole, *maxima.columns) == rows(maxima, *maxima.columns)
+
+
+@pytest.mark.parametrize("method", ["ts_rank"])
+def test_large_batches_meet_by_document(spark, monkeypatch, method):
+    docs = documents(spark).unionByName(spark.createDataFrame([(1, "word0 word1"), (None, "word0 word1 word2")], "pid long, document string"))  # 1 comes twice
+    asked = [(f"{i} {j}", f"word{i} word{j} word{(i * j) % 5}") for i in range(6) for j in range(9)] + QUERIES
+    queries, out = spark.createDataFrame(asked, "query_id string, text string"), ["query_id", "pid", "score", "rank"]
+    plain = {"ts_rank": textsearch.rank_frequency, "ts_rank_cd": textsearch.rank_cover_density}[method]
+    once = docs.filter("pid <> 1")
+    want = rows(top_k(plain(textsearch.text_index(once), textsearch.parse_queries(queries)), 3), *out)
+    store, ranker = textstore.store_of(docs, buckets=4, block_rows=8), textstore.RANKERS[method]
+    monkeypatch.setattr(textstore, "SMALL_QUERIES", 0)
+    monkeypatch.setattr(textstore, "PACKED", 300)
+    found = textstore.search(store, queries, 3, ranker)
+    assert "repartition_by_num" in found._jdf.queryExecution().toString().lower()  # one row for a task and shard
+    assert rows(found, *out) == want
+    monkeypatch.setattr(textstore, "SENT_TERMS", 0)  # blocks matched by joins
+    assert rows(textstore.search(store, queries, 3, ranker), *out) == want
+
+
 def test_empty_text_store(spark):
     store = textstore.store_of(spark.createDataFrame([], "pid string, document string"))
     one = spark.createDataFrame([(1, "word")], "query_id long, text string")
