@@ -91,7 +91,7 @@ RANKERS = {
     "ts_rank": Ranker(("tf",), S.score_frequency, lambda: S.damped_count(F.col("max_tf")), lambda total, n: total / n, None, textscore.damped_counts, textscore.frequency),
     # Minimal covers open at different places, and the last places of all terms but one open none. A cover holds
     # each term; those that hold one place of a term open where some term is last seen before it, n at most.
-    "ts_rank_cd": Ranker(("positions",), S.score_cover_density, lambda: F.col("max_tf").cast("double"), lambda total, n: total - n + 1, 1.0),
+    "ts_rank_cd": Ranker(("positions",), S.score_cover_density, lambda: F.col("max_tf").cast("double"), lambda total, n: total - n + 1, 1.0, textscore.plain_counts, textscore.cover_density),
 }
 
 

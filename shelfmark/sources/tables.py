@@ -47,6 +47,11 @@ def parts(spark: SparkSession, path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{name}" for name in names.split()]
 
 
+def has_table(spark: SparkSession, folder: str, table: str) -> bool:
+    files, at = _files(spark, f"{folder}/{table}")
+    return files.exists(at)
+
+
 def read_parts(spark: SparkSession, folders: list[str], table: str, schema: str) -> DataFrame:
     """A table of all parts. Each part has partition folders of its own, which filters prune."""
     return reduce(DataFrame.unionAll, [spark.read.schema(schema).parquet(f"{f}/{table}") for f in folders])
