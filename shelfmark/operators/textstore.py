@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from shelfmark.operators import textscore
 from shelfmark.operators import textsearch as S
 from shelfmark.operators.packed import BLOBS, blobs, by_part, pack
 from shelfmark.session import pinned, scratch_path, spread, staged
-from shelfmark.sources.tables import append_folder, parts, read_parts, replace_folder
+from shelfmark.sources.tables import append_folder, has_table, parts, read_parts, replace_folder
 
 BUCKETS = 64
 BLOCK_ROWS = 128
@@ -55,6 +56,8 @@ PACKED = 1 << 20
 TEXT_OF_POSTING = 12
 #: New ids that are sent to the documents.
 SENT_IDS = 2_000_000
+#: What a lowered text with a term has: a word that is no stopword.
+HAS_TERM = f"(?:^|[^a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?:[^a-z0-9]|\\z))[a-z0-9]"
 #: Rows that leave a part at once.
 OUT_ROWS = 1 << 16
 
@@ -310,10 +313,23 @@ def write_store(docs: DataFrame, path: str, buckets: int = BUCKETS, block_rows:
 
 
 def _write_facts(docs: DataFrame, folder: str, buckets: int, cuts: list[int], n_docs: int) -> None:
+    """The facts of a part, and the ids of its documents that have terms."""
     facts = docs.sparkSession.range(1).select(F.lit(n_docs).cast("bigint").alias("n_docs")).withColumns(
         {"buckets": F.lit(buckets), "pid_type": F.lit(docs.schema["pid"].dataType.simpleString()), "cuts": F.array(*[F.lit(c) for c in cuts]).cast("array<int>")}
     )
     facts.write.parquet(f"{folder}/facts")
+    docs.filter(F.lower("document").rlike(HAS_TERM)).select("pid").write.option("compression", "zstd").parquet(f"{folder}/ids")
+
+
+def _ids(spark: SparkSession, path: str, postings: DataFrame) -> DataFrame:
+    """The ids that a store holds; those of a part that was written without them are taken from its postings."""
+    found, pid = [], T.StructType([postings.schema["pid"]])
+    for folder in parts(spark, path):
+        if has_table(spark, folder, "ids"):
+            found.append(spark.read.schema(pid).parquet(f"{folder}/ids"))
+        else:
+            found.append(spark.read.schema(postings.schema).parquet(f"{folder}/postings").select("pid").distinct())
+    return reduce(DataFrame.unionAll, found)
 
 
 def _rows_of(docs: DataFrame, new: DataFrame, n: int) -> DataFrame:
@@ -340,7 +356,7 @@ def append_store(docs: DataFrame, path: str) -> None:
     """
     spark, store = docs.sparkSession, read_store(docs.sparkSession, path)
     docs, cuts = docs.select("pid", "document"), list(spark.read.parquet(f"{parts(spark, path)[0]}/facts").first()["cuts"])
-    new = docs.select("pid").join(store.postings.select("pid").distinct(), "pid", "left_anti").groupBy("pid").agg(F.count(F.lit(1)).alias("copies"))
+    new = docs.select("pid").join(_ids(spark, path, store.postings), "pid", "left_anti").groupBy("pid").agg(F.count(F.lit(1)).alias("copies"))
 
     def write(folder: str) -> None:
         ids = staged(new, "text-new")

@@ -146,6 +146,24 @@ def test_large_batches_meet_by_document(spark, monkeypatch, method):
     assert rows(textstore.search(store, queries, 3, ranker), *out) == want
 
 
+def test_append_reads_ids_alone(spark):
+    path, docs = scratch_path(spark, "ids"), documents(spark)
+    textstore.write_store(docs.filter("pid < 100"), path, 4, 8)
+    store = textstore.read_store(spark, path)
+    ids = textstore._ids(spark, path, store.postings)
+    assert rows(ids, "pid") == rows(store.postings.select("pid").distinct(), "pid")
+    assert all("/ids/" in f for f in ids.inputFiles())
+    again = docs.unionByName(docs.filter("pid > 590")).unionByName(spark.createDataFrame([(None, "word0")] * 2, "pid long, document string"))
+    textstore.append_store(again, path)
+    store = textstore.read_store(spark, path)
+    want = docs.unionByName(spark.createDataFrame([(None, "word0")], "pid long, document string"))
+    key = ["term", "tf", F.coalesce("pid", F.lit(-1))]
+    assert rows(store.postings, *key) == rows(textsearch.text_index(want), *key)
+    assert store.n_docs == want.count()
+    for text, there in (("the", False), ("The cat", True), ("the-of it's", False), ("", False), ("theory", True), ("été", False), ("étude", True)):
+        assert spark.createDataFrame([(text,)], "t string").filter(F.lower("t").rlike(textstore.HAS_TERM)).count() == there, text
+
+
 def test_empty_text_store(spark):
     store = textstore.store_of(spark.createDataFrame([], "pid string, document string"))
     one = spark.createDataFrame([(1, "word")], "query_id long, text string")
